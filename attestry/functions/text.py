@@ -25,6 +25,11 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(c.rlike(_NEEDS_NFKC), c)), c)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`, for costly values used many times."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def collapse(c: Column) -> Column:
     """Runs of any Unicode whitespace to one blank, ends trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))

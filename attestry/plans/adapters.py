@@ -277,9 +277,12 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
         for name in known:
             if name not in done and re.search(r"\b%s\b" % name, text):
                 visit(known[name])
-                done.setdefault(name, re.sub(r"\{(\w+)\}", r"\1", known[name]))
+                plain = re.sub(r"\{(\w+)\}", r"\1", known[name])
+                done.setdefault(name, plain.replace("{{", "{").replace("}}", "}"))
 
     visit(body)
     if not done:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({s.strip()})" for n, s in done.items()) + "\n" + body
+    ctes = "WITH " + ",\n".join(f"{n} AS ({s.strip()})" for n, s in done.items())
+    own = re.match(r"\s*WITH\s", body)
+    return ctes + (",\n" + body[own.end():] if own else "\n" + body)
