@@ -57,8 +57,7 @@ def is_placeholder(cleaned: Column) -> Column:
 
 
 def clean_optional(c: Column) -> Column:
-    cleaned = clean_text(c)
-    return F.when(~is_placeholder(cleaned), cleaned)
+    return let(clean_text(c), lambda x: F.when(~is_placeholder(x), x))
 
 
 def display_name(cleaned: Column) -> Column:

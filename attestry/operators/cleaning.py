@@ -11,15 +11,14 @@ FIELDS = ("mfg_part_num", "part_desc", "e1_brand", "unilog_brand", "dib_brand",
 def clean_catalog(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Replace each field by its cleaned value, placeholders by NULL, and list the
     fields that held a placeholder (a missing input is not a placeholder)."""
-    cleaned = df.select(
-        *[c for c in df.columns if c not in fields], *[F.col(f) for f in fields],
-        *[tx.clean_text(F.col(f)).alias(f"__{f}") for f in fields])
-    nulled = F.array_compact(F.array(*[
-        F.when(F.col(f).isNotNull() & tx.is_placeholder(F.col(f"__{f}")), F.lit(f)) for f in fields]))
-    return cleaned.select(
-        *[c for c in df.columns if c not in fields],
-        *[F.when(~tx.is_placeholder(F.col(f"__{f}")), F.col(f"__{f}")).alias(f) for f in fields],
-        nulled.alias("nullified_fields"))
+    def both(x):
+        return F.struct(F.when(~tx.is_placeholder(x), x).alias("v"), tx.is_placeholder(x).alias("p"))
+
+    rest = [c for c in df.columns if c not in fields]
+    cleaned = df.select(*rest, *[F.when(F.col(f).isNotNull(), F.lit(f)).alias(f"__{f}") for f in fields],
+                        *[tx.let(tx.clean_text(F.col(f)), both).alias(f) for f in fields])
+    nulled = F.array_compact(F.array(*[F.when(F.col(f"{f}.p"), F.col(f"__{f}")) for f in fields]))
+    return cleaned.select(*rest, *[F.col(f"{f}.v").alias(f) for f in fields], nulled.alias("nullified_fields"))
 
 
 def placeholder_profile(cleaned: DataFrame) -> DataFrame:

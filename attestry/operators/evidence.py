@@ -13,3 +13,63 @@ def link_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return found.select(key, F.col("pos").cast("bigint").alias("pos"),
                         web.unwrap_redirect(F.col("link.href")).alias("url"),
                         tx.collapse(web.unescape(web.strip_tags(F.col("link.title")))).alias("title"))
+
+
+def name_overlap(manufacturer, url, title):
+    """A distinctive word of the name occurs in the host or the title."""
+    from attestry import fixed_values as fv
+
+    generic = F.array(*[F.lit(w) for w in fv.GENERIC_NAME_WORDS])
+    distinctive = F.array_except(F.split(tx.entity_key(tx.tidy(manufacturer)), " "), generic)
+    host = F.split(web.domain(url), "[^a-z0-9]+")
+    named = F.split(F.coalesce(tx.entity_key(tx.tidy(title)), F.lit("")), " ")
+    return F.coalesce(F.arrays_overlap(F.array_remove(distinctive, ""), F.concat(host, named)), F.lit(False))
+
+
+def is_blocked(url):
+    from attestry import fixed_values as fv
+
+    host = web.domain(url)
+    hit = F.lit(False)
+    for blocked in fv.BLOCKED_HOSTS:
+        hit = hit | (host == blocked) | F.endswith(host, F.lit("." + blocked))
+    return F.coalesce(hit, F.lit(False))
+
+
+def resolve_domains(results: DataFrame, key: str) -> DataFrame:
+    """First acceptable host per key from (key, manufacturer, rank, url, title) rows."""
+    ok = results.where(web.domain(F.col("url")).isNotNull() & ~is_blocked(F.col("url"))
+                       & name_overlap(F.col("manufacturer"), F.col("url"), F.col("title")))
+    return ok.groupBy(key).agg(F.min_by(web.domain(F.col("url")), "rank").alias("domain"))
+
+
+def official_links(results: DataFrame, key: str, owner: str = "owner", k: int = 3) -> DataFrame:
+    """First k distinct official URLs of the first query that returned any."""
+    from pyspark.sql import Window
+
+    good = results.where(web.is_official(F.col("url"), F.col(owner)))
+    first = good.groupBy(key).agg(F.min("query_no").alias("query_no"))
+    urls = good.join(first, [key, "query_no"]).groupBy(key, "query_no", "url").agg(F.min("rank").alias("rank"))
+    w = Window.partitionBy(key).orderBy("rank", "url")
+    return urls.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+
+
+def mentioned_manufacturer(evidence: DataFrame, brands: DataFrame, manufacturers: DataFrame, pairs: DataFrame,
+                           key: str) -> DataFrame:
+    """Manufacturer named in an evidence text (key, evidence_key).
+
+    A contained brand that has a paired manufacturer wins (first in name order,
+    confidence 0.95); otherwise the last contained manufacturer by name (0.93).
+    """
+    from attestry.operators.matching import contains_join
+
+    owned = brands.join(pairs.withColumnRenamed("brand_key", "key"), "key").select(
+        F.col("key").alias("bk"), F.col("canonical_name").alias("bname"), F.col("manufacturer").alias("owner"))
+    via_brand = (contains_join(evidence, "evidence_key", owned, "bk").join(owned, "bk").groupBy("evidence_key")
+                 .agg(F.min_by("owner", F.struct(tx.casefold(F.col("bname")), "bname")).alias("manufacturer")))
+    m = manufacturers.select(F.col("key").alias("mk"), F.col("canonical_name").alias("mname"))
+    via_name = (contains_join(evidence, "evidence_key", m, "mk").join(m, "mk").groupBy("evidence_key")
+                .agg(F.max("mname").alias("named")))
+    return (evidence.join(via_brand, "evidence_key", "left").join(via_name, "evidence_key", "left")
+            .select(key, F.coalesce("manufacturer", "named").alias("manufacturer"),
+                    F.when(F.col("manufacturer").isNotNull(), 0.95).when(F.col("named").isNotNull(), 0.93).alias("confidence")))

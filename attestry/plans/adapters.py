@@ -272,10 +272,12 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Check SQL: the named views a body reads, as CTEs in dependency order."""
     known = {**VIEWS, **(extra or {})}
     done: dict[str, str] = {}
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in known:
-            if name not in done and re.search(r"\b%s\b" % name, text):
+            if name not in seen and re.search(r"\b%s\b" % name, text):
+                seen.add(name)
                 visit(known[name])
                 plain = re.sub(r"\{(\w+)\}", r"\1", known[name])
                 done.setdefault(name, plain.replace("{{", "{").replace("}}", "}"))
