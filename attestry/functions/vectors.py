@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestry.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y),
@@ -10,6 +12,5 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column, floor: float = 1e-12) -> Column:
-    wide = v.cast("array<double>")
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(floor))
-    return F.transform(wide, lambda x: x / norm)
+    return let(v.cast("array<double>"), lambda w: let(
+        F.greatest(F.sqrt(dot(w, w)), F.lit(floor)), lambda norm: F.transform(w, lambda x: x / norm)))
