@@ -8,6 +8,8 @@ blend of whole, token and partial ratios:
 * otherwise the partial weight is 0.6
 """
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +57,7 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / n if n else 100.0
 
 
+@lru_cache(maxsize=1 << 16)
 def partial(a: str, b: str) -> float:
     """Best ratio of the shorter text against windows of the longer one."""
     s, t = (a, b) if len(a) <= len(b) else (b, a)
@@ -63,11 +66,27 @@ def partial(a: str, b: str) -> float:
         return 100.0 if not n else 0.0
     if s in t:
         return 100.0
-    spans = {(max(0, i), min(n, i + m)) for i in range(1 - m, n)}
-    best = max(ratio(s, t[i:j]) for i, j in spans)
-    if m == n:
-        spans = {(max(0, i), min(m, i + n)) for i in range(1 - n, m)}
-        best = max(best, max(ratio(t, s[i:j]) for i, j in spans))
+    best = _best_window(s, t)
+    return max(best, _best_window(t, s)) if m == n else best
+
+
+def _best_window(s: str, t: str) -> float:
+    """Windows that end or start on a character the short text lacks cannot win."""
+    m, n = len(s), len(t)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(s):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << m) - 1
+    best = 0.0
+    for i in range(1 - m, n):
+        lo, hi = max(0, i), min(n, i + m)
+        if (t[hi - 1] not in masks) if lo == 0 or hi - lo == m else (t[lo] not in masks):
+            continue
+        state = full
+        for ch in t[lo:hi]:
+            hit = state & masks.get(ch, 0)
+            state = (state + hit) | (state - hit)
+        best = max(best, 200.0 * (~state & full).bit_count() / (m + hi - lo))
     return best
 
 
@@ -97,6 +116,7 @@ def partial_token_ratio(a: str, b: str) -> float:
     return max(whole, partial(da, db))
 
 
+@lru_cache(maxsize=1 << 16)
 def composite(a: str, b: str) -> float:
     if not a or not b:
         return 0.0

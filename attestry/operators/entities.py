@@ -81,8 +81,8 @@ def near_keys(keys: DataFrame, threshold: float = DEFAULTS.cluster_ratio) -> Dat
     variants = (s.where("tau >= 1").select("key", "len", F.explode(F.concat(
         F.array(F.struct(F.col("key").alias("v"), F.lit(0).alias("d"))),
         F.transform("one", lambda v: F.struct(v.alias("v"), F.lit(1).alias("d"))),
-        F.transform(two, lambda v: F.struct(v.alias("v"), F.lit(2).alias("d"))))).alias("x"))
-        .select("key", "len", "x.v", "x.d"))
+        F.transform(two, lambda v: F.struct(v.alias("v"), F.lit(2).alias("d"))))).alias("__x"))
+        .select("key", "len", "__x.v", "__x.d"))
     a, b = variants.alias("a"), variants.alias("b")
     edits = F.col("a.d") + F.col("b.d")
     total = F.col("a.len") + F.col("b.len")
@@ -281,7 +281,7 @@ def merge_lookups(old: DataFrame, new: DataFrame) -> DataFrame:
     """Union of stored and fresh answers, the latest per part key."""
     cols = [c for c in old.columns if c != "part_key"]
     return (old.unionByName(new).groupBy("part_key")
-            .agg(F.max_by(F.struct(*cols), F.col("stored_at")).alias("x")).select("part_key", "x.*"))
+            .agg(F.max_by(F.struct(*cols), F.col("stored_at")).alias("__x")).select("part_key", "__x.*"))
 
 
 def resolve_catalog(cleaned: DataFrame, brands: DataFrame, manufacturers: DataFrame, pairs: DataFrame,

@@ -73,3 +73,103 @@ def mentioned_manufacturer(evidence: DataFrame, brands: DataFrame, manufacturers
     return (evidence.join(via_brand, "evidence_key", "left").join(via_name, "evidence_key", "left")
             .select(key, F.coalesce("manufacturer", "named").alias("manufacturer"),
                     F.when(F.col("manufacturer").isNotNull(), 0.95).when(F.col("named").isNotNull(), 0.93).alias("confidence")))
+
+
+# ---- extraction --------------------------------------------------------------------------
+
+def retrieval_gate(items: DataFrame, threshold: float = 0.86) -> DataFrame:
+    """Add `use_site`: sparse description, known domain, confident manufacturer."""
+    return items.withColumn("use_site", F.coalesce(
+        tx.is_sparse(F.col("part_desc")) & web.domain(F.col("domain")).isNotNull()
+        & (F.col("manufacturer_confidence") >= threshold), F.lit(False)))
+
+
+def official_sources(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages of gated items with an `official` mark."""
+    gated = retrieval_gate(items).where("use_site").select("item_id", "domain")
+    return pages.join(gated, "item_id").withColumn("official", web.is_official(F.col("url"), F.col("domain")))
+
+
+def source_flags(items: DataFrame, marked: DataFrame) -> DataFrame:
+    """(item_id, code, kept): foreign pages were refused, or none was left."""
+    seen = marked.groupBy("item_id").agg(F.count_if("official").alias("kept"), F.count_if(~F.col("official")).alias("refused"))
+    s = retrieval_gate(items).where("use_site").select("item_id").join(seen, "item_id", "left").na.fill(0, ["kept", "refused"])
+    codes = F.array_compact(F.array(F.when(F.col("refused") > 0, F.lit("non_official_sources_rejected")),
+                                    F.when(F.col("kept") == 0, F.lit("manufacturer_retrieval_no_results"))))
+    return s.select("item_id", F.explode(codes).alias("code"), "kept")
+
+
+def source_blocks(items: DataFrame, marked: DataFrame) -> DataFrame:
+    """Description and official page texts as (item_id, source_type, text)."""
+    own = items.select("item_id", F.lit("description").alias("source_type"), F.coalesce("part_desc", F.lit("")).alias("text"))
+    site = marked.where("official").select("item_id", F.lit("manufacturer_site").alias("source_type"), "text")
+    return own.unionByName(site)
+
+
+def supported_excerpts(candidates: DataFrame, sources: DataFrame) -> DataFrame:
+    """Candidates whose excerpt occurs in a source of the same item and type."""
+    s = sources.select("item_id", "source_type", tx.casefold(F.col("text")).alias("__t"))
+    c = candidates.withColumn("__e", tx.casefold(F.col("source_excerpt")))
+    on = (c["item_id"] == s["item_id"]) & (c["source_type"] == s["source_type"]) & F.contains(s["__t"], c["__e"])
+    return c.join(s, on, "left_semi").drop("__e")
+
+
+def value_in_excerpt(value, excerpt):
+    return F.contains(tx.collapse(tx.casefold(excerpt)), tx.collapse(tx.casefold(value)))
+
+
+def identity_is_labeled(label, value, excerpt, mpn):
+    """A Series or Model equal to the part number must be named so in the excerpt."""
+    bare = F.trim(value)
+    same = tx.casefold(bare) == tx.casefold(F.trim(mpn))
+    lab, val = tx.casefold(label), tx.regex_quote(bare)
+    before = F.concat(F.lit(r"(?iuU)\b"), lab, F.lit(r"\b\s*[:#-]?\s*"), val, F.lit(r"\b"))
+    after = F.concat(F.lit(r"(?iuU)\b"), val, F.lit(r"\b\s*[-,]?\s*\b"), lab, F.lit(r"\b"))
+    concerned = F.coalesce(label.isin("Series", "Model") & (F.length(mpn) > 0) & same, F.lit(False))
+    return F.when(concerned, F.rlike(excerpt, before) | F.rlike(excerpt, after)).otherwise(True)
+
+
+def gate(candidates: DataFrame, items: DataFrame, expected: DataFrame, sources: DataFrame) -> DataFrame:
+    """Add `reason`: NULL when accepted, else the first failing gate.  A label counts
+    as taken from its first passing candidate on, so the earliest passing position
+    per label decides duplicates; it is found by a minimum, not by ordering groups."""
+    keys = ["item_id", "pos"]
+    ok = supported_excerpts(candidates, sources).select(*keys, F.lit(True).alias("__src"))
+    wanted = items.select("item_id", "classpath").join(expected, "classpath").select("item_id", "label", F.lit(True).alias("__exp"))
+    c = (candidates.join(items.select("item_id", "mpn"), "item_id", "left").join(wanted, ["item_id", "label"], "left")
+         .join(ok, keys, "left")
+         .withColumn("__val", value_in_excerpt(F.col("value"), F.col("source_excerpt")))
+         .withColumn("__idn", identity_is_labeled(F.col("label"), F.col("value"), F.col("source_excerpt"), F.col("mpn"))))
+    passing = F.col("__exp").isNotNull() & F.col("__src").isNotNull() & F.col("__val") & F.col("__idn")
+    first = c.where(passing).groupBy("item_id", "label").agg(F.min("pos").alias("__first"))
+    reason = (F.when(F.col("__exp").isNull() | (F.col("pos") > F.col("__first")), "unexpected_attribute_rejected")
+              .when(F.col("__src").isNull(), "source_excerpt_unverified")
+              .when(~F.col("__val"), "ungrounded_value_rejected")
+              .when(~F.col("__idn"), "product_identity_leakage_rejected"))
+    return c.join(first, ["item_id", "label"], "left").select(*candidates.columns, reason.alias("reason"))
+
+
+def first_per_label(rows: DataFrame, accept, by: list[str], order: str) -> DataFrame:
+    """First accepted row per label, by position."""
+    cols = [c for c in rows.columns if c not in by]
+    return (rows.where(accept).groupBy(*by).agg(F.min_by(F.struct(*cols), order).alias("__f")).select(*by, "__f.*"))
+
+
+def failure_flags(items: DataFrame, failed: DataFrame) -> DataFrame:
+    f = failed.select("item_id", F.lit(True).alias("__f")).distinct()
+    return items.join(f, "item_id", "left").select("item_id", F.when(F.col("__f"), "extraction_failed").alias("code"))
+
+
+def phrase_candidates(items: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Rule-based candidates: every known (label, value) stated in the description."""
+    from attestry.operators.matching import contains_join
+
+    d = items.select("item_id", tx.casefold(F.col("part_desc")).alias("__d"))
+    p = phrases.select("label", "value", tx.casefold(F.col("value")).alias("__v"))
+    return (contains_join(d, "__d", p, "__v").join(d, "__d").join(p, "__v")
+            .select("item_id", "label", "value", F.col("value").alias("source_excerpt"), F.lit("description").alias("source_type")))
+
+
+def run_extractor(items: DataFrame, extract, schema: str) -> DataFrame:
+    """Candidates from a user function over Arrow batches (iterator of pandas frames)."""
+    return items.mapInPandas(extract, schema)

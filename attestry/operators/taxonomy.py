@@ -2,8 +2,8 @@
 
 Queries are distinct texts.  Lexical evidence is found through token joins, at
 token level first so that one frequent word is ranked once and not per query;
-vector evidence through blocked exhaustive scoring.  Scores are rounded to six
-decimals before ranking, ties go to the smaller commodity code.
+vector evidence through blocked exhaustive scoring.  Cosines are rounded to six
+and blended scores to eight decimals before ranking, ties go to the smaller commodity code.
 """
 
 import numpy as np
@@ -154,7 +154,7 @@ def candidate_pool(queries: DataFrame, taxonomy: DataFrame, classes: DataFrame,
     phrase = class_scores(coverage_best(queries, taxonomy, lexical), queries, classes).select(
         "query_id", "commodity_code", F.greatest(0.7 * F.col("cos") + 0.3 * cover, 0.85 * cover).alias("score"))
     pool = worded.unionByName(blank).unionByName(prefix).unionByName(phrase)
-    return pool.groupBy("query_id", "commodity_code").agg(F.round(F.max("score"), 6).alias("score"))
+    return pool.groupBy("query_id", "commodity_code").agg(F.round(F.max("score"), 8).alias("score"))
 
 
 def search(queries: DataFrame, taxonomy: DataFrame, classes: DataFrame, p: Params = DEFAULTS) -> DataFrame:

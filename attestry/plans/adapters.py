@@ -190,7 +190,7 @@ SELECT l_orderkey AS item_id, (l_partkey * 64 + l_linenumber) * 1048576 + l_supp
     WHEN 5 THEN 'Finish' WHEN 6 THEN 'Series' ELSE 'Material' END AS label,
   CASE WHEN l_quantity <= 30 THEN 'supported' WHEN l_quantity <= 36 THEN 'partially_supported'
     WHEN l_quantity <= 44 THEN 'not_supported' ELSE 'ambiguous' END AS entailment,
-  CAST(l_discount * 1000 AS INT) / 100.0 AS confidence, 'checked line ' || CAST(l_partkey AS STRING) AS reasoning
+  CAST(CAST(floor(l_discount * 100 + 0.5) AS INT) AS DOUBLE) / 10 AS confidence, 'checked line ' || CAST(l_partkey AS STRING) AS reasoning
 FROM {lineitem} WHERE l_shipdate < TIMESTAMP '2000-07-01 00:00:00'
 """
 VIEWS["failed_items"] = """
@@ -234,7 +234,7 @@ SELECT event_id, 'item-' || CAST(user_id AS STRING) AS item_id, ts,
   'PN-' || CAST(event_id % 500 AS STRING) AS mpn,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(40180000 + user_id % 90 AS STRING) END AS code,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'Goods>' || event_type || '>kind ' || CAST(user_id % 9 AS STRING) END AS classpath,
-  CAST(value * 100 AS INT) % 101 / 100.0 AS confidence,
+  CAST(CAST(floor(value * 100) AS INT) % 101 AS DOUBLE) / 100 AS confidence,
   event_type = 'click' OR event_type = 'view' AS lookup_attempted,
   CASE WHEN event_type = 'click' THEN event_id % 2 = 0 WHEN event_type = 'view' THEN event_id % 5 = 0 ELSE NULL END AS cache_hit,
   CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' AND event_id % 10 = 0 THEN 'pending' ELSE 'completed' END AS state,

@@ -29,7 +29,7 @@ FRAGMENTS["branch_class"] = """SELECT query_id, commodity_code, 0.8 * cos + 0.2
  LEFT JOIN lexes l ON l.query_id = n.query_id AND l.commodity_code = t.commodity_code) x WHERE r <= 10"""
 FRAGMENTS["prefix50"] = "SELECT * FROM lexes WHERE lex > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, commodity_code) <= 50"
 FRAGMENTS["phrase50"] = "SELECT * FROM covers QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cover DESC, commodity_code) <= 50"
-FRAGMENTS["full_pool"] = """SELECT query_id, commodity_code, round(max(score), 6) AS score FROM (
+FRAGMENTS["full_pool"] = """SELECT query_id, commodity_code, round(max(score), 8) AS score FROM (
  SELECT * FROM branch_class
  UNION ALL SELECT p.query_id, commodity_code, 0.7 * coalesce(cos, 0) + 0.3 * lex / 100 FROM prefix50 p LEFT JOIN cos_all c USING (query_id, class_code)
  UNION ALL SELECT p.query_id, commodity_code, greatest(0.7 * coalesce(cos, 0) + 0.3 * cover / 100, 0.85 * cover / 100) FROM phrase50 p LEFT JOIN cos_all c USING (query_id, class_code)) u GROUP BY 1, 2"""
@@ -96,12 +96,12 @@ def _(t):
     return tax.search(with_vectors(t), t.taxonomy, class_vectors(t)).select("query_id", "commodity_code", "score", "rank")
 
 
-@query("cls_score", """SELECT p.query_id, commodity_code, round(0.7 * coalesce(cos, 0) + 0.3 * lex / 100, 6) AS prefix_score FROM prefix50 p LEFT JOIN cos_all c USING (query_id, class_code)""")
+@query("cls_score", """SELECT p.query_id, commodity_code, round(0.7 * coalesce(cos, 0) + 0.3 * lex / 100, 8) AS prefix_score FROM prefix50 p LEFT JOIN cos_all c USING (query_id, class_code)""")
 def _(t):
     q = with_vectors(t)
     best = tax.prefix_best(q, tax.token_hits(q, t.taxonomy), 50)
     return tax.class_scores(best, q, class_vectors(t)).select(
-        "query_id", "commodity_code", F.round(0.7 * F.col("cos") + 0.3 * F.col("lex") / 100, 6).alias("prefix_score"))
+        "query_id", "commodity_code", F.round(0.7 * F.col("cos") + 0.3 * F.col("lex") / 100, 8).alias("prefix_score"))
 
 
 # ranked candidates with sibling names, one list per order
@@ -116,7 +116,7 @@ FROM (SELECT l_orderkey AS query_id, CAST(10000000 + l_partkey AS STRING) AS com
   CASE l_partkey % 5 WHEN 0 THEN 'Commercial dish washers' WHEN 1 THEN 'Domestic dish washers' WHEN 2 THEN 'Dish washer parts'
     WHEN 3 THEN 'Dishwashing racks' ELSE 'Mechanical washers' END AS commodity_name,
   CASE WHEN l_partkey % 5 IN (1, 2) THEN 'Appliances>Domestic kitchen>' ELSE 'Food service>Cleaning>' END || CAST(l_partkey AS STRING) AS classpath,
-  max(CAST(CAST(l_extendedprice AS INT) % 1000 AS DOUBLE) / 1000) AS score
+  max(CAST(CAST(floor(l_extendedprice) AS INT) % 1000 AS DOUBLE) / 1000) AS score
   FROM {lineitem} GROUP BY l_orderkey, l_partkey) x
 """
 
