@@ -8,6 +8,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestry.session import safe_unions
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -255,7 +257,7 @@ class Tables:
     """Lazy access to the driver tables and the views above, by attribute or key."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = safe_unions(spark), folder
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in VIEWS:
