@@ -10,6 +10,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
     return (SparkSession.builder.master(f"local[{cpus}]").appName(app)
             .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
             .config("spark.sql.adaptive.enabled", "true")
+            .config("spark.sql.unionOutputPartitioning", "false")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", os.environ.get("ATTESTRY_DRIVER_MEMORY", "8g"))
             .config("spark.ui.enabled", "false")
