@@ -30,8 +30,10 @@ def split_measure(value: Column, unit: Column) -> Column:
             F.when(bad, F.lit(None)).when(has_tail, tail).otherwise(explicit).alias("uom"),
             (~bad).alias("valid"))
 
+    # a value that ends in a digit other than 2 has no unit to split (lb/in2 ends in one)
+    plain = F.right(value, F.lit(1)).isin(*"013456789")
     base = let(collapse(value), lambda text: let(
-        F.regexp_extract(text, pattern, 2), lambda tail: F.struct(
+        F.when(plain, F.lit("")).otherwise(F.regexp_extract(text, pattern, 2)), lambda tail: F.struct(
             text.alias("text"), tail.alias("tail_text"), canonical_unit(tail).alias("tail"),
             canonical_unit(unit).alias("explicit"))))
     return let(base, decide)
@@ -63,7 +65,7 @@ def fractions_in_text(text: Column) -> Column:
     between = F.split(text, pattern, -1)
     joined = F.zip_with(between, F.transform(found, mixed_fraction),
                         lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(joined, "")).otherwise(text)
+    return F.when(text.contains(".") & text.rlike(pattern), F.array_join(joined, "")).otherwise(text)
 
 
 def format_measure(value: Column, unit: Column) -> Column:

@@ -216,6 +216,15 @@ def rank_names(keys: DataFrame, vocabulary: DataFrame, k: int = 3) -> DataFrame:
     """The k most similar entries for each distinct key, ties in name order."""
     q = keys.select("key").where(F.col("key") != "").distinct()
     e = vocabulary.select(F.col("key").alias("entry_key"), "canonical_name")
+    if k == 1:  # an equal key scores 100 and nothing else does
+        equal = q.join(e, F.col("key") == F.col("entry_key")).select(
+            "key", "canonical_name", "entry_key", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+        rest = q.join(e.select(F.col("entry_key").alias("key")), "key", "left_anti")
+        return equal.unionByName(_search_names(rest, e, 1))
+    return _search_names(q, e, k)
+
+
+def _search_names(q: DataFrame, e: DataFrame, k: int) -> DataFrame:
     return block_topk(q, e, k, _rank_pairs(k), "key",
                       "key string, canonical_name string, entry_key string, score double",
                       [F.desc("score"), tx.casefold(F.col("canonical_name")), F.col("canonical_name")],

@@ -64,13 +64,14 @@ def mentioned_manufacturer(evidence: DataFrame, brands: DataFrame, manufacturers
     from attestry.operators.matching import contains_join
 
     owned = brands.join(pairs.withColumnRenamed("brand_key", "key"), "key").select(
-        F.col("key").alias("bk"), F.col("canonical_name").alias("bname"), F.col("manufacturer").alias("owner"))
-    via_brand = (contains_join(evidence, "evidence_key", owned, "bk").join(owned, "bk").groupBy("evidence_key")
-                 .agg(F.min_by("owner", F.struct(tx.casefold(F.col("bname")), "bname")).alias("manufacturer")))
-    m = manufacturers.select(F.col("key").alias("mk"), F.col("canonical_name").alias("mname"))
-    via_name = (contains_join(evidence, "evidence_key", m, "mk").join(m, "mk").groupBy("evidence_key")
-                .agg(F.max("mname").alias("named")))
-    return (evidence.join(via_brand, "evidence_key", "left").join(via_name, "evidence_key", "left")
+        F.col("key").alias("k"), F.col("canonical_name").alias("bname"), F.col("manufacturer").alias("owner"))
+    named = manufacturers.select(F.col("key").alias("k"), F.col("canonical_name").alias("mname"))
+    keys = owned.select("k").unionByName(named.select("k"))
+    met = contains_join(evidence, "evidence_key", keys, "k")  # both vocabularies in one pass
+    found = (met.join(owned, "k", "left").join(named, "k", "left").groupBy("evidence_key").agg(
+        F.min_by("owner", F.when(F.col("owner").isNotNull(), F.struct(tx.casefold(F.col("bname")), "bname"))).alias("manufacturer"),
+        F.max("mname").alias("named")))
+    return (evidence.join(found, "evidence_key", "left")
             .select(key, F.coalesce("manufacturer", "named").alias("manufacturer"),
                     F.when(F.col("manufacturer").isNotNull(), 0.95).when(F.col("named").isNotNull(), 0.93).alias("confidence")))
 

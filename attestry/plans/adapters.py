@@ -253,6 +253,13 @@ def refs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give row-wise work all cores when the files come as fewer splits than that (a
+    single small row group); a no-op for data of any size worth splitting."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Tables:
     """Lazy access to the driver tables and the views above, by attribute or key."""
 
@@ -265,7 +272,8 @@ class Tables:
             return self.spark.sql(sql, **{r: self[r] for r in refs(sql)})
         if name not in TABLES:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in ("lineitem", "orders", "documents", "pages") else df
 
     __getattr__ = __getitem__
 
