@@ -10,6 +10,7 @@ from attestry.functions import text as tx
 from attestry.functions import units as un
 from attestry.operators.matching import grams
 from attestry.params import DEFAULTS
+from attestry.session import cut_lineage
 
 TRIPLE = ("attribute_label_{n}", "attribute_value_{n}", "attribute_uom_{n}")
 
@@ -141,14 +142,16 @@ def constrain(values: DataFrame, vocabulary: DataFrame, closed: DataFrame, order
     rows.  An equal comparison key scores 1; only the rest is compared, with bucket
     values of the same unit that share a block key.
     """
-    learned = learned_first(values, vocabulary, closed, order)
+    # the input shrinks to its distinct values, written once: every step below reads those
+    ok = values.where(F.col("valid") & (F.col("value") != "") & F.col("classpath").isNotNull())
+    asked = cut_lineage(ok.groupBy(*_BUCKET, "value", "uom").agg(F.min(F.struct(*order)).alias("__o")))
+    learned = learned_first(asked.withColumn("valid", F.lit(True)), vocabulary, closed, ["__o"])
     seeds = vocabulary.where(F.col("value").isNotNull()).select(*_BUCKET, "value", "uom", "seq").unionByName(
         learned.withColumn("seq", F.lit(0).cast("bigint")))
     unit = F.coalesce("uom", F.lit(""))
     entries = seeds.select(*_BUCKET, F.col("value").alias("match_value"), F.col("uom").alias("match_uom"), "seq",
                            unit.alias("__u"), tx.comparison_key(F.col("value")).alias("__k"))
-    wanted = (values.where(F.col("valid") & (F.col("value") != "") & F.col("classpath").isNotNull())
-              .select(*_BUCKET, "value", "uom").distinct().withColumn("__u", unit).withColumn("__q", tx.comparison_key(F.col("value"))))
+    wanted = asked.drop("__o").withColumn("__u", unit).withColumn("__q", tx.comparison_key(F.col("value")))
     on = [*_BUCKET, "__u"]
     first = entries.groupBy(*on, "__k").agg(F.min_by(F.struct("match_value", "match_uom"), F.struct("seq", "match_value")).alias("m"))
     equal = wanted.join(first.withColumnRenamed("__k", "__q"), [*on, "__q"]).select(*_BUCKET, "value", "uom", "m.*", F.lit(1.0).alias("score"))

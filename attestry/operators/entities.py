@@ -22,9 +22,10 @@ BRAND_FIELDS = ("e1_brand", "unilog_brand", "dib_brand")
 
 # ---- observations ------------------------------------------------------------------
 
-def observations(catalog: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+def observations(catalog: DataFrame, truth: DataFrame | None = None, cleaned: bool = False) -> DataFrame:
     """Long (kind, source, value) rows of every usable spelling in both files."""
-    cat = catalog.select(*[tx.clean_optional(F.col(c)).alias(c) for c in (*BRAND_FIELDS, "part_manuf")])
+    names = (*BRAND_FIELDS, "part_manuf")
+    cat = catalog.select(*names) if cleaned else catalog.select(*[tx.clean_optional(F.col(c)).alias(c) for c in names])
     rows = cat.unpivot([], [*BRAND_FIELDS, "part_manuf"], "field", "value").select(
         F.when(F.col("field") == "part_manuf", "manufacturer").otherwise("brand").alias("kind"),
         F.lit("catalog").alias("source"), "value")
@@ -214,8 +215,8 @@ def _rank_pairs(k: int):
 
 def rank_names(keys: DataFrame, vocabulary: DataFrame, k: int = 3) -> DataFrame:
     """The k most similar entries for each distinct key, ties in name order."""
-    q = keys.select("key").where(F.col("key") != "").distinct()
-    e = vocabulary.select(F.col("key").alias("entry_key"), "canonical_name")
+    q = cut_lineage(keys.select("key").where(F.col("key") != "").distinct())
+    e = cut_lineage(vocabulary.select(F.col("key").alias("entry_key"), "canonical_name"))
     if k == 1:  # an equal key scores 100 and nothing else does
         equal = q.join(e, F.col("key") == F.col("entry_key")).select(
             "key", "canonical_name", "entry_key", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))

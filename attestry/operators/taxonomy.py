@@ -17,6 +17,7 @@ from attestry.functions import text as tx
 from attestry.functions import vectors as vec
 from attestry.operators.matching import block_topk
 from attestry.params import DEFAULTS, Params
+from attestry.session import cut_lineage
 
 
 def path_text() -> Column:
@@ -237,8 +238,8 @@ def _category(k: int):
 def nearest_path(paths: DataFrame, catalog_paths: DataFrame, cutoff: float = DEFAULTS.category_cutoff) -> DataFrame:
     """(classpath, path, score): best catalog path per distinct path at or above the
     cutoff.  A path that is itself in the catalog scores 100 and needs no search."""
-    want = paths.select("classpath").where(F.col("classpath").isNotNull()).distinct()
-    have = catalog_paths.select("path").distinct()
+    want = cut_lineage(paths.select("classpath").where(F.col("classpath").isNotNull()).distinct())
+    have = cut_lineage(catalog_paths.select("path").distinct())
     exact = want.join(have, F.col("classpath") == F.col("path")).select("classpath", "path", F.lit(100.0).alias("score"))
     rest = want.join(have.withColumnRenamed("path", "classpath"), "classpath", "left_anti")
     near = block_topk(rest, have, 1, _category(1), "classpath", "classpath string, path string, score double",

@@ -9,7 +9,7 @@ from attestry.operators import description as ds
 from attestry.plans.adapters import VIEWS
 from attestry.plans.q_text import d_fold, d_key
 from attestry.plans.registry import FRAGMENTS, query
-from attestry.session import scratch_path
+from attestry.session import cut_lineage, scratch_path
 from attestry.sources import catalog as src
 
 LIMITS = {"MOBILE_DESC": 80, "INVOICE_DESC": 40, "SHORT_DESC": 60, "LONG_DESC1": 100, "RETAIL_DESC": 50}
@@ -151,8 +151,9 @@ UNION ALL SELECT x.item_id, 'attribute:' || x.label, coalesce(f.value IS NOT NUL
 UNION ALL SELECT item_id, 'description:' || field, value IS NOT NULL AND compliant FROM desc_long"""
 
 
-def audit_status(t):
-    return au.status_rows(t.audit_base, t.item_labels.select("item_id", "label"), t.finals, t.checked, ds.field_rows(described(t)))
+def audit_status(t, fields=None):
+    return au.status_rows(t.audit_base, t.item_labels.select("item_id", "label"), t.finals, t.checked,
+                          fields or ds.field_rows(described(t)))
 
 
 @query("aud_status", "SELECT item_id, field, okay FROM status")
@@ -168,8 +169,9 @@ SELECT s.item_id, resolved, total, round_even(100.0 * resolved / total, 2)::DOUB
  round_even(100.0 * produced / nullif(expected, 0), 2)::DOUBLE AS attribute_percent, coalesce(produced, 0) AS produced, coalesce(expected, 0) AS expected, round_even(100.0 * dk / nullif(dt, 0), 2)::DOUBLE AS character_percent, dk AS desc_ok, dt AS desc_total
 FROM s LEFT JOIN a USING (item_id) LEFT JOIN d USING (item_id)""")
 def _(t):
-    return au.percentages(audit_status(t), t.item_labels.select("item_id", "label"), t.first_extracted,
-                          t.normalized.where("idx = 0"), t.checked, ds.field_rows(described(t)))
+    fields = cut_lineage(ds.field_rows(described(t)))
+    return au.percentages(audit_status(t, fields), t.item_labels.select("item_id", "label"), t.first_extracted,
+                          t.normalized.where("idx = 0"), t.checked, fields)
 
 
 FRAGMENTS["routes"] = "SELECT s.item_id, bool_or(NOT okay) OR coalesce(bool_or(b.o), false) AS routed FROM (SELECT * FROM status WHERE field NOT LIKE 'description:MARK%' AND (field LIKE 'attr%' OR field = 'brand')) s LEFT JOIN (SELECT o_orderkey AS item_id, o_custkey % 17 = 0 AS o FROM orders) b USING (item_id) GROUP BY 1"

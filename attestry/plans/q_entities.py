@@ -10,7 +10,7 @@ from attestry.plans.adapters import VIEWS
 from attestry.plans.q_text import d_clean, d_collapse, d_display, d_domain, d_fold, d_key, d_placeholder, page_links
 from attestry.plans.q_units import d_indel
 from attestry.plans.registry import FRAGMENTS, query
-from attestry.session import scratch_path
+from attestry.session import cut_lineage, scratch_path
 from attestry.sources import reference as ref
 
 FRAGMENTS["truth_names"] = f"""SELECT row_no, CASE WHEN NOT {d_placeholder('m')} THEN m END AS m, CASE WHEN NOT {d_placeholder('b')} THEN b END AS b
@@ -205,8 +205,11 @@ LEFT JOIN manuf_vocab v ON v.key = {d_key('c.part_manuf')}"""
 
 
 def resolved(t):
-    return en.resolve_catalog(cleaning.clean_catalog(t.catalog), brand_vocabulary(t), manufacturer_vocabulary(t),
-                              en.pairing(t.truth), t.lookup_cache)
+    """Cleaned rows and counted spellings are written once; everything else reads them."""
+    cleaned = cut_lineage(cleaning.clean_catalog(t.catalog))
+    counted = cut_lineage(en.count_spellings(en.observations(cleaned, t.truth, cleaned=True)))
+    of = lambda kind: en.canonical_entries(counted.where(F.col("kind") == kind), [], "key")
+    return en.resolve_catalog(cleaned, of("brand"), of("manufacturer"), en.pairing(t.truth), t.lookup_cache)
 
 
 @query("ent_resolve_brand", "SELECT row_no, brand, conflict FROM brand_res")

@@ -8,6 +8,7 @@ from attestry.plans.adapters import VIEWS
 from attestry.plans.q_text import d_cmp_key
 from attestry.plans.q_units import d_unit, split_views
 from attestry.plans.registry import FRAGMENTS, query
+from attestry.session import cut_lineage
 
 FRAGMENTS["comply"] = f"""SELECT e.item_id, e.label, e.idx, n.value IS NOT NULL AS vocabulary_compliant,
  s.valid AND (e.uom IS NULL OR {d_unit('e.uom')} IS NOT NULL) AND (n.uom IS NULL OR s.uom IS NOT DISTINCT FROM n.uom) AS uom_compliant
@@ -70,8 +71,14 @@ FROM (SELECT k.item_id, k.label, count(DISTINCT k.sk) AS n_ext, count(DISTINCT C
 LEFT JOIN first_verdict v ON v.item_id = a.item_id AND v.label = a.label"""
 
 
-def state(t):
-    return adj.conflicts(adj.candidates(t.extracted, t.normalized), merged(t))
+def state(t, cands=None):
+    return adj.conflicts(cands or adj.candidates(t.extracted, t.normalized), merged(t))
+
+
+def written(t):
+    """Candidates and conflict state, written once for the steps that read them often."""
+    c = cut_lineage(adj.candidates(t.extracted, t.normalized))
+    return c, cut_lineage(state(t, c))
 
 
 @query("adj_conflict", "SELECT * FROM state")
@@ -85,7 +92,7 @@ QUALIFY row_number() OVER (PARTITION BY item_id, label ORDER BY priority DESC, k
 
 @query("adj_pass", "SELECT * FROM passed")
 def _(t):
-    return adj.passthrough(adj.candidates(t.extracted, t.normalized), state(t))
+    return adj.passthrough(*written(t))
 
 
 VIEWS["decision_rows"] = """
@@ -113,13 +120,13 @@ FRAGMENTS["match_ok"] = """SELECT s.item_id, bool_and(d.label IS NOT NULL) AS la
 
 @query("set_partition", "SELECT item_id, label, ids_ok FROM part_ok")
 def _(t):
-    c, st = adj.candidates(t.extracted, t.normalized), state(t)
+    c, st = written(t)
     return adj.ids_partition(c, decisions(t, st)).select("item_id", "label", "ids_ok")
 
 
 @query("set_label_match", "SELECT item_id, labels_match FROM match_ok")
 def _(t):
-    st = state(t)
+    _, st = written(t)
     return adj.decision_sets_match(st, decisions(t, st))
 
 
@@ -138,7 +145,7 @@ FROM (SELECT *, given AND ok AND pid IS NOT NULL AND coalesce(entailment IN ('su
 
 
 def settled(t):
-    c, st = adj.candidates(t.extracted, t.normalized), state(t)
+    c, st = written(t)
     return c, st, adj.settle(c, st, decisions(t, st))
 
 
