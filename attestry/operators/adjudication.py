@@ -44,13 +44,15 @@ def conflicts(cands: DataFrame, verdicts: DataFrame) -> DataFrame:
     lineage = keyed.groupBy(*LABEL, "lineage").agg(F.min("sk").alias("lo"), F.max("sk").alias("hi"),
         F.min(F.when(F.col("kind") == "extracted", F.col("sk"))).alias("elo"), F.max(F.when(F.col("kind") == "extracted", F.col("sk"))).alias("ehi"),
         F.max(F.when(F.col("kind") == "extracted", F.col("priority"))).alias("prio"))
-    g = lineage.groupBy(*LABEL).agg(
-        F.max(~F.col("lo").eqNullSafe(F.col("hi"))).alias("drift"),
-        (~F.min("elo").eqNullSafe(F.max("ehi"))).alias("differ"), F.max("prio").alias("best"), F.count("*").alias("lineages"))
-    best = (lineage.join(g.select(*LABEL, "best"), LABEL).where(F.col("prio") == F.col("best")).groupBy(*LABEL)
-            .agg((~F.min("elo").eqNullSafe(F.max("ehi"))).alias("top_conflict")))
+    # one pass per priority, then one per label: the values are parsed once and nothing is joined back
+    level = lineage.groupBy(*LABEL, "prio").agg(
+        F.max(~F.col("lo").eqNullSafe(F.col("hi"))).alias("drift"), F.min("elo").alias("elo"), F.max("ehi").alias("ehi"),
+        F.count("*").alias("n"))
+    g = level.groupBy(*LABEL).agg(
+        F.max("drift").alias("drift"), (~F.min("elo").eqNullSafe(F.max("ehi"))).alias("differ"), F.sum("n").alias("lineages"),
+        F.max_by(~F.col("elo").eqNullSafe(F.col("ehi")), "prio").alias("top_conflict"))
     v = verdicts.groupBy(*LABEL).agg(F.min_by("entailment", "idx").alias("entailment"))
-    out = g.join(best, LABEL).join(v, LABEL, "left")
+    out = g.join(v, LABEL, "left")
     weak = F.col("entailment").isNull() | F.col("entailment").isin("not_supported", "ambiguous")
     return out.select(*LABEL, (weak | F.col("drift") | F.col("differ")).alias("conflict"), "entailment",
                       ((F.col("lineages") > 1) & F.col("top_conflict")).alias("top_conflict"))
