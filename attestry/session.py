@@ -1,7 +1,9 @@
 """Session helpers: defaults for local runs and lineage cuts that survive lost executors."""
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,23 @@ def safe_unions(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once per context: functions used in Arrow code are pickled by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_attestry_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "attestry.zip")  # served by the driver from here
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(os.path.join(root, "attestry")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, root))
+    sc.addPyFile(target)
+    sc._attestry_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
     sc = spark.sparkContext
@@ -33,7 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local"):
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
