@@ -5,13 +5,14 @@ times what it has; what is above goes to the others by weight.  Every
 document is first taken a certain whole number of times; the rest is a sample
 of fixed size (in words) in Pareto order: documents are ranked by random odds
 over inclusion odds, u / (1 - u) over pi / (1 - pi), and taken from the
-smallest on until the source's words are reached (to the nearest document).
+smallest on while they fit into the source's words; what the last that does
+not fit leaves open goes to later ones that do (`rounds` times).
 Documents may carry weights of their own; then inclusion is unequal inside a
 source too.
 
 No rank over all rows is made: a histogram of the order (`BUCKETS` per source)
 finds the bucket where each source's words run out, and only that bucket is
-ordered.  The result is a plan with one row per source and weight class,
+ordered, in each round.  The result is a plan with one row per source and weight class,
 which any task can apply to a document alone.
 
 Cases: null and empty texts have size 0 and are never taken; null sources form
@@ -22,6 +23,8 @@ sources and weight classes is ordered in one task; it has one row per
 """
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +35,14 @@ from attestry.llm.common import stored
 BUCKETS = 65536
 #: bits of the random number of a document
 BITS = 52
+_PLACE = "struct<step:bigint,odds:double,doc_id:bigint,size:bigint>"
 
 
 @dataclass(frozen=True)
 class MixParams:
     max_copies: float = 3.0
     cycle: int = 3              # sources weigh 1 .. cycle, repeating, by code point
+    rounds: int = 3             # runs down the order; later ones fill what is left with documents that fit
     seed: str = "mix-1"
 
 
@@ -109,28 +114,53 @@ def make_plan(sizes: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     own = own.withColumn("pi_source", F.sum(F.col("pi") * F.col("size_all")).over(inside) / F.greatest(F.lit(1), F.max("source_size").over(inside)))
     own = stored(own.select("source", "weight", "source_size", "source_target", "copies", "pi", "pi_source", "words_left"), "mix-classes")
 
-    placed = _ordered(sizes, own, p).where("odds is not null")
+    plan = own.withColumns({"cuts": F.array().cast(f"array<{_PLACE}>"), "limits": F.array().cast("array<long>")})
+    for last in [False] * (p.rounds - 1) + [True]:
+        plan = stored(_next_cut(sizes, plan, last, p), "mix-plan")
+    return plan
+
+
+def _place() -> Column:
+    return F.struct(F.col("step"), F.col("odds"), F.col("doc_id"), F.col("size"))
+
+
+def _next_cut(sizes: DataFrame, plan: DataFrame, last: bool, p: MixParams) -> DataFrame:
+    """Run once more down the order, over documents that come after the cuts so far and fit into the words still left."""
+    placed = _ordered(sizes, plan, p).where("odds is not null").withColumn("place", _place().cast(_PLACE))
+    fit = F.col("size").cast("double") <= (F.col("words_left") * (2 if last else 1))
+    behind = (F.size("cuts") == 0) | (F.col("place") > F.element_at("cuts", -1))
+    placed = placed.where(behind & ((F.size("cuts") == 0) | fit))
     steps = placed.groupBy("source", "step").agg(F.sum("size").alias("words"), F.max("words_left").alias("words_left"))
     upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("words_before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     edge = steps.where("words_before <= words_left and words_left < words_before + words").select(
         F.col("source").alias("edge_source"), F.col("step").alias("edge_step"), "words_before")
-    last = placed.join(edge, F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("step") == F.col("edge_step")))
-    run = Window.partitionBy("source").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("words_before") + F.coalesce(F.sum("size").over(run), F.lit(0))
-    last = last.select("source", "step", "odds", "doc_id", "size", (before + F.col("size") / 2 <= F.col("words_left")).alias("taken"))
-    cuts = last.groupBy(F.col("source").alias("cut_source")).agg(
-        F.max("step").alias("cut_step"), F.max(F.when(F.col("taken"), F.struct("odds", "doc_id", "size"))).alias("cut"))
-    plan = own.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    return stored(plan, "mix-plan")
+    inside = placed.join(edge, F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("step") == F.col("edge_step")))
+    run = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    after = F.col("words_before") + F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") / (2 if last else 1)
+    inside = inside.select("source", "step", "place", "size", "words_before", (after <= F.col("words_left")).alias("taken"))
+    none = lambda step: F.struct(step, F.lit(-1.0), F.lit(None), F.lit(None)).cast(_PLACE)
+    cuts = inside.groupBy("source").agg(
+        F.coalesce(F.max(F.when(F.col("taken"), F.col("place"))), none(F.max("step"))).alias("cut"),
+        (F.max("words_before") + F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))), F.lit(0))).alias("used"))
+    # a source whose words all fit has no edge: it is taken to the end
+    whole = steps.groupBy("source").agg(F.sum("words").alias("words"))
+    cuts = whole.alias("w").join(cuts.alias("c"), F.col("w.source").eqNullSafe(F.col("c.source")), "left").select(
+        F.col("w.source").alias("cut_source"), F.coalesce("c.cut", none(F.lit(BUCKETS + 1))).alias("cut"), F.coalesce("c.used", "w.words").alias("used"))
+    found = plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    limit = F.when(F.size("cuts") == 0, F.lit(2 ** 62)).otherwise(F.floor(F.col("words_left") * (2 if last else 1)))
+    cut = F.coalesce("cut", F.when(F.size("cuts") > 0, F.element_at("cuts", -1)), none(F.lit(-1)))
+    return found.select(*[c for c in plan.columns if c not in ("words_left", "cuts", "limits")],
+                        (F.col("words_left") - F.coalesce("used", F.lit(0))).alias("words_left"),
+                        F.concat("cuts", F.array(cut)).alias("cuts"), F.concat("limits", F.array(limit.cast("long"))).alias("limits"))
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """Add `times` (how often the mix takes the document), `source_size` and `source_target` to sized documents; other columns stay."""
     d = _ordered(docs, plan, p)
-    place = F.struct(F.col("odds"), F.col("doc_id"), F.col("size"))
-    sampled = F.when(F.col("odds").isNull(), 0).when(F.col("cut_step").isNull(), 1).when(F.col("step") < F.col("cut_step"), 1).when(
-        (F.col("step") == F.col("cut_step")) & F.col("cut").isNotNull() & (place <= F.col("cut")), 1).otherwise(0)
+    place, cut = _place().cast(_PLACE), lambda j: F.element_at("cuts", j + 1)
+    rounds = [(place <= cut(j)) & (F.col("size") <= F.element_at("limits", j + 1)) & ((place > cut(j - 1)) if j else F.lit(True)) for j in range(p.rounds)]
+    sampled = F.when(F.col("odds").isNotNull() & reduce(or_, rounds), 1).otherwise(0)
     d = d.withColumn("times", F.when(F.col("size") > 0, F.col("copies") + sampled).otherwise(0).cast("long"))
     return d.select(*docs.columns, "times", "source_size", "source_target")
 

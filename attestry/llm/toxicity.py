@@ -1,7 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated as extreme values.
 
-Tokens are scored by the log-odds of toxic against clean labelled texts, with
-the whole corpus as Dirichlet prior.  A linear scan finds all maximal scoring
+Tokens (words and their stems, whichever says more) are scored by the log-odds of toxic against clean labelled texts that
+hold them, with the whole corpus as Dirichlet prior, drawn towards zero by
+their standard error.  A linear scan finds all maximal scoring
 segments of a text (Ruzzo and Tompa 1999).  The best segment of a clean text of
 n tokens follows an extreme-value law, P(S >= s) = 1 - exp(-K n exp(-lambda s)):
 lambda solves sum p(token) exp(lambda * score) = 1 over clean tokens, K is
@@ -21,6 +22,7 @@ extra columns are ignored; an empty table gives an empty table.
 
 import zlib
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +35,27 @@ _FOLD = bytes.maketrans(b"""ABCDEFGHIJKLMNOPQRSTUVWXYZ!"#$%&'()*+,-./:;<=>?@[\\]
                         b"abcdefghijklmnopqrstuvwxyz" + b" " * 32)
 
 
+#: bytes of the stems: a token is also known by its first letters
+STEMS = (4, 6)
+
+
 @dataclass(frozen=True)
 class ToxicParams:
     bins: int = 65536
     sample: int = 8000          # labelled rows of each kind that the model is fitted on, by smallest keyed hash
-    prior: float = 20_000.0     # tokens the prior weighs as much as
-    drift: float = 0.5          # taken off each token's log-odds: what a token must say to lengthen a passage
+    prior: float = 0.1          # texts the prior weighs as much as, for each labelled text
+    doubt: float = 3.0          # standard errors by which log-odds are drawn towards zero
+    drift: float = 0.2          # taken off each token's log-odds: what a token must say to lengthen a passage
     unlikely: float = 1e-3      # a passage is reported if a clean text has one as good with at most this probability
     cut: float = 0.3
 
 
 def hashes(text: str) -> np.ndarray:
-    """A 32-bit hash of each token: runs of lower-cased letters, digits and other non-ASCII characters."""
+    """Three 32-bit hashes of each token (a run of lower-cased letters, digits and other non-ASCII characters): of the whole
+    token, of its stem and of its longer stem."""
     words = text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    return np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words))
+    kinds = [map(zlib.crc32, words), *[map(zlib.crc32, [w[:n] for w in words], repeat(n)) for n in STEMS]]
+    return np.stack([np.fromiter(k, dtype=np.uint32, count=len(words)) for k in kinds])
 
 
 def halves(h: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +97,7 @@ class ToxicModel:
 
     def token_scores(self, text: str) -> np.ndarray:
         a, b = halves(hashes(text), self.p.bins)
-        return np.minimum(self.weights[a], self.weights[b])
+        return np.minimum(self.weights[a], self.weights[b]).max(axis=0)
 
     def surprise(self, score: float, n: int) -> float:
         """Minus the log of the probability that a clean text of n tokens has a segment this good."""
@@ -116,49 +125,64 @@ def _labelled(docs: DataFrame, labels: DataFrame, p: ToxicParams) -> DataFrame:
 
 
 def _counts(docs: DataFrame, sample: DataFrame, bins: int) -> np.ndarray:
-    """Token counts (all texts, clean sample, toxic sample) by bin of either table; one row per bin and partition is shuffled."""
+    """Numbers of texts (all, clean sample, toxic sample) that hold each bin of either table, and at the end of all texts;
+    one row per bin and input partition is shuffled."""
 
     def count(batches):
-        n = np.zeros((3, 2 * bins), np.int64)
+        n = np.zeros((3, 2 * bins + 1), np.int64)
+        held: list[list] = [[], [], []]
+
+        def add():
+            for own, total in zip(held, n):
+                if own:
+                    total += np.bincount(np.concatenate(halves(np.concatenate(own), bins)), minlength=2 * bins + 1)
+                own.clear()
+
         for batch in batches:
+            size = 0
             for t, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                text = t.as_py()
-                if text:
-                    own = np.bincount(np.concatenate(halves(hashes(text), bins)), minlength=2 * bins) if len(text) > 200_000 else None
-                    if own is None:
-                        at = np.concatenate(halves(hashes(text), bins))
-                        np.add.at(n[0], at, 1)
-                        if toxic is not None:
-                            np.add.at(n[1 + toxic], at, 1)
-                    else:
-                        n[0] += own
-                        if toxic is not None:
-                            n[1 + toxic] += own
+                own = np.unique(hashes(t.as_py() or ""))
+                for k in (0,) if toxic is None else (0, 1 + toxic):
+                    held[k].append(own)
+                    n[k, -1] += 1
+                size += len(own)
+                if size > 2_000_000:
+                    add()
+                    size = 0
+            add()
         at = np.nonzero(n[0])[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(x[at]) for x in n]], ["bin", "everywhere", "clean", "toxic"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "toxic")
     summed = rows.mapInArrow(count, "bin long, everywhere long, clean long, toxic long").groupBy("bin").agg(
-        F.sum("everywhere"), F.sum("clean"), F.sum("toxic")).toPandas().to_numpy()      # at most 2 * bins rows
-    total = np.zeros((3, 2 * bins))
+        F.sum("everywhere"), F.sum("clean"), F.sum("toxic")).toPandas().to_numpy()      # at most 2 * bins + 1 rows
+    total = np.zeros((3, 2 * bins + 1))
     if len(summed):
         total[:, summed[:, 0].astype(np.int64)] = summed[:, 1:].T
     return total
 
 
+def _prior(total: np.ndarray, p: ToxicParams) -> np.ndarray:
+    """Pseudo-texts that hold each bin: the same share of them as of all texts."""
+    return _pseudo(total, p) * (total[0, :-1] + 0.01) / (total[0, -1] + 1.0)
+
+
+def _pseudo(total: np.ndarray, p: ToxicParams) -> float:
+    return max(10.0, p.prior * (total[1, -1] + total[2, -1]))
+
+
 def _weights(total: np.ndarray, p: ToxicParams) -> np.ndarray:
-    """Log-odds of toxic against clean with the corpus as Dirichlet prior, less the drift, in each table."""
-    out = []
-    for t in (total[:, :p.bins], total[:, p.bins:]):
-        alpha = p.prior * (t[0] + 0.01) / (t[0].sum() + 0.01 * p.bins)
-        odds = [np.log((c + alpha) / (c.sum() + p.prior - c - alpha)) for c in (t[1], t[2])]
-        out.append(odds[1] - odds[0] - p.drift)
-    return np.concatenate(out)
+    """Log-odds of toxic against clean with the corpus as Dirichlet prior, drawn towards zero by `doubt` standard errors, less the drift."""
+    alpha, (clean, toxic) = _prior(total, p), total[1:, :-1]
+    odds = lambda c, n: np.log((c + alpha) / (n + _pseudo(total, p) - c - alpha).clip(0.5))
+    delta = odds(toxic, total[2, -1]) - odds(clean, total[1, -1])
+    error = np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
+    return np.sign(delta) * np.maximum(np.abs(delta) - p.doubt * error, 0.0) - p.drift
 
 
 def _rate(weights: np.ndarray, clean: np.ndarray, bins: int) -> float:
-    """lambda > 0 with mean exp(lambda * score) = 1 over clean tokens, by bisection."""
-    share = clean[:bins] / max(clean[:bins].sum(), 1)
+    """lambda > 0 with mean exp(lambda * score) = 1 over the tokens of clean texts and the prior, by bisection."""
+    share = clean[:bins] / max(clean[:bins].sum(), 1e-9)
     f = lambda x: float((share * np.exp(np.clip(x * weights[:bins], -700, 700))).sum())
     low, high = 1e-3, 1e-3
     while f(high) < 1 and high < 64:
@@ -183,10 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams()) ->
     sample = _labelled(docs, labels, p)
     sample = docs.sparkSession.createDataFrame([tuple(r) for r in sample.collect()], sample.schema)     # at most 2 * p.sample rows
     total = _counts(docs, sample, p.bins)
-    if not total[1].sum() or not total[2].sum():
+    if not total[1, -1] or not total[2, -1]:
         return ToxicModel(np.full(2 * p.bins, -1.0), 1.0, 0.0, (-5.0, 0.0, 0.0), p)
     weights = _weights(total, p)
-    model = ToxicModel(weights, _rate(weights, total[1], p.bins), 0.0, (0.0, 0.0, 0.0), p)
+    model = ToxicModel(weights, _rate(weights, total[1, :-1] + _prior(total, p), p.bins), 0.0, (0.0, 0.0, 0.0), p)
 
     def best(batches):
         for batch in batches:
