@@ -128,7 +128,7 @@ def _next_cut(sizes: DataFrame, plan: DataFrame, last: bool, p: MixParams) -> Da
     """Run once more down the order, over documents that come after the cuts so far and fit into the words still left."""
     placed = _ordered(sizes, plan, p).where("odds is not null").withColumn("place", _place().cast(_PLACE))
     fit = F.col("size").cast("double") <= (F.col("words_left") * (2 if last else 1))
-    behind = (F.size("cuts") == 0) | (F.col("place") > F.element_at("cuts", -1))
+    behind = (F.size("cuts") == 0) | (F.col("place") > F.try_element_at("cuts", F.lit(-1)))
     placed = placed.where(behind & ((F.size("cuts") == 0) | fit))
     steps = placed.groupBy("source", "step").agg(F.sum("size").alias("words"), F.max("words_left").alias("words_left"))
     upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,7 +149,7 @@ def _next_cut(sizes: DataFrame, plan: DataFrame, last: bool, p: MixParams) -> Da
         F.col("w.source").alias("cut_source"), F.coalesce("c.cut", none(F.lit(BUCKETS + 1))).alias("cut"), F.coalesce("c.used", "w.words").alias("used"))
     found = plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
     limit = F.when(F.size("cuts") == 0, F.lit(2 ** 62)).otherwise(F.floor(F.col("words_left") * (2 if last else 1)))
-    cut = F.coalesce("cut", F.when(F.size("cuts") > 0, F.element_at("cuts", -1)), none(F.lit(-1)))
+    cut = F.coalesce("cut", F.when(F.size("cuts") > 0, F.try_element_at("cuts", F.lit(-1))), none(F.lit(-1)))
     return found.select(*[c for c in plan.columns if c not in ("words_left", "cuts", "limits")],
                         (F.col("words_left") - F.coalesce("used", F.lit(0))).alias("words_left"),
                         F.concat("cuts", F.array(cut)).alias("cuts"), F.concat("limits", F.array(limit.cast("long"))).alias("limits"))
@@ -158,8 +158,8 @@ def _next_cut(sizes: DataFrame, plan: DataFrame, last: bool, p: MixParams) -> Da
 def apply_plan(docs: DataFrame, plan: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """Add `times` (how often the mix takes the document), `source_size` and `source_target` to sized documents; other columns stay."""
     d = _ordered(docs, plan, p)
-    place, cut = _place().cast(_PLACE), lambda j: F.element_at("cuts", j + 1)
-    rounds = [(place <= cut(j)) & (F.col("size") <= F.element_at("limits", j + 1)) & ((place > cut(j - 1)) if j else F.lit(True)) for j in range(p.rounds)]
+    place, cut = _place().cast(_PLACE), lambda j: F.try_element_at("cuts", F.lit(j + 1))
+    rounds = [(place <= cut(j)) & (F.col("size") <= F.try_element_at("limits", F.lit(j + 1))) & ((place > cut(j - 1)) if j else F.lit(True)) for j in range(p.rounds)]
     sampled = F.when(F.col("odds").isNotNull() & reduce(or_, rounds), 1).otherwise(0)
     d = d.withColumn("times", F.when(F.col("size") > 0, F.col("copies") + sampled).otherwise(0).cast("long"))
     return d.select(*docs.columns, "times", "source_size", "source_target")
