@@ -130,26 +130,27 @@ def _next_cut(sizes: DataFrame, plan: DataFrame, last: bool, p: MixParams) -> Da
     fit = F.col("size").cast("double") <= (F.col("words_left") * (2 if last else 1))
     behind = (F.size("cuts") == 0) | (F.col("place") > F.try_element_at("cuts", F.lit(-1)))
     placed = placed.where(behind & ((F.size("cuts") == 0) | fit))
-    steps = placed.groupBy("source", "step").agg(F.sum("size").alias("words"), F.max("words_left").alias("words_left"))
+    steps = placed.groupBy("source", "step").agg(F.sum("size").alias("words"), F.max("words_left").alias("words_left"), F.max("place").alias("top"))
     upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("words_before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    steps = steps.withColumn("words_before", F.coalesce(F.sum("words").over(upto), F.lit(0))).withColumn("top_before", F.max("top").over(upto))
     edge = steps.where("words_before <= words_left and words_left < words_before + words").select(
-        F.col("source").alias("edge_source"), F.col("step").alias("edge_step"), "words_before")
+        F.col("source").alias("edge_source"), F.col("step").alias("edge_step"), "words_before", "top_before")
     inside = placed.join(edge, F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("step") == F.col("edge_step")))
     run = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     after = F.col("words_before") + F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") / (2 if last else 1)
-    inside = inside.select("source", "step", "place", "size", "words_before", (after <= F.col("words_left")).alias("taken"))
-    none = lambda step: F.struct(step, F.lit(-1.0), F.lit(None), F.lit(None)).cast(_PLACE)
+    inside = inside.select("source", "step", "place", "size", "words_before", "top_before", (after <= F.col("words_left")).alias("taken"))
     cuts = inside.groupBy("source").agg(
-        F.coalesce(F.max(F.when(F.col("taken"), F.col("place"))), none(F.max("step"))).alias("cut"),
+        F.coalesce(F.max(F.when(F.col("taken"), F.col("place"))), F.max("top_before")).alias("cut"),
         (F.max("words_before") + F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))), F.lit(0))).alias("used"))
     # a source whose words all fit has no edge: it is taken to the end
-    whole = steps.groupBy("source").agg(F.sum("words").alias("words"))
+    whole = steps.groupBy("source").agg(F.sum("words").alias("words"), F.max("top").alias("top"))
     cuts = whole.alias("w").join(cuts.alias("c"), F.col("w.source").eqNullSafe(F.col("c.source")), "left").select(
-        F.col("w.source").alias("cut_source"), F.coalesce("c.cut", none(F.lit(BUCKETS + 1))).alias("cut"), F.coalesce("c.used", "w.words").alias("used"))
+        F.col("w.source").alias("cut_source"), F.when(F.col("c.used").isNull(), F.col("w.top")).otherwise(F.col("c.cut")).alias("cut"),
+        F.coalesce("c.used", "w.words").alias("used"))
     found = plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
     limit = F.when(F.size("cuts") == 0, F.lit(2 ** 62)).otherwise(F.floor(F.col("words_left") * (2 if last else 1)))
-    cut = F.coalesce("cut", F.when(F.size("cuts") > 0, F.try_element_at("cuts", F.lit(-1))), none(F.lit(-1)))
+    start = F.struct(F.lit(-1), F.lit(-1.0), F.lit(None), F.lit(None)).cast(_PLACE)
+    cut = F.coalesce("cut", F.try_element_at("cuts", F.lit(-1)), start)
     return found.select(*[c for c in plan.columns if c not in ("words_left", "cuts", "limits")],
                         (F.col("words_left") - F.coalesce("used", F.lit(0))).alias("words_left"),
                         F.concat("cuts", F.array(cut)).alias("cuts"), F.concat("limits", F.array(limit.cast("long"))).alias("limits"))

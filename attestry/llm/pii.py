@@ -29,7 +29,8 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3}+)?)(?![A-Za-z0-9])",
+    # no letter or digit may stand on either side, which is checked afterwards
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -83,6 +84,15 @@ def _valid(kind: str, value: Column) -> Column:
     return _mod97(value)
 
 
+def _apart(kind: str, text: Column, start: Column, value: Column) -> Column:
+    """Account numbers stand alone: no letter or digit touches them."""
+    if kind != "iban":
+        return F.lit(True)
+    before = F.when(start > 0, F.substr(text, start, F.lit(1))).otherwise("")
+    after = F.substr(text, start + F.length(value) + 1, F.lit(1))
+    return ~F.concat(before, F.lit(" "), after).rlike("[A-Za-z0-9]")
+
+
 def _starts(text: Column, found: Column, pattern: str) -> Column:
     """Start of each match: lengths of the gaps up to it and of the matches before it."""
     gaps = F.split(text, pattern, -1)
@@ -107,7 +117,7 @@ def _confirmed(kind: str, rank: int, text: Column, values: Column, p: PiiParams)
                         value.alias("value"), _score(kind, text, start, p).alias("score"))
 
     pairs = F.zip_with(_starts(text, values, PATTERNS[kind]), values, lambda s, v: F.struct(s.alias("start"), v.alias("value")))
-    return F.transform(F.filter(pairs, lambda x: _valid(kind, x["value"])), span)
+    return F.transform(F.filter(pairs, lambda x: _valid(kind, x["value"]) & _apart(kind, text, x["start"], x["value"])), span)
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans", p: PiiParams = PiiParams()) -> DataFrame:
