@@ -6,7 +6,7 @@ document is first taken a certain whole number of times; the rest is a sample
 of fixed size (in words) in Pareto order: documents are ranked by random odds
 over inclusion odds, u / (1 - u) over pi / (1 - pi), and taken from the
 smallest on while they fit into the source's words; what the last that does
-not fit leaves open goes to later ones that do (`rounds` times).
+not fit leaves open goes to others that do (`rounds` times).
 Documents may carry weights of their own; then inclusion is unequal inside a
 source too.
 
@@ -23,8 +23,6 @@ sources and weight classes is ordered in one task; it has one row per
 """
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,21 +113,28 @@ def make_plan(sizes: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     own = stored(own.select("source", "weight", "source_size", "source_target", "copies", "pi", "pi_source", "words_left"), "mix-classes")
 
     plan = own.withColumns({"cuts": F.array().cast(f"array<{_PLACE}>"), "limits": F.array().cast("array<long>")})
-    for last in [False] * (p.rounds - 1) + [True]:
-        plan = stored(_next_cut(sizes, plan, last, p), "mix-plan")
+    for done in range(p.rounds):
+        plan = stored(_next_cut(sizes, plan, done, p), "mix-plan")
     return plan
 
 
 def _place() -> Column:
-    return F.struct(F.col("step"), F.col("odds"), F.col("doc_id"), F.col("size"))
+    return F.struct(F.col("step"), F.col("odds"), F.col("doc_id"), F.col("size")).cast(_PLACE)
 
 
-def _next_cut(sizes: DataFrame, plan: DataFrame, last: bool, p: MixParams) -> DataFrame:
-    """Run once more down the order, over documents that come after the cuts so far and fit into the words still left."""
-    placed = _ordered(sizes, plan, p).where("odds is not null").withColumn("place", _place().cast(_PLACE))
-    fit = F.col("size").cast("double") <= (F.col("words_left") * (2 if last else 1))
-    behind = (F.size("cuts") == 0) | (F.col("place") > F.try_element_at("cuts", F.lit(-1)))
-    placed = placed.where(behind & ((F.size("cuts") == 0) | fit))
+def _sampled(rounds: int) -> Column:
+    """True if one of the first rounds took the document: it was not taken before, fits, and comes no later than the round's cut."""
+    taken = F.lit(False)
+    for j in range(1, rounds + 1):
+        taken = taken | ((F.col("size") <= F.try_element_at("limits", F.lit(j))) & (_place() <= F.try_element_at("cuts", F.lit(j))))
+    return taken
+
+
+def _next_cut(sizes: DataFrame, plan: DataFrame, done: int, p: MixParams) -> DataFrame:
+    """Run once more down the order, over documents that were not taken and fit into the words still left."""
+    last = done + 1 == p.rounds
+    limit = F.lit(2 ** 62) if not done else F.floor(F.greatest(F.lit(0.0), F.col("words_left")) * (2 if last else 1)).cast("long")
+    placed = _ordered(sizes, plan, p).where("odds is not null").where(~_sampled(done) & (F.col("size") <= limit)).withColumn("place", _place())
     steps = placed.groupBy("source", "step").agg(F.sum("size").alias("words"), F.max("words_left").alias("words_left"), F.max("place").alias("top"))
     upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("words_before", F.coalesce(F.sum("words").over(upto), F.lit(0))).withColumn("top_before", F.max("top").over(upto))
@@ -148,20 +153,16 @@ def _next_cut(sizes: DataFrame, plan: DataFrame, last: bool, p: MixParams) -> Da
         F.col("w.source").alias("cut_source"), F.when(F.col("c.used").isNull(), F.col("w.top")).otherwise(F.col("c.cut")).alias("cut"),
         F.coalesce("c.used", "w.words").alias("used"))
     found = plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    limit = F.when(F.size("cuts") == 0, F.lit(2 ** 62)).otherwise(F.floor(F.col("words_left") * (2 if last else 1)))
     start = F.struct(F.lit(-1), F.lit(-1.0), F.lit(None), F.lit(None)).cast(_PLACE)
-    cut = F.coalesce("cut", F.try_element_at("cuts", F.lit(-1)), start)
     return found.select(*[c for c in plan.columns if c not in ("words_left", "cuts", "limits")],
                         (F.col("words_left") - F.coalesce("used", F.lit(0))).alias("words_left"),
-                        F.concat("cuts", F.array(cut)).alias("cuts"), F.concat("limits", F.array(limit.cast("long"))).alias("limits"))
+                        F.concat("cuts", F.array(F.coalesce("cut", start))).alias("cuts"), F.concat("limits", F.array(limit)).alias("limits"))
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """Add `times` (how often the mix takes the document), `source_size` and `source_target` to sized documents; other columns stay."""
     d = _ordered(docs, plan, p)
-    place, cut = _place().cast(_PLACE), lambda j: F.try_element_at("cuts", F.lit(j + 1))
-    rounds = [(place <= cut(j)) & (F.col("size") <= F.try_element_at("limits", F.lit(j + 1))) & ((place > cut(j - 1)) if j else F.lit(True)) for j in range(p.rounds)]
-    sampled = F.when(F.col("odds").isNotNull() & reduce(or_, rounds), 1).otherwise(0)
+    sampled = F.when(F.col("odds").isNotNull() & _sampled(p.rounds), 1).otherwise(0)
     d = d.withColumn("times", F.when(F.col("size") > 0, F.col("copies") + sampled).otherwise(0).cast("long"))
     return d.select(*docs.columns, "times", "source_size", "source_target")
 
@@ -174,8 +175,7 @@ def mix(docs: DataFrame, weight: Column | None = None, p: MixParams = MixParams(
 
 def repeated(docs: DataFrame, weight: Column | None = None, p: MixParams = MixParams()) -> DataFrame:
     """The mixed corpus itself: each document as often as it is taken, its columns as they were."""
-    names = docs.columns
-    own = sized(docs, weight)
-    plan = make_plan(stored(own, "mix-sizes"), p)
-    full = docs.withColumns({"size": words(F.col("text")), "weight": _class_weight(weight)})
-    return apply_plan(full, plan, p).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*names)
+    plan = make_plan(stored(sized(docs, weight), "mix-sizes"), p)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", words(F.col("text")).alias("size"), _class_weight(weight).alias("weight"))
+    taken = apply_plan(rows, plan, p).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")

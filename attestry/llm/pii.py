@@ -159,5 +159,5 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Pii
 
 def redact(docs: DataFrame, text_col: str = "text", p: PiiParams = PiiParams()) -> DataFrame:
     """The rows with personal data taken out of the text; other columns stay as they are."""
-    marked = with_spans(docs, text_col, "pii_spans", p)
-    return marked.withColumn(text_col, redacted(F.col(text_col), F.col("pii_spans"), p)).drop("pii_spans")
+    marked = with_spans(docs, text_col, "__pii", p)
+    return marked.withColumn(text_col, redacted(F.col(text_col), F.col("__pii"), p)).drop("__pii")

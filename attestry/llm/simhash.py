@@ -187,6 +187,6 @@ def one_of_each(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFram
     it); rows without an id stay, as no group can name them."""
     names = docs.columns
     groups = near_duplicates(docs, p)
-    out = groups.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(out, F.col("doc_id") == F.col("kept_id")).dropDuplicates(["kept_id"]).select(*names)
+    first = groups.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col("__kept")).dropDuplicates(["__kept"]).select(*names)
     return kept.union(docs.where("doc_id is null").select(*names))

@@ -53,13 +53,13 @@ def _mixing() -> str:
     rounds, state = [], "start"
     for j in range(p.rounds):
         last = j == p.rounds - 1
-        share, fit = (" / 2.0", f" AND size <= 2 * words_left") if last else ("", " AND size <= words_left")
+        limit = "4611686018427387904" if j == 0 else f"floor(greatest(0.0, s.words_left) * {2 if last else 1})"
         rounds.append(f"""
-run{j} AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size{share} AS after
-  FROM {state} WHERE place > cut{fit if j else ''}),
+run{j} AS (SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size{" / 2.0" if last else ""} AS after
+  FROM {state} s WHERE sampled = 0 AND size <= {limit}),
 took{j} AS (SELECT source, max(place) AS last, sum(size) AS used FROM run{j} WHERE after <= words_left GROUP BY source),
-state{j} AS (SELECT s.* EXCLUDE (cut, words_left, sampled), coalesce(t.last, s.cut) AS cut, s.words_left - coalesce(t.used, 0) AS words_left,
-  s.sampled + CASE WHEN s.place > s.cut AND s.place <= t.last{(' AND ' + fit[5:].replace('size', 's.size').replace('words_left', 's.words_left')) if j else ''} THEN 1 ELSE 0 END AS sampled
+state{j} AS (SELECT s.* EXCLUDE (words_left, sampled), s.words_left - coalesce(t.used, 0) AS words_left,
+  s.sampled + CASE WHEN s.sampled = 0 AND s.place <= t.last AND s.size <= {limit} THEN 1 ELSE 0 END AS sampled
   FROM {state} s LEFT JOIN took{j} t ON t.source IS NOT DISTINCT FROM s.source)""")
         state = f"state{j}"
     return f"""
@@ -79,7 +79,7 @@ drawn AS (SELECT z.doc_id, z.source, z.size, s.* EXCLUDE (source),
   FROM sized z JOIN shares s ON z.source IS NOT DISTINCT FROM s.source),
 odds AS (SELECT *, CASE WHEN pi > 0 AND size > 0 THEN u / (1.0 - u) / (pi / (1.0 - pi)) END AS odds, pi_source / (1.0 - pi_source) AS even FROM drawn),
 start AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY floor(odds * even / (1.0 + odds * even) * {BUCKETS}), odds, doc_id, size) AS place,
-  CAST(0 AS BIGINT) AS cut, 0 AS sampled FROM odds WHERE odds IS NOT NULL),{','.join(rounds)}
+  0 AS sampled FROM odds WHERE odds IS NOT NULL),{','.join(rounds)}
 SELECT d.doc_id, d.size, d.size_all AS source_size, d.target, CAST(CASE WHEN d.size > 0 THEN d.copies + coalesce(r.sampled, 0) ELSE 0 END * d.size AS BIGINT) AS taken
 FROM drawn d LEFT JOIN {state} r ON r.doc_id = d.doc_id"""
 
