@@ -48,7 +48,7 @@ def test_odd_rows(odd, none):
 def test_many_sources(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"),
                                     F.repeat(F.lit("w "), (F.col("id") % 97 + 1).cast("int")).alias("text"))
-    got = check(docs, 2)
+    got = check(docs, 24)                       # a quarter of the longest text
     assert {r.times for r in got} >= {0, 1}
     out = repeated(docs.withColumn("times", F.lit("x")))
     assert out.columns == [*docs.columns, "times"] and out.count() == sum(r.times for r in got)
@@ -57,4 +57,4 @@ def test_many_sources(spark):
 def test_unequal_weights(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"), F.lit("a b c").alias("text"), (F.col("id") % 2 * 2 + 1).alias("w"))
     heavy = mix(docs, F.col("w")).groupBy("weight").agg(F.avg("times")).collect()
-    assert {r[0]: round(r[1], 2) for r in heavy} == {1.0: 0.5, 3.0: 1.5}
+    assert {r[0]: round(r[1], 1) for r in heavy} == {1.0: 0.5, 3.0: 1.5}        # one sample for both, so each is near its share

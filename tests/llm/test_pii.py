@@ -18,7 +18,7 @@ def model(text):
     for rank, kind in enumerate(BASE):
         for m in re.finditer(PLAIN[kind], text or ""):
             v, d = m[0], re.sub("[^0-9]", "", m[0])
-            ok = {"email": True, "ip": all(int(x) <= 255 for x in v.split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}
+            ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in v.split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}
             if ok[kind]:
                 out.append((m.start(), rank, m.end(), kind, v))
     return sorted(out)
