@@ -46,8 +46,18 @@ def clean_text(c: Column) -> Column:
     return tidy(nfkc(c))
 
 
+# case folding beyond lower case: letters that fold to one other letter, and those that fold to several
+_FOLDED = "".join(c for c in map(chr, range(0x80, 0x2000)) if len(c.casefold()) == 1 and c.casefold() != c.lower())
+_SPELLED = {c: c.casefold() for c in "ßŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"}
+
+
 def casefold(c: Column) -> Column:
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Unicode case folding; final sigma and ligatures included."""
+    low = F.translate(F.lower(c), _FOLDED, _FOLDED.casefold())
+    spelled = low
+    for letter, written in _SPELLED.items():
+        spelled = F.replace(spelled, F.lit(letter), F.lit(written))
+    return F.when(low.rlike(f"[{''.join(_SPELLED)}]"), spelled).otherwise(low)
 
 
 def is_placeholder(cleaned: Column) -> Column:

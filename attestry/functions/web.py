@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry import fixed_values as fv
-from attestry.functions.text import collapse
+from attestry.functions.text import collapse, let
+from attestry.params import DEFAULTS
 
 # Entities handled on the JVM; text with any other entity goes to Python.
 _COMMON = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
@@ -34,8 +35,15 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", " ")
 
 
-def page_text(html: Column, limit: int = 12000) -> Column:
-    return F.left(collapse(unescape(strip_tags(html))), F.lit(limit))
+def whole_text(html: Column) -> Column:
+    return collapse(unescape(strip_tags(html)))
+
+
+def page_text(html: Column, limit: int | None = DEFAULTS.page_text_limit) -> Column:
+    """STRUCT(text, n_chars, truncated): the text up to the limit (None: all of it) and what the limit left out."""
+    struct = lambda w: F.struct((w if limit is None else F.left(w, F.lit(limit))).alias("text"), F.length(w).alias("n_chars"),
+                                (F.lit(False) if limit is None else F.length(w) > limit).alias("truncated"))
+    return let(whole_text(html), struct)
 
 
 def domain(url: Column) -> Column:

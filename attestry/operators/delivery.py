@@ -35,7 +35,9 @@ def slot_rows(expected: DataFrame, final: DataFrame, status: DataFrame, verdicts
 
 
 def wide_slots(slots: DataFrame, n: int = 50) -> DataFrame:
-    """One row per item with label/value/unit columns for every slot; gaps stay."""
+    """One row per item with label/value/unit columns for every slot; gaps stay, a label past the last slot stops the job."""
+    past = F.raise_error(F.concat(F.lit(f"more than {n} labels: item "), F.col("item_id").cast("string"))).cast("int")
+    slots = slots.withColumn("slot", F.when(F.col("slot").between(1, n), F.col("slot")).otherwise(past))
     m = slots.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "slot", F.struct("label", "value", "uom")))).alias("m"))
     cell = lambda i, f: filled(F.try_element_at("m", F.lit(i))[f])

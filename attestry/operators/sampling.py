@@ -13,10 +13,11 @@ def diverse_sample(items: DataFrame, k: int, text: str = "text", maker: str = "m
 
     Each round compares every item with the newest pick only, keeping a running
     maximum similarity; one row returns to the driver per round.  Ties go to the
-    smaller id.
+    smaller id.  Texts under `min_chars` are not eligible, and a NULL maker counts as one
+    maker, the empty name.
     """
     rows = items.where(F.length(F.trim(text)) >= min_chars).select(
-        item, F.col(maker).alias("maker"), F.col(text).alias("__t"))
+        item, F.coalesce(F.col(maker), F.lit("")).alias("maker"), F.col(text).alias("__t"))
     terms = rows.select(item, F.explode(tx.content_words(F.col("__t"))).alias("term"))
     total = rows.count()
     df = terms.groupBy("term").agg(F.count("*").alias("__df"))
@@ -28,7 +29,7 @@ def diverse_sample(items: DataFrame, k: int, text: str = "text", maker: str = "m
     picked, used = [], []
     for n in range(min(k, total)):
         fresh = ~F.col("maker").isin(used) if used else F.lit(True)
-        score = F.round(1.0 - F.col("sim") + F.col("rich") + F.when(F.coalesce(fresh, F.lit(True)), 0.2).otherwise(0.0), 9)
+        score = F.round(1.0 - F.col("sim") + F.col("rich") + F.when(fresh, 0.2).otherwise(0.0), 9)
         left = state.where(~F.col(item).isin([p[0] for p in picked])) if picked else state
         best = left.agg(F.min_by(F.struct(item, "maker", score.alias("score")), F.struct(-score, F.col(item))).alias("b")).first()["b"]
         if best is None:

@@ -295,6 +295,7 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not done:
         return body
-    ctes = "WITH " + ",\n".join(f"{n} AS ({s.strip()})" for n, s in done.items())
+    used = lambda n: sum(len(re.findall(r"\b%s\b" % n, s)) for s in [body, *[v for k, v in done.items() if k != n]])
+    ctes = "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if used(n) > 1 else ''}({s.strip()})" for n, s in done.items())
     own = re.match(r"\s*WITH\s", body)
     return ctes + (",\n" + body[own.end():] if own else "\n" + body)

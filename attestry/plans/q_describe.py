@@ -139,7 +139,6 @@ SELECT classpath, label, row_number() OVER (PARTITION BY classpath ORDER BY labe
 """
 VIEWS["item_labels"] = """SELECT p.item_id AS item_id, l.label AS label, CAST(l.slot AS INT) AS slot FROM {item_paths} p JOIN {path_labels} l ON l.classpath = p.classpath"""
 VIEWS["finals"] = """SELECT item_id, label, CASE WHEN item_id % 9 = 0 THEN NULL ELSE value END AS value, uom, source_type FROM {extracted} WHERE idx = 0 AND item_id % 6 <> 0"""
-VIEWS["first_extracted"] = """SELECT * FROM {extracted} WHERE idx = 0"""
 VIEWS["checked"] = """
 SELECT item_id, label, CASE WHEN (item_id + length(label)) % 5 = 0 THEN 'ambiguous' ELSE 'supported' END AS entailment, CASE WHEN item_id % 8 = 0 THEN 0.7 ELSE 0.9 END AS confidence,
   (item_id + length(label)) % 4 <> 0 AS vocabulary_compliant, (item_id + length(label)) % 11 <> 0 AS uom_compliant FROM {extracted} WHERE idx = 0
@@ -163,25 +162,23 @@ def _(t):
 
 @query("aud_percent", """WITH s AS (SELECT item_id, count(*) FILTER (okay) AS resolved, count(*) AS total FROM status GROUP BY 1),
 a AS (SELECT x.item_id, count(*) AS expected, count(e.label) AS produced, count(CASE WHEN e.label IS NOT NULL AND n.label IS NOT NULL THEN 1 END) AS vt, count(CASE WHEN e.label IS NOT NULL AND n.label IS NOT NULL AND c.vocabulary_compliant THEN 1 END) AS vo
-  FROM item_labels x LEFT JOIN first_extracted e ON e.item_id = x.item_id AND e.label = x.label LEFT JOIN (SELECT item_id, label FROM normalized WHERE idx = 0) n ON n.item_id = x.item_id AND n.label = x.label LEFT JOIN checked c ON c.item_id = x.item_id AND c.label = x.label GROUP BY 1),
+  FROM item_labels x LEFT JOIN (SELECT DISTINCT item_id, label FROM extracted WHERE value IS NOT NULL) e ON e.item_id = x.item_id AND e.label = x.label LEFT JOIN (SELECT DISTINCT item_id, label FROM normalized) n ON n.item_id = x.item_id AND n.label = x.label LEFT JOIN checked c ON c.item_id = x.item_id AND c.label = x.label GROUP BY 1),
 d AS (SELECT item_id, count(value) AS dt, count(*) FILTER (value IS NOT NULL AND compliant) AS dk FROM desc_long GROUP BY 1)
 SELECT s.item_id, resolved, total, round_even(100.0 * resolved / total, 2)::DOUBLE AS coverage_percent, round_even(100.0 * vo / nullif(vt, 0), 2)::DOUBLE AS vocabulary_percent, coalesce(vt, 0) AS vocab_total,
  round_even(100.0 * produced / nullif(expected, 0), 2)::DOUBLE AS attribute_percent, coalesce(produced, 0) AS produced, coalesce(expected, 0) AS expected, round_even(100.0 * dk / nullif(dt, 0), 2)::DOUBLE AS character_percent, dk AS desc_ok, dt AS desc_total
 FROM s LEFT JOIN a USING (item_id) LEFT JOIN d USING (item_id)""")
 def _(t):
     fields = cut_lineage(ds.field_rows(described(t)))
-    return au.percentages(audit_status(t, fields), t.item_labels.select("item_id", "label"), t.first_extracted,
-                          t.normalized.where("idx = 0"), t.checked, fields)
+    return au.percentages(audit_status(t, fields), t.item_labels.select("item_id", "label"), t.extracted,
+                          t.normalized, t.checked, fields)
 
 
-FRAGMENTS["routes"] = "SELECT s.item_id, bool_or(NOT okay) OR coalesce(bool_or(b.o), false) AS routed FROM (SELECT * FROM status WHERE field NOT LIKE 'description:MARK%' AND (field LIKE 'attr%' OR field = 'brand')) s LEFT JOIN (SELECT o_orderkey AS item_id, o_custkey % 17 = 0 AS o FROM orders) b USING (item_id) GROUP BY 1"
+FRAGMENTS["routes"] = "SELECT s.item_id, bool_or(NOT okay) OR coalesce(bool_or(b.o), false) AS routed FROM status s LEFT JOIN (SELECT o_orderkey AS item_id, o_custkey % 17 = 0 AS o FROM orders) b USING (item_id) GROUP BY 1"
 
 
 def routed(t):
-    # the field list is a parameter: with marketing text in it every record is routed
-    part = audit_status(t).where(F.col("field").startswith("attr") | (F.col("field") == "brand"))
     asked = t.orders.select(F.col("o_orderkey").alias("item_id"), (F.col("o_custkey") % 17 == 0).alias("needs_review"))
-    return au.route(part, asked)
+    return au.route(audit_status(t), asked)
 
 
 @query("aud_route", "SELECT * FROM routes")
@@ -225,12 +222,12 @@ def _(t):
     return slots(t)
 
 
-_WIDE = ", ".join(f"max({f}) FILTER (slot = {i}) AS attribute_{f}_{i}" for i in range(1, 9) for f in ("label", "value", "uom"))
+_WIDE = ", ".join(f"max({f}) FILTER (slot = {i}) AS attribute_{f}_{i}" for i in range(1, 51) for f in ("label", "value", "uom"))
 
 
 @query("out_slots", f"SELECT item_id, {_WIDE} FROM slots GROUP BY item_id")
 def _(t):
-    return dl.wide_slots(slots(t), 8)
+    return dl.wide_slots(slots(t))
 
 
 @query("out_provenance", """SELECT s.item_id, 'attribute_label_' || slot AS field, 'classify' AS stage, b.class_confidence AS confidence, NULL AS source_type FROM slots s JOIN audit_base b USING (item_id)
@@ -241,7 +238,7 @@ def _(t):
 
 @query("snk_delivery", f"SELECT o.item_id, d.mpn, coalesce(nullif(D1.t, ''), '') AS retail, {_WIDE} FROM (SELECT item_id, RETAIL_DESC AS D1 FROM described) o JOIN desc_items d USING (item_id) LEFT JOIN slots USING (item_id) GROUP BY 1, 2, 3")
 def _(t):
-    wide = described(t).select("item_id", "mpn", F.coalesce("RETAIL_DESC", F.lit("")).alias("retail")).join(dl.wide_slots(slots(t), 8), "item_id", "left")
+    wide = described(t).select("item_id", "mpn", F.coalesce("RETAIL_DESC", F.lit("")).alias("retail")).join(dl.wide_slots(slots(t)), "item_id", "left")
     path = scratch_path(t.spark, "delivery")
     src.write_csv(wide, path, quote_all=True)
     schema = ", ".join(f"{c} {'bigint' if c == 'item_id' else 'string'}" for c in wide.columns)

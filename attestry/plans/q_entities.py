@@ -71,7 +71,10 @@ def _(t):
     return en.canonical_entries(spelling_counts(t), [], "key").withColumn("aliases", F.array_join("aliases", "|"))
 
 
-@query("sort_vocab", CANON.format(by="kind, ", src=f"(SELECT kind, value, count(*) AS n, {d_key('value')} AS key FROM obs GROUP BY kind, value) z WHERE key <> ''") + " ORDER BY lower(canonical_name)")
+_VOCABULARY = CANON.format(by="kind, ", src=f"(SELECT kind, value, count(*) AS n, {d_key('value')} AS key FROM obs GROUP BY kind, value) z WHERE key <> ''")
+
+
+@query("sort_vocab", _VOCABULARY + " ORDER BY lower(canonical_name)")
 def _(t):
     return en.ordered(en.exact_vocabulary(observed(t), ["kind"])).withColumn("aliases", F.array_join("aliases", "|"))
 
@@ -103,11 +106,12 @@ def _(t):
     return en.alias_stats(en.build_vocabulary(obs))
 
 
-@query("snk_vocab_artifacts")
+@query("snk_vocab_artifacts", _VOCABULARY)
 def _(t):
     path = scratch_path(t.spark, "vocabulary-json")
     en.exact_vocabulary(observed(t), ["kind"]).write.partitionBy("kind").json(path)
-    return t.spark.read.schema("key string, canonical_name string, frequency bigint, aliases array<string>, kind string").json(path)
+    back = t.spark.read.schema("key string, canonical_name string, frequency bigint, aliases array<string>, kind string").json(path)
+    return back.withColumn("aliases", F.array_join("aliases", "|"))
 
 
 # ---- reference files, pairing, ids -------------------------------------------------------

@@ -137,7 +137,7 @@ def _(t):
 @query("top_diverse")
 def _(t):
     items = t.documents.select(F.col("doc_id").alias("item_id"), "text", F.col("source").alias("maker"))
-    return sampling.diverse_sample(items, 6)
+    return sampling.diverse_sample(items, 30)
 
 
 @query("sch_records", "SELECT event_id, mpn, code FROM records WHERE (contains(code, '12') OR contains(lower(mpn), '12') OR contains(lower(item_id), '12') OR contains(lower(classpath), '12') OR contains(lower(state), '12')) AND starts_with(code, '4018') AND state = 'completed'")

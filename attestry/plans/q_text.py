@@ -6,6 +6,7 @@ from attestry import fixed_values as fv
 from attestry.functions import text as tx
 from attestry.functions import web
 from attestry.operators import cleaning
+from attestry.params import DEFAULTS
 from attestry.plans.registry import FRAGMENTS, query
 from attestry.session import scratch_path
 from attestry.sources import catalog as src
@@ -197,9 +198,10 @@ def _(t):
     return t.pages.select("page_id", web.is_official(F.col("url"), owner).alias("official"))
 
 
-@query("web_strip_html", rf"""SELECT page_id, left({d_collapse(d_unescape("regexp_replace(html, '<[^>]+>', ' ', 'g')"))}, 12000) AS text FROM pages""")
+@query("web_strip_html", rf"""SELECT page_id, left(w, {DEFAULTS.page_text_limit}) AS text, length(w) AS n_chars, length(w) > {DEFAULTS.page_text_limit} AS truncated
+FROM (SELECT page_id, {d_collapse(d_unescape("regexp_replace(html, '<[^>]+>', ' ', 'g')"))} AS w FROM pages) x""")
 def _(t):
-    return t.pages.select("page_id", web.page_text(F.col("html")).alias("text"))
+    return t.pages.select("page_id", web.page_text(F.col("html")).alias("p")).select("page_id", "p.*")
 
 
 FRAGMENTS["page_links"] = rf"""SELECT page_id, pos, CASE WHEN contains(href, 'uddg=')
@@ -226,7 +228,9 @@ def page_links(t):
 @query("src_catalog_csv", f"""SELECT row_no AS source_row_number, {", ".join(f"coalesce({f}, '') AS {f}" for f in FIELDS)} FROM catalog""")
 def _(t):
     path = scratch_path(t.spark, "catalog-csv")
-    wide = t.catalog.repartitionByRange(F.col("row_no")).sortWithinPartitions("row_no")
+    # files of unequal size, the largest last: their rows must still be numbered in file order
+    share = F.sqrt(F.col("row_no") / t.catalog.count())
+    wide = t.catalog.repartitionByRange(5, F.floor(share * 5)).sortWithinPartitions("row_no")
     src.write_csv(wide.select(*[F.col(c.lower()).alias(c) for c in fv.CATALOG_COLUMNS]), path)
     return src.read_catalog_csv(t.spark, path)
 
@@ -246,9 +250,15 @@ def _(t):
     return src.row_count(d, ["text", "lang"], expected=200)
 
 
-@query("src_batch_csv", f"""SELECT row_no, {", ".join(FIELDS)} FROM catalog WHERE row_no % 10 <> 0""")
+_BATCH = ", ".join(f"nullif({f}, '') AS {f}" for f in FIELDS)
+
+
+@query("src_batch_csv", f"""SELECT row_no, {_BATCH} FROM catalog WHERE row_no % 10 <> 0""")
 def _(t):
     blank = F.col("row_no") % 10 == 0
     wide = t.catalog.select(F.col("row_no"), *[F.when(blank, F.lit("  ")).otherwise(F.col(c.lower())).alias(c)
                                                for c in fv.CATALOG_COLUMNS])
-    return src.intake_rows(wide).select("row_no", *[F.col(c).alias(c.lower()) for c in fv.CATALOG_COLUMNS])
+    path = scratch_path(t.spark, "batch-csv")
+    src.write_csv(wide.withColumn("row_no", F.when(~blank, F.col("row_no").cast("string"))), path, quote_all=True)
+    rows = src.read_batch_csv(t.spark, path)
+    return rows.select(F.col("row_no").cast("bigint").alias("row_no"), *[F.nullif(c, F.lit("")).alias(c.lower()) for c in fv.CATALOG_COLUMNS])

@@ -13,20 +13,26 @@ class SourceError(ValueError):
 
 
 def number_rows(df: DataFrame, name: str = "source_row_number") -> DataFrame:
-    """1-based numbers in file order without sorting: rows per input split are
-    counted, and only those counts (one row per split) pass through a window."""
-    tagged = df.withColumn("__id", F.monotonically_increasing_id())
-    split = F.shiftright("__id", 33)
-    sizes = tagged.groupBy(split.alias("__split")).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__split", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    numbered = tagged.withColumn("__split", split).join(starts, "__split")
-    offset = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.select(*df.columns, (F.col("__start") + offset + 1).alias(name))
-
-
-def _open_csv(spark: SparkSession, path: str, encoding: str = "UTF-8"):
-    return (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+    """1-based numbers in file order without sorting the rows of a file scan.
+
+    Spark packs splits into tasks by size, so the order of tasks says nothing;
+    a split is named by its file and first byte.  Rows are counted per split, and
+    only those counts (one row per split) pass through a window.  Inside a task
+    the rows of one split lie together, so the task's running number less the
+    split's smallest one is a row's place in its split.
+    """
+    tagged = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"),
+                       F.monotonically_increasing_id().alias("__id"))
+    sizes = tagged.groupBy("__file", "__from").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = Window.orderBy("__file", "__from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__file", "__from", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    numbered = tagged.join(starts, ["__file", "__from"])
+    return numbered.select(*df.columns, (F.col("__start") + F.col("__id") - F.col("__first") + 1).alias(name))
+
+
+def _open_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False):
+    """Files are split over tasks unless cells may hold line breaks (`multi_line`: one task per file)."""
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
             .option("escape", '"').option("encoding", encoding)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
@@ -36,15 +42,16 @@ def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[
     return [n.lstrip("﻿") for n in names]
 
 
-def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_catalog_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Read the working file.  The header must match exactly; a blank cell is ''."""
     header = csv_header(spark, path)
     if tuple(header) != fv.CATALOG_COLUMNS:
         raise SourceError(f"catalog header must be {fv.CATALOG_COLUMNS}, found {tuple(header)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in fv.CATALOG_COLUMNS])
-    raw = (_open_csv(spark, path).schema(schema).option("enforceSchema", True)
+    raw = (_open_csv(spark, path, multi_line=multi_line).schema(schema).option("enforceSchema", True)
            .option("mode", "FAILFAST").csv(path))
-    return input_rows(number_rows(raw.na.fill("")))
+    numbered = number_rows(raw)
+    return input_rows(numbered.na.fill("", list(fv.CATALOG_COLUMNS)))
 
 
 def input_rows(raw: DataFrame, row_number: str = "source_row_number") -> DataFrame:
@@ -76,8 +83,17 @@ def intake_rows(df: DataFrame, required: tuple[str, ...] = fv.CATALOG_COLUMNS) -
     return df.where(not_blank(df, strings))
 
 
-def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
-    rows = intake_rows(_open_csv(spark, path).csv(path))
+def refuse_broken_text(spark: SparkSession, path: str) -> None:
+    """Stop if a file holds bytes that are no UTF-8.  Text lines keep their bytes as they are, so each is tested where it lies."""
+    bad = spark.read.text(path).where("NOT is_valid_utf8(value)").select(F.col("_metadata.file_path").alias("path")).limit(1).collect()
+    if bad:
+        raise SourceError(f"not UTF-8: {bad[0]['path']}")
+
+
+def read_batch_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Intake of a batch: the text must be UTF-8, the columns there, and at least one row not blank."""
+    refuse_broken_text(spark, path)
+    rows = intake_rows(_open_csv(spark, path, multi_line=multi_line).csv(path))
     if rows.isEmpty():
         raise SourceError("the file has no data rows")
     return rows

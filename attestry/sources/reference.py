@@ -60,12 +60,19 @@ def require_valid_units(values: DataFrame) -> DataFrame:
     return values
 
 
+def _windows_1252(c):
+    """Text read as ISO 8859-1 as the Windows code page has it: only 0x80 to 0x9F differ."""
+    codes = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    return F.translate(c, "".join(map(chr, codes)), bytes(codes).decode("windows-1252"))
+
+
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    header = csv_header(spark, path, "windows-1252")
+    """Read a taxonomy file in the Windows-1252 code page, which Spark's readers do not offer by name."""
+    header = csv_header(spark, path, "ISO-8859-1")
     if tuple(header) != fv.TAXONOMY_COLUMNS:
         raise SourceError(f"taxonomy header must be {fv.TAXONOMY_COLUMNS}, found {tuple(header)}")
-    raw = _open_csv(spark, path, "windows-1252").csv(path)
-    named = raw.select(*[F.trim(F.col(f"`{c}`")).alias(c.lower().replace(" ", "_")) for c in fv.TAXONOMY_COLUMNS])
+    raw = _open_csv(spark, path, "ISO-8859-1").csv(path)
+    named = raw.select(*[F.trim(_windows_1252(F.col(f"`{c}`"))).alias(c.lower().replace(" ", "_")) for c in fv.TAXONOMY_COLUMNS])
     problems = taxonomy_problems(named, "commodity").limit(1).collect()
     if problems:
         raise SourceError(f"taxonomy code {problems[0]['code']!r} is {problems[0]['problem']}")
