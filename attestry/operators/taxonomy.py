@@ -54,12 +54,15 @@ def _top(df: DataFrame, by: list[str], score: str, k: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
 
-def prefix_best(queries: DataFrame, hits: DataFrame, k: int, by: list[str] = []) -> DataFrame:
-    """k best commodities per query (and per extra key) by prefix-guarded ratio.
-    The k best of a maximum over tokens lie within the k best of each token."""
+def prefix_best(queries: DataFrame, hits: DataFrame, k: int, by: list[str] = [], within: DataFrame | None = None) -> DataFrame:
+    """k best commodities per query (and per extra key) by prefix-guarded ratio,
+    in the (query_id, class_code) pairs of `within` if given: those are looked up
+    before anything is ranked.  The k best of a maximum over tokens lie within the
+    k best of each token."""
     per_token = _top(hits, ["token", *by], "lex", k)
     qt = _tokens(queries, ["query_id"], "query", 4).distinct()
-    best = (qt.join(per_token, "token").groupBy("query_id", "commodity_code", "class_code")
+    found = qt.join(per_token, "token") if within is None else qt.join(within.select("query_id", "class_code"), "query_id").join(per_token, ["token", "class_code"])
+    best = (found.groupBy("query_id", "commodity_code", "class_code")
             .agg(F.max("lex").alias("lex")))
     return _top(best, ["query_id", *by], "lex", k)
 
@@ -130,20 +133,21 @@ def class_scores(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> Da
 
 # ---- search ------------------------------------------------------------------------------
 
-def candidate_pool(queries: DataFrame, taxonomy: DataFrame, classes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def candidate_pool(queries: DataFrame, taxonomy: DataFrame, classes: DataFrame, p: Params = DEFAULTS, whole: bool = True) -> DataFrame:
     """Best blended score per (query, commodity) over three branches: nearest
-    classes, prefix matches, and phrase coverage."""
+    classes, prefix matches, and phrase coverage.  Not `whole`: without wordless
+    commodities of classes from which none can be among the best k."""
     k, lexical = p.classify_limit, max(50, 5 * p.classify_limit)
     hits = token_hits(queries, taxonomy)
     near = nearest_classes(queries, classes, p.class_pool).select("query_id", "class_code", "cos", "rank")
-    inside = prefix_best(queries, hits, k, ["class_code"])
+    inside = prefix_best(queries, hits, k, ["class_code"], near)
     worded = near.join(inside, ["query_id", "class_code"]).select(
         "query_id", "commodity_code", (0.8 * F.col("cos") + 0.2 * F.col("lex") / 100).alias("score"))
     # commodities without any word in common fill a class up to k, in code order; only
-    # the best k classes (with ties) can place such a commodity among the final k
+    # the best k classes (with ties) can place such a commodity among the best k
     first = _top(taxonomy.select("class_code", "commodity_code", F.lit(0).alias("z")), ["class_code"], "z", 2 * k)
     by_cos = Window.partitionBy("query_id").orderBy(F.desc("cos"))
-    best = near.withColumn("__r", F.rank().over(by_cos)).where(F.col("__r") <= k).drop("__r")
+    best = near if whole else near.withColumn("__r", F.rank().over(by_cos)).where(F.col("__r") <= k).drop("__r")
     used = inside.select("query_id", "class_code", "commodity_code", F.lit(True).alias("hit"))
     filled = best.join(first, "class_code").join(used, ["query_id", "class_code", "commodity_code"], "left")
     order = Window.partitionBy("query_id", "class_code").orderBy(F.col("hit").isNull(), "commodity_code")
@@ -160,7 +164,7 @@ def candidate_pool(queries: DataFrame, taxonomy: DataFrame, classes: DataFrame,
 
 def search(queries: DataFrame, taxonomy: DataFrame, classes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """The k best commodities per query with rank, name and path."""
-    pool = candidate_pool(queries, taxonomy, classes, p)
+    pool = candidate_pool(queries, taxonomy, classes, p, whole=False)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "commodity_code")
     top = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.classify_limit)
     names = taxonomy.select("commodity_code", "commodity_name", path_text().alias("classpath"))

@@ -81,14 +81,9 @@ def _(t):
     return tax.nearest_classes(with_vectors(t), class_vectors(t))
 
 
-@query("win_pool", "SELECT query_id, commodity_code, score FROM full_pool QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, commodity_code) <= 10")
+@query("win_pool", "SELECT query_id, commodity_code, score FROM full_pool")
 def _(t):
-    from dataclasses import replace
-
-    from attestry.params import DEFAULTS
-
-    pool = tax.candidate_pool(with_vectors(t), t.taxonomy, class_vectors(t), replace(DEFAULTS, classify_limit=10))
-    return tax._top(pool, ["query_id"], "score", 10)
+    return tax.candidate_pool(with_vectors(t), t.taxonomy, class_vectors(t))
 
 
 @query("win_topk", "SELECT query_id, commodity_code, score, rank FROM top10")
