@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import similarity as sim
+from attestry.functions import text as tx
 from attestry.operators import attributes as at
 from attestry.operators import entities as en
 from attestry.operators import taxonomy as tax
@@ -117,3 +118,25 @@ def test_nearest_path_prefers_exact(spark):
     want = spark.createDataFrame([("A>B>Drill",), ("X>Hand saws",), ("Qqq>Zzz",)], "classpath string")
     got = {r["classpath"]: r["path"] for r in tax.nearest_path(want, have, 80).collect()}
     assert got == {"A>B>Drill": "A>B>Drill", "X>Hand saws": "A>B>Hand saw"}
+
+
+def test_constrain_returns_every_match(spark):
+    """Against the scorer over all pairs of a bucket and unit, near matches included."""
+    rng = random.Random(9)
+    base = ["stainless steel", "painted black steel", "built in", "leg mount", "energy star rated", "glass and wood", "12 in wide frame"]
+    vocabulary = [(f"P{i % 2}", "L", v, None, i) for i, v in enumerate(base)]
+    asked = {(f"P{i % 3}", rng.choice([v, v.upper(), " ".join(reversed(v.split())), mutate(rng, v, rng.randint(1, 3)), v + " x"])) for i, v in enumerate(base * 12)}
+    rows = [(p, "L", v, None, True, i, 0) for i, (p, v) in enumerate(sorted(asked))]
+    closed = spark.createDataFrame([("P2", "L")], "classpath string, label string")
+    got = at.constrain(spark.createDataFrame(rows, "classpath string, label string, value string, uom string, valid boolean, item_id bigint, idx int"),
+                       spark.createDataFrame(vocabulary, "classpath string, label string, value string, uom string, seq bigint"), closed, ["item_id", "idx"]).collect()
+    key = lambda v: spark.createDataFrame([(v,)], "v string").select(tx.comparison_key(F.col("v"))).first()[0]
+    keys = {v: key(v) for v in {*base, *[v for _, v in asked]}}
+    want = {}
+    for path, _, value, *_ in rows:
+        scored = [(-(100.0 if keys[value] == keys[v] else sim.composite(keys[value], keys[v])) / 100, seq, v) for p, _, v, _, seq in vocabulary if p == path]
+        best = min(scored, default=None)
+        if best and -best[0] >= 0.9:
+            want[path, value] = (best[2], round(-best[0], 9))
+    assert {(r.classpath, r.value): (r.match_value, round(r.score, 9)) for r in got} == want
+    assert sum(score < 1 for _, score in want.values()) > 5
