@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from attestry.llm.common import stored
 
 #: steps of the order's histogram in each source: rows of the one step that has to be ordered are 1 / BUCKETS of the source's
-BUCKETS = 65536
+BUCKETS = 4096
 #: bits of the random number of a document
 BITS = 52
 _PLACE = "struct<step:bigint,odds:double,doc_id:bigint,size:bigint>"
