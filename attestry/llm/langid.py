@@ -105,8 +105,13 @@ def train(docs: DataFrame, p: LangParams = LangParams()) -> LangModel:
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     df, n = _frequencies(rows, p.bins)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang"), "doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= p.sample)
+    # rows whose keyed hash is low enough for a few times the sample; only those are ranked
+    sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows"))
+    draw = F.xxhash64(F.lit("lang"), "doc_id")
+    low = F.shiftrightunsigned("draw", 11) / float(2 ** 53) < 4.0 * p.sample / F.col("rows")
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    picked = rows.select("doc_id", "lang", draw.alias("draw")).join(sizes, F.col("lang") == F.col("of")).where(low)
+    picked = picked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= p.sample)
     picked = picked.select("doc_id", "lang").distinct()      # at most `sample` short rows per language
     sample = rows.join(F.broadcast(picked), ["doc_id", "lang"])
 
