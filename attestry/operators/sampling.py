@@ -31,13 +31,13 @@ def diverse_sample(items: DataFrame, k: int, text: str = "text", maker: str = "m
         fresh = ~F.col("maker").isin(used) if used else F.lit(True)
         score = F.round(1.0 - F.col("sim") + F.col("rich") + F.when(fresh, 0.2).otherwise(0.0), 9)
         left = state.where(~F.col(item).isin([p[0] for p in picked])) if picked else state
-        best = left.agg(F.min_by(F.struct(item, "maker", score.alias("score")), F.struct(-score, F.col(item))).alias("b")).first()["b"]
+        best = left.agg(F.min_by(F.struct(item, "maker", score.alias("score"), "norm"), F.struct(-score, F.col(item))).alias("b")).first()["b"]
         if best is None:
             break
         picked.append((best[0], n + 1, best["score"]))
         used.append(best["maker"])
         mine = weights.where(F.col(item) == best[0]).select("term", F.col("w").alias("w2"))
-        norm = state.where(F.col(item) == best[0]).first()["norm"]
+        norm = best["norm"]
         if norm:
             dots = weights.join(mine, "term").groupBy(item).agg((F.sum(F.col("w") * F.col("w2")) / norm).alias("dot"))
             state = state.join(dots, item, "left").select(
