@@ -8,7 +8,7 @@ from attestry.plans.registry import QUERIES
 SUITES: dict[str, list[str]] = {}
 
 for _name in ("text", "units", "entities", "taxonomy", "attributes", "evidence",
-              "verify", "describe", "evaluate", "browse", "streams"):
+              "verify", "describe", "evaluate", "streams", "enrich"):
     if os.path.exists(os.path.join(os.path.dirname(__file__), f"q_{_name}.py")):
         _before = set(QUERIES)
         importlib.import_module(f"attestry.plans.q_{_name}")
