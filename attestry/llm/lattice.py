@@ -91,16 +91,17 @@ def _name(values) -> bytes | None:
 
 
 def _named(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding in double, digest or null) of every row."""
+    """(vec_id, embedding, digest or null) of every row; components stay in the precision they came in."""
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    held, kind = (pa.float32(), "float") if single else (pa.float64(), "double")
 
     def run(batches):
         for batch in batches:
             names = [_name(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array(names, pa.binary())],
-                                             ["vec_id", "embedding", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(held)), pa.array(names, pa.binary())], ["vec_id", "embedding", "digest"])
 
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, embedding array<double>, digest binary")
+    id_kind = vectors.schema["vec_id"].dataType.simpleString()
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {id_kind}, embedding array<{kind}>, digest binary")
 
 
 def _classes(named: DataFrame) -> DataFrame:
@@ -181,13 +182,14 @@ def near_vectors(vectors: DataFrame, p: LatticeParams = LatticeParams()) -> Data
                     rows = np.nonzero(at[t][:, 1] != at[t][:, 0])[0]
                     index = np.concatenate([np.arange(n), rows])
                     cell = np.concatenate([at[t][:, 0], at[t][rows, 1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), t * 1_000_000 + int(d), np.int64)), pa.array(cell), part.column(0).take(pa.array(index)),
-                                                      part.column(1).take(pa.array(index))], ["grid", "cell", "cls", "embedding"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), t * 1_000_000 + int(d), np.int64)), pa.array(cell), part.column(0).take(pa.array(index))],
+                                                     ["grid", "cell", "cls"])
 
-    entries = classes.select("cls", "embedding").mapInArrow(place, "grid long, cell long, cls long, embedding array<double>")
+    # cells are counted by name; only vectors that share one travel to it
+    entries = stored(classes.select("cls", "embedding").mapInArrow(place, "grid long, cell long, cls long"), "vector-cells")
     sizes = entries.groupBy("grid", "cell").agg(F.count("*").alias("members"))
-    members = _tiled(entries, sizes, ["grid", "cell"], p.tile)
-    edges = by_runs(members.select("grid", "cell", "t1", "t2", "cls", "embedding"), ["grid", "cell", "t1", "t2"], _forest(p.cosine), "a long, b long")
+    members = _tiled(entries, sizes, ["grid", "cell"], p.tile).select("grid", "cell", "t1", "t2", "cls").join(classes.select("cls", "embedding"), "cls")
+    edges = by_runs(members, ["grid", "cell", "t1", "t2"], _forest(p.cosine), "a long, b long")
     groups = stored(components(edges), "vector-components")
 
     inside = classes.select("cls", "embedding", "copies").join(groups.withColumnRenamed("node", "cls"), "cls")
