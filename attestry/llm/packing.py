@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.tokens import ChunkEncoder, loaded, slices
+from attestry.llm.tokens import ChunkEncoder, loaded, parts, slices
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ def pack(docs: DataFrame, p: PackParams, with_ids: bool = True) -> DataFrame:
 
     def pieces(batches):
         encoder = loaded(ChunkEncoder, p.tokenizer)
-        for batch in batches:
+        for batch in parts(batches):
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 row, start, length, crc, total, own = [], [], [], [], [], []

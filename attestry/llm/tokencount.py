@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.common import stored
-from attestry.llm.tokens import ChunkCounter, loaded, slices
+from attestry.llm.tokens import ChunkCounter, loaded, parts, slices
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -59,7 +59,7 @@ def encode_missing(docs: DataFrame, cache: str, p: CountParams) -> None:
 
     def count(batches):
         counter = loaded(ChunkCounter, path)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             counts = [n for a, b in slices(texts) for n in counter.counts(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])

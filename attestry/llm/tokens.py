@@ -13,7 +13,7 @@ import re
 import struct
 
 #: chunks kept by a worker; when full, the cache starts anew
-CACHE = 500_000
+CACHE = 300_000
 #: longer chunks are encoded each time
 LONGEST = 40
 #: characters of text that are encoded together
@@ -52,10 +52,15 @@ class ChunkEncoder:
     """Ids of byte-level BPE, as the tokenizers library gives them for a whole text without added special tokens."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer_of(path)
+        self.path = path
         self.cache: dict[str, bytes] = {}
         self.quick = self._quick(path)
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when a chunk needs it."""
+        return tokenizer_of(self.path)
+
     def _quick(self, path: str):
         """A faster encoder over the same vocabulary; only given chunks of Latin characters."""
         import tiktoken
@@ -127,6 +132,13 @@ class ChunkCounter:
         return [sum(map(cache.get, own)) if not once else sum(cache[c] if c in cache else once[c] for c in own) for own in chunks]
 
 
+def parts(batches, rows: int = 1000):
+    """Arrow batches in smaller pieces, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: list[str]):
     """Index ranges of at most SLICE characters (or one text)."""
     begin, held = 0, 0
