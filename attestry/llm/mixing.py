@@ -94,8 +94,8 @@ def _ordered(docs: DataFrame, plan: DataFrame, p: MixParams) -> DataFrame:
 
 
 def make_plan(sizes: DataFrame, p: MixParams = MixParams()) -> DataFrame:
-    """(source, weight, source_size, source_target, copies, pi, pi_source, cut_step, cut_odds, cut_id, cut_size), one row
-    per source and weight class; `sizes` should be a stored table, it is read three times."""
+    """(source, weight, source_size, source_target, copies, pi, pi_source, words_left, cuts, limits), one row per source and
+    weight class; `sizes` should be a stored table, it is read several times."""
     classes = sizes.groupBy("source", "weight").agg(F.sum("size").alias("size_all"))
     sources = classes.groupBy("source").agg(F.sum("size_all").alias("size_all"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))

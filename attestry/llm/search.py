@@ -46,7 +46,7 @@ def _quantised(values, scale: float) -> np.ndarray | None:
     return np.clip(v, -_LIMIT, _LIMIT).astype(np.int64) if np.isfinite(v).all() else None
 
 
-def _packed(rows: list, with_query: bool) -> pa.RecordBatch:
+def _packed(rows: list) -> pa.RecordBatch:
     """One block of (id, is query, vector) with vectors of one length."""
     ids = np.array([r[0] for r in rows], np.int64)
     points = np.stack([r[2] for r in rows])
@@ -65,9 +65,9 @@ def _blocks(vectors: DataFrame, is_query: Column, p: TopKParams) -> DataFrame:
                     own = held.setdefault(len(x), [])
                     own.append((i, bool(q), x))
                     if len(own) == p.block:
-                        yield _packed(held.pop(len(x)), True)
+                        yield _packed(held.pop(len(x)))
         for own in held.values():
-            yield _packed(own, True)
+            yield _packed(own)
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.coalesce(is_query, F.lit(False)), "embedding")
     return stored(rows.mapInArrow(pack, _BLOCK + ", is_query binary").withColumn("block", F.monotonically_increasing_id()), "search-blocks")
