@@ -53,10 +53,10 @@ NEAR = {
 }
 AGAINST = {
     "email": r"(?!)",
-    "ip": r"version|release|\bv\.?\s*$|section|chapter",
-    "card": r"serial|order|isbn|tracking",
-    "phone": r"serial|order|isbn|version",
-    "iban": r"serial|order|licen[cs]e key",
+    "ip": r"\b(?:versions?|releases?|sections?|chapters?)\b|\bv\.?\s*$",
+    "card": r"\b(?:serials?|orders?(?!\s+to\b)|isbn|tracking)\b",
+    "phone": r"\b(?:serials?|orders?(?!\s+to\b)|isbn|versions?)\b",
+    "iban": r"\b(?:serials?|orders?(?!\s+to\b)|licen[cs]e keys?)\b",
 }
 
 
@@ -161,3 +161,27 @@ def redact(docs: DataFrame, text_col: str = "text", p: PiiParams = PiiParams())
     """The rows with personal data taken out of the text; other columns stay as they are."""
     marked = with_spans(docs, text_col, "__pii", p)
     return marked.withColumn(text_col, redacted(F.col(text_col), F.col("__pii"), p)).drop("__pii")
+
+
+def _spans(text: Column, p: PiiParams) -> Column:
+    found = [_confirmed(k, rank, text, F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0)), p) for rank, k in enumerate(KINDS)]
+    return F.array_sort(F.concat(*found))
+
+
+def _until_clean(text: Column, p: PiiParams) -> Column:
+    """Redacted again until no span is left: a span taken out can free a match, as a card whose run went on into an address."""
+    begin = F.struct(text.alias("text"), F.lit(True).alias("open"))
+
+    def step(acc: Column, _: Column) -> Column:
+        once = F.transform(F.array(_spans(acc["text"], p)), lambda s: F.struct(redacted(acc["text"], s, p).alias("text"), (F.size(s) > 0).alias("open")))
+        return F.when(acc["open"], F.element_at(once, 1)).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(text)), begin, step, lambda acc: acc["text"])
+
+
+def redact_all(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Like `redact`, for every confirmed span whatever its score; the finder reports none in the result."""
+    p = PiiParams(redact_from=0.0)
+    marked = with_spans(docs, text_col, "__pii", p)
+    once = marked.withColumn(text_col, redacted(F.col(text_col), F.col("__pii"), p))
+    return once.withColumn(text_col, F.when(F.size("__pii") > 0, _until_clean(F.col(text_col), p)).otherwise(F.col(text_col))).drop("__pii")
