@@ -1,11 +1,16 @@
 """Reference files: entity master, allowed values, taxonomy."""
 
+import hashlib
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry import fixed_values as fv
 from attestry.functions import text as tx
 from attestry.functions import units as un
+from attestry.operators.attributes import unpivot_triples
 from attestry.sources.catalog import SourceError, _open_csv, csv_header
 
 
@@ -84,3 +89,50 @@ def taxonomy_problems(df: DataFrame, code: str) -> DataFrame:
     counted = df.groupBy(F.trim(F.col(code)).alias("code")).agg(F.count("*").alias("rows"))
     problem = F.when(~F.col("code").rlike("^[0-9]{8}$"), "invalid").when(F.col("rows") > 1, "duplicate")
     return counted.withColumn("problem", problem).where(F.col("problem").isNotNull())
+
+
+DELIVERY_COLUMNS = 252
+DELIVERY_TRIPLE = ("ATTRIBUTE_LABEL {n}", "ATTRIBUTE_VALUE {n}", "ATTRIBUTE_UOM {n}")
+
+
+def check_delivery_header(header: list[str], sha256: str | None = None) -> list[int]:
+    """Refuse a header that breaks the delivery contract: number of columns, repeats, required fields, whole slots, and, if given,
+    the hash of names and order.  Returns the slots."""
+    if len(header) != DELIVERY_COLUMNS:
+        raise SourceError(f"delivery header must have {DELIVERY_COLUMNS} columns, found {len(header)}")
+    if len(set(header)) != len(header):
+        raise SourceError(f"delivery header repeats {sorted({c for c in header if header.count(c) > 1})}")
+    missing = sorted(set(fv.DELIVERY_REQUIRED) - set(header))
+    if missing:
+        raise SourceError(f"delivery header lacks required fields: {missing}")
+    slots: dict[int, set[str]] = {}
+    for m in filter(None, (re.match(r"ATTRIBUTE_(LABEL|VALUE|UOM) (\d+)$", c) for c in header)):
+        slots.setdefault(int(m[2]), set()).add(m[1])
+    torn = sorted(n for n, parts in slots.items() if len(parts) < 3)
+    if torn:
+        raise SourceError(f"delivery header has incomplete attribute slots: {torn}")
+    found = hashlib.sha256(json.dumps(header, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    if sha256 and found != sha256:
+        raise SourceError(f"delivery header must have hash {sha256}, found {found}")
+    return sorted(slots)
+
+
+def read_delivery_csv(spark: SparkSession, path: str, sha256: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Rows of a delivery table whose files all meet the header contract; a blank cell is ''."""
+    lines = _open_csv(spark, path, multi_line=multi_line).option("header", False)
+    headers = []
+    for file in sorted(lines.csv(path).inputFiles()):       # names as they stand: with a header option Spark would rename repeats
+        first = lines.csv(file).head()
+        headers.append([(c or "").lstrip("\ufeff") for c in first] if first else [])
+        check_delivery_header(headers[-1], sha256)
+        if headers[-1] != headers[0]:
+            raise SourceError(f"delivery files differ in their headers: {file}")
+    if not headers:
+        raise SourceError(f"no delivery file at {path}")
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in headers[0])
+    return _open_csv(spark, path, multi_line=multi_line).schema(schema).option("mode", "FAILFAST").csv(path).na.fill("")
+
+
+def delivery_triples(delivery: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, slot, label, value, uom) of every slot that the header has."""
+    return unpivot_triples(delivery, keys, max(check_delivery_header(delivery.columns)), DELIVERY_TRIPLE)
