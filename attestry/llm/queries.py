@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attestry.llm import langid, lattice, mixing, packing, pii, search, simhash, tokencount, toxicity, warc
+from attestry.llm import langid, lattice, merkle, mixing, packing, pii, runs, search, simhash, tokencount, tokenfiles, toxicity, warc
 from attestry.llm.common import table
 from attestry.llm.sql import ORACLES as SQL
 from attestry.session import safe_unions, scratch_path, ship_package
@@ -86,6 +86,24 @@ def op10_toxicity(spark, folder):
     return toxicity.detect(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op11_tokenfiles(spark, folder):
+    target = scratch_path(spark, "token-files")
+    tokenfiles.write(table(spark, folder, "documents"), target, tokenfiles.FileParams(public_tokenizers.path("word_bpe_49k.json")))
+    return tokenfiles.read(spark, target).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op12_runs(spark, folder):
+    return runs.find(table(spark, folder, "documents"), plant=True)
+
+
+@query
+def op13_merkle(spark, folder):
+    tampered = F.when(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verified(merkle.manifest(table(spark, folder, "documents"), checked=tampered))
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

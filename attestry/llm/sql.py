@@ -111,4 +111,37 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) A
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
-ORACLES: dict[str, str] = {"op1_pii": _pii(), "op2_mixing": _mixing(), "op7_lattice": _LATTICE, "op8_warc": _WARC, "op9_topk": _TOPK}
+
+def _tree(name: str, levels: int) -> str:
+    """Levels over `{name}0` (tree, size, k, d), siblings at each, and `{name}c0` (tree, k, f, proof, ..) folded level by level."""
+    parts = []
+    for i in range(levels):
+        parts.append(f"""
+{name}p{i} AS MATERIALIZED (SELECT tree, size, k, d, coalesce(lag(d, 2) OVER w, '') || coalesce(lag(d, 1) OVER w, '') AS before,
+  coalesce(lead(d, 1) OVER w, '') || coalesce(lead(d, 2) OVER w, '') AS after FROM {name}{i} WINDOW w AS (PARTITION BY tree, k // 3 ORDER BY k)),
+{name}{i + 1} AS MATERIALIZED (SELECT tree, (size + 2) // 3 AS size, k // 3 AS k, CASE WHEN size = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY k)) END AS d
+  FROM {name}{i} GROUP BY tree, size, k // 3),
+{name}c{i + 1} AS MATERIALIZED (SELECT c.* EXCLUDE (k, f, proof), c.k // 3 AS k, CASE WHEN p.size = 1 THEN c.f ELSE sha256(p.before || c.f || p.after) END AS f,
+  CASE WHEN p.size = 1 THEN c.proof ELSE c.proof || p.before || p.after END AS proof FROM {name}c{i} c JOIN {name}p{i} p ON p.tree = c.tree AND p.k = c.k)""")
+    return ",".join(parts)
+
+
+def _merkle(levels: int = 15) -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    digits = "list_transform(range(1, length(i) + 1), lambda n: CAST(ascii(substr(i, n, 1)) AS BIGINT))"
+    return f"""
+WITH docs AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS i FROM documents),
+marked AS (SELECT *, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {digits}), lambda c, b: {bits}) & 1 = 1 AS even FROM docs),
+leaves AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN even THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS seen FROM marked),
+sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM leaves) s),
+placed AS MATERIALIZED (SELECT l.*, s.tree, row_number() OVER (PARTITION BY s.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY s.tree) AS size
+  FROM leaves l JOIN sources s ON s.source IS NOT DISTINCT FROM l.source),
+a0 AS (SELECT tree, size, k, leaf AS d FROM placed), ac0 AS (SELECT doc_id, leaf, tree, k, seen AS f, '' AS proof FROM placed),{_tree('a', levels)},
+b0 AS (SELECT 0 AS tree, (SELECT count(*) FROM sources) AS size, tree AS k, d FROM a{levels}),
+bc0 AS (SELECT c.doc_id, c.leaf, a.d AS subroot, 0 AS tree, c.tree AS k, c.f, c.proof FROM ac{levels} c JOIN a{levels} a ON a.tree = c.tree),{_tree('b', levels)}
+SELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.d AS verified FROM bc{levels} c JOIN b{levels} r ON r.tree = c.tree"""
+
+
+ORACLES: dict[str, str] = {"op1_pii": _pii(), "op2_mixing": _mixing(), "op7_lattice": _LATTICE, "op8_warc": _WARC, "op9_topk": _TOPK, "op13_merkle": _merkle()}
