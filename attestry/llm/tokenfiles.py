@@ -30,7 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.tokens import CACHE, LONGEST, _PLAIN_WORD, loaded, parts, slices, tokenizer_of
+from attestry.llm.tokens import LONGEST, loaded, parts, slices, tokenizer_of
+
+#: words kept by a worker; when full, the cache starts anew
+WORDS = 500_000
+#: stands between words that are encoded together
+SEPARATOR = "|"
 
 
 @dataclass(frozen=True)
@@ -47,6 +52,49 @@ _NORMAL = ["NFC", {"Regex": "\\s+"}, "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class LatinWords:
+    """Ids of words of the letters a to z, with or without a comma or stop behind them, many at a time.
+
+    The vocabulary writes the last letter of a word with an end sign; here it is a capital, so that words stand side by side in
+    one string, end where a capital stands, and a byte-pair encoder over the same ranks keeps them apart.
+    """
+
+    def __init__(self, spec: dict):
+        import tiktoken
+
+        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        ranks, self.ends = {}, np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            body, last = (token[:-len(suffix)], True) if token.endswith(suffix) else (token, False)
+            if body.isascii() and body.isalpha() and body.islower():
+                ranks[(body[:-1] + body[-1].upper() if last else body).encode()] = i
+                self.ends[i] = last
+        for sign in ".,":
+            ranks[sign.encode()] = vocab[sign + suffix]
+            self.ends[vocab[sign + suffix]] = True
+        made = [vocab["".join(m)] for m in spec["model"]["merges"]]
+        if made != sorted(made) or len(set(made)) != len(made) or not all(c.encode() in ranks for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+            raise ValueError("the vocabulary is not in the order of its merges")
+        self.encoding = tiktoken.Encoding("latin", pat_str="[a-z]*[A-Z]|[.,]", mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def written(word: str) -> str | None:
+        """The word as it stands in the string; None if it is of another kind."""
+        if not word.isascii():
+            return None
+        mark = word[-1] if word[-1] in ".," else ""
+        body = word[:-1] if mark else word
+        return body[:-1].lower() + body[-1].upper() + mark if body.isalpha() else None
+
+    def ids(self, written: list[str], kind: np.dtype) -> list[bytes]:
+        ids = np.array(self.encoding.encode_ordinary("".join(written)), kind)
+        ends = np.nonzero(self.ends[ids])[0] + 1
+        count = np.cumsum([2 if w[-1] in ".," else 1 for w in written])
+        cut = (ends[count - 1] * kind.itemsize).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cut], cut)]
+
+
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them.  Where the file's tokenizer drops white space and splits at it,
     a worker remembers the ids of words; other tokenizers encode each text in one piece."""
@@ -60,6 +108,9 @@ class WordEncoder:
         self.by_word = plain and normal == _NORMAL and split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and split.get("invert")
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab(True).values()) < 65536 else "<u4")
         self.cache: dict[str, bytes] = {"": b""}
+        mark = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.latin = LatinWords(spec) if self.by_word and spec["model"].get("end_of_word_suffix") else None
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -67,28 +118,48 @@ class WordEncoder:
             out += [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)]
         return out
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words without blanks: many in one text, told apart by a mark that is a word and an id of its own.  Words that
+        hold the mark, as special tokens may, are encoded one by one."""
+        out, width = {}, self.type.itemsize
+        if self.latin:
+            written = list(map(self.latin.written, words))
+            known = [(w, x) for w, x in zip(words, written) if x]
+            words = [w for w, x in zip(words, written) if not x]
+            for i in range(0, len(known), 65536):
+                some = known[i:i + 65536]
+                out.update(zip([w for w, _ in some], self.latin.ids([x for _, x in some], self.type)))
+        plain = [w for w in words if SEPARATOR not in w]
+        apart = [w for w in words if SEPARATOR in w]
+        out.update(zip(apart, self._encoded(apart)))
+        for i in range(0, len(plain), 4096):
+            some = plain[i:i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(some)], add_special_tokens=False)[0].ids, self.type)
+            ends = [*(np.nonzero(ids == self.mark)[0] * width).tolist(), len(ids) * width]
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not keep the mark apart")
+            data = ids.tobytes()
+            out.update(zip(some, [data[a:b] for a, b in zip([0, *[e + width for e in ends]], ends)]))
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Of texts that together fit in memory; unknown words of all of them are encoded in one call."""
-        if not self.by_word:
+        """Of texts that together fit in memory; unknown words of all of them are encoded in one go."""
+        if not self.by_word or self.mark is None:
             return self._encoded(texts)
-        cache = self.cache
-        if len(cache) > CACHE:
+        cache, words, ends = self.cache, [], [0]
+        if len(cache) > WORDS:
             cache.clear()
             cache[""] = b""
-        own = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(cache.get, words)) for words in own]
-        missing = {w for words, f in zip(own, found) if None in f for w, x in zip(words, f) if x is None}
-        if missing:
-            simple = {w: (m[1].lower(), m[2]) for w in missing if (m := _PLAIN_WORD.fullmatch(w))}      # letters and a mark are split anyway
-            pieces = list({x for pair in simple.values() for x in pair if x not in cache} | (missing - simple.keys()))
-            new = dict(zip(pieces, self._encoded(pieces)))
-            for w, (a, b) in simple.items():
-                new[w] = (new[a] if a in new else cache[a]) + (new[b] if b in new else cache[b])
-            cache.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
-            for words, f in zip(own, found):
-                if None in f:
-                    f[:] = [new[w] if x is None else x for w, x in zip(words, f)]
-        return [b"".join(f) for f in found]
+        for t in texts:
+            words += t.replace("\n", " ").split(" ")
+            ends.append(len(words))
+        missing = list(set(words).difference(cache))
+        cache.update(self._words(missing))
+        found = list(map(cache.__getitem__, words))
+        for w in missing:
+            if len(w) > LONGEST:
+                del cache[w]
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def _folder(path: str):

@@ -1,5 +1,6 @@
 """Token files against the tokenizers library on whole texts."""
 
+import random
 import zlib
 
 import numpy as np
@@ -50,6 +51,20 @@ def test_other_tokenizers_and_widths(spark, odd):
         (i, n, c) for i, _, n, c in expected([(r.doc_id, r.text) for r in docs.collect()], path, 70_000 % 65_536))
 
 
+def test_words_side_by_side():
+    """Every word of the vocabulary, and many made up of its parts or of any letters, as the library encodes them alone."""
+    rng, encoder = random.Random(4), WordEncoder(FILE)
+    vocab = sorted({t.removesuffix("</w>") for t in encoder.tokenizer.get_vocab() if t.removesuffix("</w>").isascii() and t.removesuffix("</w>").isalpha()})
+    words = vocab + ["".join(rng.choice(vocab) for _ in range(rng.randint(1, 5))) for _ in range(30_000)]
+    words += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC") for _ in range(rng.randint(1, 14))) + rng.choice(("", "", ",", ".", "..", "'s", "|", "|x", "-", "1", "é", "\xa0", "<|endoftext|>"))
+              for _ in range(30_000)] + [",", ".", "|", "||", "\x1c", "'", "İ", "ſs", "K", "a\u0301", "\u0301"]
+    words = sorted(set(words))
+    expect = [np.array(e.ids, "<u2").tobytes() for e in encoder.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert encoder.ids(words) == expect
+    texts = [" ".join(rng.choice(words) for _ in range(50)) + rng.choice(("", " ", "\n\n")) for _ in range(500)]
+    assert encoder.ids(texts) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
 def test_unreferenced_files_do_not_count(spark, odd):
     """A task that ran twice leaves files that the manifest does not name."""
     target, back = written(spark, odd, FileParams(FILE, rows=4))
