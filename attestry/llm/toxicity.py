@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.common import first_by_hash, held_out
+from attestry.llm.tokens import parts
 
 _FOLD = bytes.maketrans(b"""ABCDEFGHIJKLMNOPQRSTUVWXYZ!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""",
                         b"abcdefghijklmnopqrstuvwxyz" + b" " * 32)
@@ -138,7 +139,7 @@ def _counts(docs: DataFrame, sample: DataFrame, bins: int) -> np.ndarray:
                     total += np.bincount(np.concatenate(halves(np.concatenate(own), bins)), minlength=2 * bins + 1)
                 own.clear()
 
-        for batch in batches:
+        for batch in parts(batches):
             size = 0
             for t, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 own = np.unique(hashes(t.as_py() or ""))
@@ -213,26 +214,24 @@ def train(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams()) ->
     model = ToxicModel(weights, _rate(weights, total[1, :-1] + _prior(total, p), p.bins), 0.0, (0.0, 0.0, 0.0), p)
 
     def best(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for t, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 scores = model.token_scores(t.as_py() or "")
-                rows.append((toxic, len(scores), [s for _, _, s in segments(scores)]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                                              pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    seen = rows.mapInArrow(best, "toxic int, n long, scores array<double>").where("n > 0")
-    seen = seen.select("toxic", "n", F.slice(F.sort_array("scores", False), 1, 64).alias("scores")).collect()   # bounded as the sample is
-    seen = sorted((r["toxic"], r["n"], tuple(r["scores"])) for r in seen)
-    clean = [model.rate * max(s, default=0.0) - np.log(n) for t, n, s in seen if t == 0]
-    model.log_k = float(np.mean(clean) - 0.5772156649)          # the mean of a Gumbel law is ln(K n) + gamma, over lambda
-    limit = -np.log(p.unlikely)
-    points = []
-    for _, n, s in seen:
-        rated = [model.surprise(x, n) for x in s]
-        points.append((max(rated, default=0.0), sum(x for x in rated if x >= limit)))
-    model.curve = _logistic(np.log1p(np.array(points)), np.array([float(t) for t, _, _ in seen]))
+                rows.append((toxic, len(scores), max((s for _, _, s in segments(scores)), default=0.0)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.float64()))], ["toxic", "n", "best"])
+
+    def both(batches):
+        for batch in parts(batches):
+            rows = [(toxic, *model.evidence(t.as_py() or "")[:2]) for t, toxic in zip(batch.column(0), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.float64(), pa.float64()))], ["toxic", "best", "together"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")      # bounded as the sample is
+    seen = rows.where("toxic = 0").mapInArrow(best, "toxic int, n long, best double").where("n > 0").collect()
+    clean = sorted(model.rate * r["best"] - np.log(r["n"]) for r in seen)
+    model.log_k = float(np.mean(clean) - 0.5772156649) if clean else 0.0       # the mean of a Gumbel law is ln(K n) + gamma, over lambda
+    points = sorted((r["toxic"], r["best"], r["together"]) for r in rows.where("text <> ''").mapInArrow(both, "toxic int, best double, together double").collect())
+    model.curve = (-5.0, 0.0, 0.0) if not points else _logistic(np.log1p(np.array([x[1:] for x in points])), np.array([float(t) for t, _, _ in points]))
     return model
 
 
@@ -241,7 +240,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surprise", pa.float64())]))
-        for batch in batches:
+        for batch in parts(batches):
             found = [model.evidence(t.as_py() or "") for t in batch.column(1)]
             scores = [model.probability(best, together) for best, together, _ in found]
             passages = [[{"start": s, "end": e, "surprise": v} for s, e, v in own] for _, _, own in found]
@@ -263,7 +262,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicPara
     model = train(docs, labels, p)
 
     def keep(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(batch.schema.get_field_index("text"))
             ok = [model.probability(*model.evidence(t.as_py() or "")[:2]) < p.cut for t in texts]
             yield batch.filter(pa.array(ok, pa.bool_()))
