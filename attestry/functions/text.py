@@ -52,12 +52,16 @@ _SPELLED = {c: c.casefold() for c in "ßŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ
 
 
 def casefold(c: Column) -> Column:
-    """Unicode case folding; final sigma and ligatures included."""
-    low = F.translate(F.lower(c), _FOLDED, _FOLDED.casefold())
-    spelled = low
-    for letter, written in _SPELLED.items():
-        spelled = F.replace(spelled, F.lit(letter), F.lit(written))
-    return F.when(low.rlike(f"[{''.join(_SPELLED)}]"), spelled).otherwise(low)
+    """Unicode case folding; final sigma and ligatures included.  ASCII text is only lowered."""
+
+    def spelled(low: Column) -> Column:
+        out = low
+        for letter, written in _SPELLED.items():
+            out = F.replace(out, F.lit(letter), F.lit(written))
+        return F.when(low.rlike(f"[{''.join(_SPELLED)}]"), out).otherwise(low)
+
+    full = let(F.translate(F.lower(c), _FOLDED, _FOLDED.casefold()), spelled)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(c))
 
 
 def is_placeholder(cleaned: Column) -> Column:
