@@ -11,6 +11,7 @@ from attestry.plans.q_text import d_fold, d_key
 from attestry.plans.registry import FRAGMENTS, query
 from attestry.session import cut_lineage, scratch_path
 from attestry.sources import catalog as src
+from attestry.sources import reference as ref
 
 LIMITS = {"MOBILE_DESC": 80, "INVOICE_DESC": 40, "SHORT_DESC": 60, "LONG_DESC1": 100, "RETAIL_DESC": 50}
 
@@ -200,13 +201,31 @@ def _(t):
     return dl.source_columns(t.catalog, "row_no")
 
 
-@query("out_gated", """SELECT b.item_id, CASE WHEN m.okay THEN b.manufacturer END AS manufacturer, CASE WHEN br.okay THEN b.brand END AS brand, CASE WHEN c.okay THEN classpath END AS classpath, i.product_name
-FROM audit_base b JOIN desc_items i USING (item_id) JOIN status m ON m.item_id = b.item_id AND m.field = 'manufacturer' JOIN status br ON br.item_id = b.item_id AND br.field = 'brand' JOIN status c ON c.item_id = b.item_id AND c.field = 'classpath'""")
+VIEWS["class_codes"] = "SELECT o_orderkey AS item_id, CAST(10000000 + o_orderkey % 80000000 AS STRING) AS code FROM {orders}"
+VIEWS["sent_rows"] = """
+SELECT item_id, mpn AS mfg_part_num, product_name AS part_desc, brand AS e1_brand, CASE item_id % 3 WHEN 0 THEN '-- Unbranded --' WHEN 1 THEN ' ' ELSE NULL END AS unilog_brand,
+  CAST(NULL AS STRING) AS dib_brand, manufacturer AS part_manuf FROM {desc_items}
+"""
+_GATED = {"manufacturer": "manufacturer", "brand": "brand", "classpath": "classpath", "code": "classpath", **{f: f"description:{f}" for f in _PARTS}, "product_name": None}
+FRAGMENTS["gates"] = "SELECT item_id, " + ", ".join(f"bool_or(okay) FILTER (field = '{g}') AS \"{g}\"" for g in dict.fromkeys(g for g in _GATED.values() if g)) + " FROM status GROUP BY item_id"
+_GATED_FROM = {f: f"nullif({f}.t, '')" for f in _PARTS} | {"manufacturer": "b.manufacturer", "brand": "b.brand", "classpath": "b.classpath", "code": "k.code"}
+FRAGMENTS["gated"] = "SELECT b.item_id, " + ", ".join(
+    f"CASE WHEN g.\"{g}\" THEN {_GATED_FROM.get(c, c)} END AS {c}" for c, g in _GATED.items() if g) + """, d.product_name
+FROM audit_base b JOIN class_codes k ON k.item_id = b.item_id JOIN described d ON d.item_id = b.item_id JOIN gates g ON g.item_id = b.item_id"""
+
+
+def gated(t):
+    """The gated columns; descriptions are built once, for their own gate and for the row."""
+    d = cut_lineage(described(t))
+    st = audit_status(t, ds.field_rows(d)).where(F.col("field").isin(*[g for g in _GATED.values() if g])).groupBy("item_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "okay"))).alias("status"))      # at most eight fields of an item
+    rows = t.audit_base.join(t.class_codes, "item_id").join(d.select("item_id", "product_name", *_PARTS), "item_id").join(st, "item_id")
+    return dl.gated_columns(rows, F.col("status"), _GATED)
+
+
+@query("out_gated", "SELECT * FROM gated")
 def _(t):
-    st = audit_status(t).where(F.col("field").isin("manufacturer", "brand", "classpath")).groupBy("item_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", "okay"))).alias("status"))
-    rows = t.audit_base.join(st, "item_id").join(t.desc_items.select("item_id", "product_name"), "item_id")
-    return dl.gated_columns(rows, F.col("status"), {"manufacturer": "manufacturer", "brand": "brand", "classpath": "classpath", "product_name": None})
+    return gated(t)
 
 
 FRAGMENTS["slots"] = """SELECT x.item_id, x.slot, x.label, CASE WHEN s.okay THEN f.value END AS value, CASE WHEN s.okay THEN f.uom END AS uom, CASE WHEN s.okay THEN f.source_type END AS source_type, CASE WHEN s.okay THEN c.confidence END AS confidence
@@ -214,7 +233,9 @@ FROM item_labels x LEFT JOIN finals f ON f.item_id = x.item_id AND f.label = x.l
 
 
 def slots(t):
-    return dl.slot_rows(t.item_labels, t.finals, audit_status(t), t.checked)
+    """Slots ask for the status of attributes only, so no description is built for them."""
+    none = t.spark.createDataFrame([], "item_id bigint, field string, value string, compliant boolean")
+    return dl.slot_rows(t.item_labels, t.finals, audit_status(t, none), t.checked)
 
 
 @query("win_slots", "SELECT * FROM slots")
@@ -236,14 +257,22 @@ def _(t):
     return dl.provenance_rows(slots(t), t.audit_base.select("item_id", "class_confidence"))
 
 
-@query("snk_delivery", f"SELECT o.item_id, d.mpn, coalesce(nullif(D1.t, ''), '') AS retail, {_WIDE} FROM (SELECT item_id, RETAIL_DESC AS D1 FROM described) o JOIN desc_items d USING (item_id) LEFT JOIN slots USING (item_id) GROUP BY 1, 2, 3")
+#: delivery field -> column of the wide rows
+_FIELDS = {**{c: c.lower() for c in fv.CATALOG_COLUMNS}, "MANUFACTURER_PART_NUMBER": "manufacturer_part_number", "MANUFACTURER_NAME": "manufacturer", "BRAND_NAME": "brand",
+           "Classpath": "classpath", "UNSPSC": "code", "Product Name": "product_name", **{f: f for f in _PARTS},
+           **{f"ATTRIBUTE_{f.upper()} {i}": f"attribute_{f}_{i}" for i in range(1, 51) for f in ("label", "value", "uom")}}
+FRAGMENTS["slots_wide"] = f"SELECT item_id, {_WIDE} FROM slots GROUP BY item_id"
+_SENT = ", ".join(f"CASE WHEN trim({c}) <> '' THEN {c} END AS {c}" for c in dl.SOURCE_FIELDS)
+
+
+@query("snk_delivery", "SELECT " + ", ".join(f"coalesce({_FIELDS[c]}, '') AS \"{c}\"" if c in _FIELDS else f"'' AS \"{c}\"" for c in ref.DELIVERY_COLUMNS) +
+       f" FROM (SELECT item_id, {_SENT}, CASE WHEN trim(mfg_part_num) <> '' THEN mfg_part_num END AS manufacturer_part_number FROM sent_rows) s JOIN gated USING (item_id) LEFT JOIN slots_wide USING (item_id)")
 def _(t):
-    wide = described(t).select("item_id", "mpn", F.coalesce("RETAIL_DESC", F.lit("")).alias("retail")).join(dl.wide_slots(slots(t)), "item_id", "left")
+    """The whole delivery table, 252 columns in their order, written under its contract and read back by the refusing reader."""
+    wide = dl.source_columns(t.sent_rows).join(gated(t), "item_id").join(dl.wide_slots(slots(t)), "item_id", "left")
     path = scratch_path(t.spark, "delivery")
-    src.write_csv(wide, path, quote_all=True)
-    schema = ", ".join(f"{c} {'bigint' if c == 'item_id' else 'string'}" for c in wide.columns)
-    back = src._open_csv(t.spark, path).schema(schema).csv(path)
-    return back.select(*[F.coalesce(c, F.lit("")).alias(c) if c == "retail" else c for c in back.columns])
+    ref.write_delivery_csv(ref.delivery_rows(wide, _FIELDS), path)
+    return ref.read_delivery_csv(t.spark, path)
 
 
 # ---- nested records ---------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Catalog files: six-column CSV with an exact header, or a superset for intake."""
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,14 +39,36 @@ def _open_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_lin
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
-def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
-    names = _open_csv(spark, path, encoding).csv(path).columns
-    return [n.lstrip("﻿") for n in names]
+def file_headers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[tuple[list[str], str]]:
+    """The distinct first lines of all files, each as cells and with one file that has it; one job, which also refuses bytes that
+    are no UTF-8.  Text lines keep their bytes as they are, so each line is tested where it lies; a header is one line."""
+    utf8 = encoding.upper().replace("-", "") == "UTF8"
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("first"), F.monotonically_increasing_id().alias("at"))
+    broken = F.max(F.expr("NOT is_valid_utf8(value)")) if utf8 else F.lit(False)
+    head = F.min_by("value", F.when(F.col("first"), F.col("at")))       # null positions are left out
+    files = lines.groupBy("file").agg(head.alias("head"), broken.alias("broken"))
+    found = files.groupBy("head", "broken").agg(F.min("file").alias("file")).orderBy(F.desc("broken"), "file").limit(100).collect()
+    for r in found:
+        if r["broken"]:
+            raise SourceError(f"not UTF-8: {r['file']}")
+    return [(next(csv.reader([(r["head"] or "").lstrip("\ufeff").rstrip("\r")]), []), r["file"]) for r in found]
+
+
+def one_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
+    """The header that all files share; files that differ are refused, whatever their order."""
+    headers = file_headers(spark, path, encoding)
+    if not headers:
+        raise SourceError(f"no file with a header at {path}")
+    for cells, file in headers[1:]:
+        if cells != headers[0][0]:
+            raise SourceError(f"files differ in their headers: {file} has {cells}, {headers[0][1]} has {headers[0][0]}")
+    return headers[0][0]
 
 
 def read_catalog_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Read the working file.  The header must match exactly; a blank cell is ''."""
-    header = csv_header(spark, path)
+    """Read the working file.  The header of every file must match exactly; a blank cell is ''."""
+    header = one_header(spark, path)
     if tuple(header) != fv.CATALOG_COLUMNS:
         raise SourceError(f"catalog header must be {fv.CATALOG_COLUMNS}, found {tuple(header)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in fv.CATALOG_COLUMNS])
@@ -83,17 +107,14 @@ def intake_rows(df: DataFrame, required: tuple[str, ...] = fv.CATALOG_COLUMNS) -
     return df.where(not_blank(df, strings))
 
 
-def refuse_broken_text(spark: SparkSession, path: str) -> None:
-    """Stop if a file holds bytes that are no UTF-8.  Text lines keep their bytes as they are, so each is tested where it lies."""
-    bad = spark.read.text(path).where("NOT is_valid_utf8(value)").select(F.col("_metadata.file_path").alias("path")).limit(1).collect()
-    if bad:
-        raise SourceError(f"not UTF-8: {bad[0]['path']}")
-
-
 def read_batch_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Intake of a batch: the text must be UTF-8, the columns there, and at least one row not blank."""
-    refuse_broken_text(spark, path)
-    rows = intake_rows(_open_csv(spark, path, multi_line=multi_line).csv(path))
+    """Intake of a batch: the text must be UTF-8, all files have one header with the required columns, and at least one row is
+    not blank."""
+    header = one_header(spark, path)
+    if len(set(header)) != len(header):
+        raise SourceError(f"the header repeats {sorted({c for c in header if header.count(c) > 1})}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    rows = intake_rows(_open_csv(spark, path, multi_line=multi_line).schema(schema).csv(path))
     if rows.isEmpty():
         raise SourceError("the file has no data rows")
     return rows

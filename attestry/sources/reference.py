@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from attestry import fixed_values as fv
 from attestry.functions import text as tx
 from attestry.functions import units as un
-from attestry.operators.attributes import unpivot_triples
-from attestry.sources.catalog import SourceError, _open_csv, csv_header
+from attestry.sources.catalog import SourceError, _open_csv, file_headers, one_header, write_csv
 
 
 def rename_aliases(df: DataFrame, aliases: dict[str, tuple[str, ...]], optional: tuple[str, ...] = ()) -> DataFrame:
@@ -73,7 +72,7 @@ def _windows_1252(c):
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """Read a taxonomy file in the Windows-1252 code page, which Spark's readers do not offer by name."""
-    header = csv_header(spark, path, "ISO-8859-1")
+    header = one_header(spark, path, "ISO-8859-1")
     if tuple(header) != fv.TAXONOMY_COLUMNS:
         raise SourceError(f"taxonomy header must be {fv.TAXONOMY_COLUMNS}, found {tuple(header)}")
     raw = _open_csv(spark, path, "ISO-8859-1").csv(path)
@@ -91,15 +90,17 @@ def taxonomy_problems(df: DataFrame, code: str) -> DataFrame:
     return counted.withColumn("problem", problem).where(F.col("problem").isNotNull())
 
 
-DELIVERY_COLUMNS = 252
 DELIVERY_TRIPLE = ("ATTRIBUTE_LABEL {n}", "ATTRIBUTE_VALUE {n}", "ATTRIBUTE_UOM {n}")
+#: all columns of the delivery table in their order: names, 20 features, 50 attribute slots, names
+DELIVERY_COLUMNS = (*fv.DELIVERY_FIRST, *[f"ITEM_FEATURES_{n}" for n in range(1, 21)], *fv.DELIVERY_BEFORE_SLOTS,
+                    *[c.format(n=n) for n in range(1, 51) for c in DELIVERY_TRIPLE], *fv.DELIVERY_LAST)
 
 
 def check_delivery_header(header: list[str], sha256: str | None = None) -> list[int]:
     """Refuse a header that breaks the delivery contract: number of columns, repeats, required fields, whole slots, and, if given,
     the hash of names and order.  Returns the slots."""
-    if len(header) != DELIVERY_COLUMNS:
-        raise SourceError(f"delivery header must have {DELIVERY_COLUMNS} columns, found {len(header)}")
+    if len(header) != len(DELIVERY_COLUMNS):
+        raise SourceError(f"delivery header must have {len(DELIVERY_COLUMNS)} columns, found {len(header)}")
     if len(set(header)) != len(header):
         raise SourceError(f"delivery header repeats {sorted({c for c in header if header.count(c) > 1})}")
     missing = sorted(set(fv.DELIVERY_REQUIRED) - set(header))
@@ -119,20 +120,33 @@ def check_delivery_header(header: list[str], sha256: str | None = None) -> list[
 
 def read_delivery_csv(spark: SparkSession, path: str, sha256: str | None = None, multi_line: bool = False) -> DataFrame:
     """Rows of a delivery table whose files all meet the header contract; a blank cell is ''."""
-    lines = _open_csv(spark, path, multi_line=multi_line).option("header", False)
-    headers = []
-    for file in sorted(lines.csv(path).inputFiles()):       # names as they stand: with a header option Spark would rename repeats
-        first = lines.csv(file).head()
-        headers.append([(c or "").lstrip("\ufeff") for c in first] if first else [])
-        check_delivery_header(headers[-1], sha256)
-        if headers[-1] != headers[0]:
-            raise SourceError(f"delivery files differ in their headers: {file}")
-    if not headers:
-        raise SourceError(f"no delivery file at {path}")
-    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in headers[0])
+    for header, file in file_headers(spark, path):
+        try:
+            check_delivery_header(header, sha256)
+        except SourceError as e:
+            raise SourceError(f"{e} ({file})") from e
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in one_header(spark, path))
     return _open_csv(spark, path, multi_line=multi_line).schema(schema).option("mode", "FAILFAST").csv(path).na.fill("")
 
 
+def write_delivery_csv(rows: DataFrame, path: str, sha256: str | None = None) -> None:
+    """Write delivery rows whose columns meet the contract; Spark's commit lets readers see all files or none."""
+    check_delivery_header(rows.columns, sha256)
+    write_csv(rows, path, quote_all=True)
+
+
+def delivery_rows(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The delivery table's columns in their order: `names` says which column of `rows` a field is taken from, fields without one
+    are empty; nothing is NULL."""
+    stray = sorted(set(names) - set(DELIVERY_COLUMNS))
+    if stray:
+        raise SourceError(f"no delivery fields: {stray}")
+    return rows.select(*[(F.coalesce(F.col(f"`{names[c]}`").cast("string"), F.lit("")) if c in names else F.lit("")).alias(c) for c in DELIVERY_COLUMNS])
+
+
 def delivery_triples(delivery: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, slot, label, value, uom) of every slot that the header has."""
-    return unpivot_triples(delivery, keys, max(check_delivery_header(delivery.columns)), DELIVERY_TRIPLE)
+    """(keys, slot, label, value, uom) of every slot that the header has, gaps between slot numbers included."""
+    cells = F.array(*[F.struct(F.lit(n).alias("slot"), *[F.trim(F.coalesce(F.col(f"`{c.format(n=n)}`"), F.lit(""))).alias(a)
+                                                         for c, a in zip(DELIVERY_TRIPLE, ("label", "value", "uom"))])
+                      for n in check_delivery_header(delivery.columns)])
+    return delivery.select(*[F.col(f"`{k}`") for k in keys], F.inline(cells))

@@ -1,5 +1,7 @@
 """Readers: row numbers over unequal files, refusals, code page, and workers that only have what is shipped."""
 
+import hashlib
+import json
 import os
 import subprocess
 import sys
@@ -46,6 +48,83 @@ def test_header_must_match(spark, tmp_path):
         src.read_catalog_csv(spark, str(tmp_path))
 
 
+REVERSED = ",".join(reversed(fv.CATALOG_COLUMNS))
+
+
+@pytest.mark.parametrize("first, second", [(HEADER, REVERSED), (REVERSED, HEADER)])
+def test_every_file_is_held_to_the_header(spark, tmp_path, first, second):
+    """Whatever order the files have, a file with other columns is named and refused, by both readers."""
+    for i, head in enumerate((first, second)):
+        (tmp_path / f"{'ab'[i]}.csv").write_text(head + "\n1,2,3,4,5,6\n")
+    for read in (src.read_catalog_csv, src.read_batch_csv):
+        with pytest.raises(src.SourceError, match="differ in their headers: .*b.csv"):
+            read(spark, str(tmp_path))
+    (tmp_path / "c.csv").write_bytes(b"caf\xe9\n")
+    with pytest.raises(src.SourceError, match="not UTF-8: .*c.csv"):
+        src.read_batch_csv(spark, str(tmp_path))
+
+
+def test_headers_may_be_quoted_and_marked(spark, tmp_path):
+    quoted = ",".join(f'"{c}"' for c in fv.CATALOG_COLUMNS)
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + HEADER.encode() + b"\r\nP1,,,,,\r\n")
+    (tmp_path / "b.csv").write_text(quoted + "\n" + "P2,,,,,\n" * 3)
+    rows = src.read_catalog_csv(spark, str(tmp_path)).orderBy("source_row_number").collect()
+    assert [(r["source_row_number"], r["mfg_part_num"]) for r in rows] == [(1, "P1"), (2, "P2"), (3, "P2"), (4, "P2")]
+
+
+def delivery(spark, path, change=lambda names: names):
+    names = change(list(ref.DELIVERY_COLUMNS))
+    path.mkdir(exist_ok=True)
+    text = ",".join(f'"{n}"' for n in names) + "\n" + ",".join(f"v{i}" for i in range(len(names))) + "\n"
+    (path / f"{len(list(path.iterdir()))}.csv").write_text(text)
+    return str(path)
+
+
+def test_delivery_round_trip(spark, tmp_path):
+    assert len(ref.DELIVERY_COLUMNS) == 252 and ref.check_delivery_header(list(ref.DELIVERY_COLUMNS)) == list(range(1, 51))
+    rows = spark.createDataFrame([(1, "a\"b", None, " x "), (2, None, "5", "é")], "row int, label string, value string, brand string")
+    wide = ref.delivery_rows(rows, {"PART_NUMBER": "row", "ATTRIBUTE_LABEL 50": "label", "ATTRIBUTE_VALUE 50": "value", "BRAND_NAME": "brand"})
+    ref.write_delivery_csv(wide, str(tmp_path / "d"))
+    back = ref.read_delivery_csv(spark, str(tmp_path / "d"))
+    assert back.columns == list(ref.DELIVERY_COLUMNS) and sorted(map(tuple, back.collect())) == sorted(map(tuple, wide.collect()))
+    got = sorted(tuple(r) for r in ref.delivery_triples(back, ["PART_NUMBER"]).where("label <> '' or value <> ''").collect())
+    assert got == [("1", 50, 'a"b', "", ""), ("2", 50, "", "5", "")]
+    with pytest.raises(src.SourceError, match="no delivery fields"):
+        ref.delivery_rows(rows, {"NOPE": "row"})
+    with pytest.raises(src.SourceError, match="252 columns"):
+        ref.write_delivery_csv(rows, str(tmp_path / "e"))
+
+
+@pytest.mark.parametrize("change, message", [
+    (lambda n: n[:-1], "252 columns, found 251"),
+    (lambda n: [*n[:-1], n[0]], "repeats"),
+    (lambda n: [c.replace("UNSPSC", "CODE") for c in n], "lacks required fields"),
+    (lambda n: [c.replace("ATTRIBUTE_UOM 7", "ATTRIBUTE_UNIT 7") for c in n], "incomplete attribute slots"),
+    (lambda n: [*n[1:2], *n[:1], *n[2:]], "differ in their headers")])
+@pytest.mark.parametrize("wrong", [0, 1])
+def test_delivery_files_that_are_refused(spark, tmp_path, change, message, wrong):
+    """In a folder of two files, the wrong one first or second."""
+    for i in range(2):
+        path = delivery(spark, tmp_path / "d", change if i == wrong else lambda n: n)
+    with pytest.raises(src.SourceError, match=message):
+        ref.read_delivery_csv(spark, path)
+
+
+def test_delivery_header_is_pinned_by_its_hash(spark, tmp_path):
+    path = delivery(spark, tmp_path / "d", lambda n: [*n[1:2], *n[:1], *n[2:]])
+    right = hashlib.sha256(json.dumps(list(ref.DELIVERY_COLUMNS), ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    assert ref.read_delivery_csv(spark, path).count() == 1
+    with pytest.raises(src.SourceError, match="hash"):
+        ref.read_delivery_csv(spark, path, right)
+
+
+def test_gaps_between_slots(spark, tmp_path):
+    """A header that counts its slots from 2 to 51 is whole; every slot keeps its number."""
+    shifted = [c.replace(" 1", " 51") if c.startswith("ATTRIBUTE") and c.endswith(" 1") else c for c in ref.DELIVERY_COLUMNS]
+    back = ref.read_delivery_csv(spark, delivery(spark, tmp_path / "d", lambda n: shifted))
+    assert sorted(r["slot"] for r in ref.delivery_triples(back, ["PART_NUMBER"]).collect()) == list(range(2, 52))
+
+
 @pytest.mark.parametrize("body, message", [(b"P1,caf\xe9,,,,\n", "not UTF-8"), (b"", "no data rows"), (b" ,,,,,\n", "no data rows")])
 def test_batches_that_are_refused(spark, tmp_path, body, message):
     (tmp_path / "a.csv").write_bytes(HEADER.encode() + b"\n" + body)
