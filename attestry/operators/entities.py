@@ -7,13 +7,13 @@ first), a key joins the best earlier leader at the cluster ratio or becomes one.
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import similarity as sim
 from attestry.functions import text as tx
-from attestry.operators.matching import block_topk
+from attestry.operators import scanning
+from attestry.operators.namesearch import nearest_names
 from attestry.params import DEFAULTS, Params
 from attestry.session import cut_lineage
 
@@ -199,21 +199,7 @@ def alias_stats(vocabulary: DataFrame) -> DataFrame:
 
 # ---- ranking and resolution ------------------------------------------------------
 
-def _rank_pairs(k: int):
-    def score(q: pd.DataFrame, e: pd.DataFrame):
-        names, keys = e["canonical_name"].tolist(), e["entry_key"].tolist()
-        order = sorted(range(len(names)), key=lambda i: (names[i].casefold(), names[i]))
-        rows = []
-        for query in q["key"]:
-            scored = [(sim.composite(query, keys[i]) / 100.0, i) for i in order]
-            top = sorted(scored, key=lambda x: -x[0])[:k]
-            rows += [(query, names[i], keys[i], s) for s, i in top]
-        yield pd.DataFrame(rows, columns=["key", "canonical_name", "entry_key", "score"])
-
-    return score
-
-
-def rank_names(keys: DataFrame, vocabulary: DataFrame, k: int = 3) -> DataFrame:
+def rank_names(keys: DataFrame, vocabulary: DataFrame, k: int = 3, chunk: int = scanning.CHUNK, sent: int = scanning.SENT) -> DataFrame:
     """The k most similar entries for each distinct key, ties in name order."""
     q = cut_lineage(keys.select("key").where(F.col("key") != "").distinct())
     e = cut_lineage(vocabulary.select(F.col("key").alias("entry_key"), "canonical_name"))
@@ -221,15 +207,17 @@ def rank_names(keys: DataFrame, vocabulary: DataFrame, k: int = 3) -> DataFrame:
         equal = q.join(e, F.col("key") == F.col("entry_key")).select(
             "key", "canonical_name", "entry_key", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
         rest = q.join(e.select(F.col("entry_key").alias("key")), "key", "left_anti")
-        return equal.unionByName(_search_names(rest, e, 1))
-    return _search_names(q, e, k)
+        return equal.unionByName(_search_names(rest, e, 1, chunk, sent))
+    return _search_names(q, e, k, chunk, sent)
 
 
-def _search_names(q: DataFrame, e: DataFrame, k: int) -> DataFrame:
-    return block_topk(q, e, k, _rank_pairs(k), "key",
-                      "key string, canonical_name string, entry_key string, score double",
-                      [F.desc("score"), tx.casefold(F.col("canonical_name")), F.col("canonical_name")],
-                      rows=500, block=4000)
+def _search_names(q: DataFrame, e: DataFrame, k: int, chunk: int, sent: int) -> DataFrame:
+    """Each chunk of the vocabulary gives its k best by bounded search; the k best of those stay."""
+    q = q.select(F.col("key").alias("query"))
+    found = scanning.scan(q, ["query"], "query", e, "entry_key", nearest_names(k), chunk, sent, name="canonical_name")
+    named = found.withColumnRenamed("key", "entry_key").join(e, "entry_key").select(F.col("query").alias("key"), "canonical_name", "entry_key", "score")
+    w = Window.partitionBy("key").orderBy(F.desc("score"), tx.casefold(F.col("canonical_name")), F.col("canonical_name"))
+    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def top_candidates(scored: DataFrame, item: str, k: int = 3) -> DataFrame:

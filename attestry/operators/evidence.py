@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as tx
 from attestry.functions import web
+from attestry.operators import scanning
+from attestry.params import DEFAULTS, Params
 
 
 def link_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -55,25 +57,26 @@ def official_links(results: DataFrame, key: str, owner: str = "owner", k: int =
 
 
 def mentioned_manufacturer(evidence: DataFrame, brands: DataFrame, manufacturers: DataFrame, pairs: DataFrame,
-                           key: str) -> DataFrame:
-    """Manufacturer named in an evidence text (key, evidence_key).
+                           key: str, p: Params = DEFAULTS) -> DataFrame:
+    """Manufacturer named in an evidence text; one row (key, evidence_key) per key.
 
     A contained brand that has a paired manufacturer wins (first in name order,
-    confidence 0.95); otherwise the last contained manufacturer by name (0.93).
+    confidence 0.95).  Otherwise the manufacturer that scores highest, the last by
+    name among equals: 0.93 if its key is contained, else its partial ratio, at
+    least `p.manufacturer_match`; confidence is at most 0.93.
     """
-    from attestry.operators.matching import contains_join
-
     owned = brands.join(pairs.withColumnRenamed("brand_key", "key"), "key").select(
         F.col("key").alias("k"), F.col("canonical_name").alias("bname"), F.col("manufacturer").alias("owner"))
     named = manufacturers.select(F.col("key").alias("k"), F.col("canonical_name").alias("mname"))
-    keys = owned.select("k").unionByName(named.select("k"))
-    met = contains_join(evidence, "evidence_key", keys, "k")  # both vocabularies in one pass
-    found = (met.join(owned, "k", "left").join(named, "k", "left").groupBy("evidence_key").agg(
-        F.min_by("owner", F.when(F.col("owner").isNotNull(), F.struct(tx.casefold(F.col("bname")), "bname"))).alias("manufacturer"),
-        F.max("mname").alias("named")))
-    return (evidence.join(found, "evidence_key", "left")
-            .select(key, F.coalesce("manufacturer", "named").alias("manufacturer"),
-                    F.when(F.col("manufacturer").isNotNull(), 0.95).when(F.col("named").isNotNull(), 0.93).alias("confidence")))
+    texts = evidence.select(key, "evidence_key", F.length("evidence_key").alias("__n"))
+    by_brand = scanning.scan(texts, [key], "evidence_key", owned, "k", scanning.contained).join(owned, F.col("key") == F.col("k"))
+    by_brand = by_brand.groupBy(key).agg(F.min_by("owner", F.struct(tx.casefold(F.col("bname")), "bname")).alias("owner"))
+    near = scanning.near_mentions(texts, [key, "__n"], "evidence_key", named, "k", 100 * p.manufacturer_match).join(named, F.col("key") == F.col("k"))
+    inside = (F.col("score") == 100) & (F.length("k") <= F.col("__n"))
+    near = near.groupBy(key).agg(F.max(F.struct(F.when(inside, 0.93).otherwise(F.col("score") / 100).alias("score"), "mname")).alias("best"))
+    out = evidence.select(key).join(by_brand, key, "left").join(near, key, "left")
+    return out.select(key, F.coalesce("owner", "best.mname").alias("manufacturer"),
+                      F.when(F.col("owner").isNotNull(), 0.95).when(F.col("best").isNotNull(), F.least(F.col("best.score"), F.lit(0.93))).alias("confidence"))
 
 
 # ---- extraction --------------------------------------------------------------------------
@@ -163,11 +166,9 @@ def failure_flags(items: DataFrame, failed: DataFrame) -> DataFrame:
 
 def phrase_candidates(items: DataFrame, phrases: DataFrame) -> DataFrame:
     """Rule-based candidates: every known (label, value) stated in the description."""
-    from attestry.operators.matching import contains_join
-
     d = items.select("item_id", tx.casefold(F.col("part_desc")).alias("__d"))
     p = phrases.select("label", "value", tx.casefold(F.col("value")).alias("__v"))
-    return (contains_join(d, "__d", p, "__v").join(d, "__d").join(p, "__v")
+    return (scanning.scan(d, ["item_id"], "__d", p, "__v", scanning.contained).join(p, F.col("key") == F.col("__v"))
             .select("item_id", "label", "value", F.col("value").alias("source_excerpt"), F.lit("description").alias("source_type")))
 
 

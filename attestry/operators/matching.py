@@ -1,5 +1,4 @@
-"""Joins that replace loops over pairs: substring containment through character
-grams, term-overlap cosine for given pairs, and exhaustive top-k scoring in
+"""Joins that replace loops over pairs: substring containment, term-overlap cosine for given pairs, and exhaustive top-k scoring in
 bounded blocks."""
 
 import math
@@ -9,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.operators import scanning
 from attestry.params import DEFAULTS
 
 
@@ -20,39 +20,10 @@ def grams(text: Column, q: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def window_grams(text: Column, q: Column) -> Column:
-    """All q-grams of a text by overlapping matches, in one pass of the regex engine."""
-    out = F.array().cast("array<string>")
-    for n in (5, 4, 3, 2, 1):
-        found = F.regexp_extract_all(text, F.lit("(?s)(?=(%s))" % ("." * n)), F.lit(1))
-        out = F.when(q == n, found).otherwise(out)
-    return out
-
-
-def contains_join(texts: DataFrame, text: str, keys: DataFrame, key: str, q: int = 5) -> DataFrame:
-    """Distinct (text, key) pairs where the key occurs anywhere inside the text.
-
-    Every key is represented by one of its q-grams, the one fewest keys contain
-    (keys shorter than q by themselves), so a text only meets keys that share
-    that gram, and none is missed.  Texts meet grams by number, carry only an id
-    through the join, and are compared once per candidate pair.
-    """
-    k = keys.select(F.col(key).alias("__key")).where(F.length("__key") > 0).distinct()
-    sized = k.withColumn("__q", F.least(F.length("__key"), F.lit(q)))
-    all_grams = sized.select("__key", "__q", F.explode(
-        F.when(F.col("__q") < q, F.array("__key")).otherwise(grams(F.col("__key"), q))).alias("__gram"))
-    shared = all_grams.groupBy("__gram").agg(F.count("*").alias("__n"))
-    chosen = (all_grams.join(shared, "__gram").groupBy("__key")
-              .agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram")))
-    t = texts.select(F.col(text).alias("__text")).where(F.length("__text") > 0).distinct()
-    t = t.withColumn("__len", F.length("__text")).withColumn("__id", F.struct(F.xxhash64("__text"), "__len", F.md5("__text")))
-    sizes = [r["__q"] for r in sized.select("__q").distinct().collect()]  # at most q values
-    starts = t.select("__id", "__text", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("__q")) if sizes else t.withColumn("__q", F.lit(q))
-    probes = (starts.where(F.length("__text") >= F.col("__q"))
-              .select("__id", F.explode(F.array_distinct(window_grams(F.col("__text"), F.col("__q")))).alias("__gram")))
-    met = probes.join(chosen, "__gram").select("__id", "__key")
-    hits = met.join(t.select("__id", "__text"), "__id").where(F.contains("__text", "__key"))
-    return hits.select(F.col("__text").alias(text), F.col("__key").alias(key))
+def contains_join(texts: DataFrame, text: str, keys: DataFrame, key: str, chunk: int = scanning.CHUNK, sent: int = scanning.SENT) -> DataFrame:
+    """Distinct (text, key) pairs where the key occurs anywhere inside the text.  Callers that have a row id rather scan with it."""
+    found = scanning.scan(texts.select(text), [text], text, keys, key, scanning.contained, chunk, sent)
+    return found.select(text, F.col("key").alias(key)).distinct()
 
 
 def pair_cosine(terms: DataFrame, pairs: DataFrame, doc: str = "doc_id", term: str = "term") -> DataFrame:

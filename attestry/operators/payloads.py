@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from attestry import fixed_values as fv
 from attestry.functions.text import collapse
-from attestry.operators.matching import contains_join
+from attestry.operators import scanning
 
 
 def confidence_tier(c: Column) -> Column:
@@ -71,8 +71,8 @@ def resolve_terms(inputs: DataFrame, terms: DataFrame, synonyms: DataFrame) -> D
     named = terms.withColumn("__l", F.lower("canonical"))
     direct = raw.join(named, "__l").select("input_id", "seq", F.lit(-1).alias("n"), "canonical", "state", "category")
     syn = synonyms.withColumn("__s", F.lower("synonym"))
-    pairs = contains_join(raw, "__l", syn, "__s")
-    indirect = (raw.join(pairs, "__l").join(syn, "__s").join(terms, "canonical")
+    found = scanning.scan(raw, ["input_id"], "__l", syn, "__s", scanning.contained)
+    indirect = (found.join(syn, F.col("key") == F.col("__s")).join(terms, "canonical")
                 .select("input_id", "seq", F.col("syn_no").alias("n"), "canonical", "state", "category"))
     best = (direct.unionByName(indirect).groupBy("input_id")
             .agg(F.min_by(F.struct("canonical", "state", "category"), F.struct("seq", "n")).alias("hit")))

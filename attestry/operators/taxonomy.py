@@ -15,7 +15,9 @@ from attestry import fixed_values as fv
 from attestry.functions import similarity as sim
 from attestry.functions import text as tx
 from attestry.functions import vectors as vec
+from attestry.operators import scanning
 from attestry.operators.matching import block_topk
+from attestry.operators.namesearch import nearest_paths
 from attestry.params import DEFAULTS, Params
 from attestry.session import cut_lineage
 
@@ -227,25 +229,15 @@ def decide(ranked: DataFrame, queries: DataFrame, p: Params = DEFAULTS) -> DataF
 
 # ---- paths ---------------------------------------------------------------------------------
 
-def _category(k: int):
-    def score(q: pd.DataFrame, e: pd.DataFrame):
-        paths = sorted(e["path"])
-        rows = []
-        for query in q["classpath"]:
-            scored = sorted(((-sim.category(query, path), path) for path in paths))[:k]
-            rows += [(query, path, -s) for s, path in scored]
-        yield pd.DataFrame(rows, columns=["classpath", "path", "score"])
-
-    return score
-
-
-def nearest_path(paths: DataFrame, catalog_paths: DataFrame, cutoff: float = DEFAULTS.category_cutoff) -> DataFrame:
+def nearest_path(paths: DataFrame, catalog_paths: DataFrame, cutoff: float = DEFAULTS.category_cutoff, chunk: int = scanning.CHUNK,
+                 sent: int = scanning.SENT) -> DataFrame:
     """(classpath, path, score): best catalog path per distinct path at or above the
     cutoff.  A path that is itself in the catalog scores 100 and needs no search."""
     want = cut_lineage(paths.select("classpath").where(F.col("classpath").isNotNull()).distinct())
     have = cut_lineage(catalog_paths.select("path").distinct())
     exact = want.join(have, F.col("classpath") == F.col("path")).select("classpath", "path", F.lit(100.0).alias("score"))
     rest = want.join(have.withColumnRenamed("path", "classpath"), "classpath", "left_anti")
-    near = block_topk(rest, have, 1, _category(1), "classpath", "classpath string, path string, score double",
-                      [F.desc("score"), F.col("path")], rows=200, block=2000)
-    return exact.unionByName(near.where(F.col("score") >= cutoff).select("classpath", "path", "score"))
+    asked = rest.withColumnRenamed("classpath", "asked")
+    near = scanning.scan(asked, ["asked"], "asked", have, "path", nearest_paths(1), chunk, sent).where(F.col("score") >= cutoff)
+    best = near.groupBy(F.col("asked").alias("classpath")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("key").alias("path"))).alias("b"))
+    return exact.unionByName(best.select("classpath", "b.path", (-F.col("b.s")).alias("score")))

@@ -32,13 +32,14 @@ SELECT p.p_partkey + 1 AS row_no,
                   || ' for general purpose maintenance and repair work with reinforced housing'
       ELSE 'Dish Washer ' || p.p_name || '_' END END AS part_desc,
   CASE WHEN p.p_partkey % 3 = 0 THEN '-- Unbranded --' WHEN p.p_partkey % 7 = 0 THEN NULL
+       WHEN p.p_partkey % 19 = 4 THEN p.p_brand || ' Professional Series' WHEN p.p_partkey % 19 = 10 THEN p.p_brand || ' Profesional Series'
        ELSE p.p_brand END AS e1_brand,
   CASE WHEN p.p_partkey % 2 = 0 THEN 'No Unilog Brand' ELSE p.p_brand || '  Inc.' END AS unilog_brand,
   CASE WHEN p.p_partkey % 4 = 0 THEN ' - ' WHEN p.p_partkey % 4 = 1 THEN lower(p.p_brand) || ' LLC'
        WHEN p.p_partkey % 29 = 3 THEN 'Brand#' || CAST(p.p_partkey % 25 + 1 AS STRING) || ' Co'
        ELSE 'N/A' END AS dib_brand,
   CASE WHEN p.p_partkey % 31 = 0 THEN 'unknown' WHEN p.p_partkey % 37 = 0 THEN NULL
-       WHEN p.p_partkey % 5 = 0 THEN upper(s.s_name) || ', INC.'
+       WHEN p.p_partkey % 5 = 0 THEN upper(s.s_name) || ', INC.' WHEN p.p_partkey % 43 = 2 THEN replace(s.s_name, '#0', '#')
        ELSE s.s_name || ' Inc (' || CAST(s.s_suppkey AS STRING) || ')' END AS part_manuf
 FROM {part} p
 LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS suppkey FROM {lineitem} GROUP BY l_partkey) m

@@ -30,7 +30,7 @@ SELECT item_id, pos, label, CASE WHEN item_id % 7 = 0 THEN 'ambiguous' ELSE 'sup
 def references(t) -> References:
     cleaned = cleaning.clean_catalog(t.catalog)
     counted = cut_lineage(en.count_spellings(en.observations(cleaned, t.truth, cleaned=True)))
-    of = lambda kind: en.canonical_entries(counted.where(F.col("kind") == kind), [], "key")
+    of = lambda kind: en.canonical_entries(en.assign_leaders(counted.where(F.col("kind") == kind).drop("kind")))
     long = triples(t)
     vocabulary = at.value_vocabulary(long).withColumn("seq", F.col("seen.row_no") * 100 + F.col("seen.slot")).select("classpath", "label", "value", "uom", "seq")
     return References(of("brand"), of("manufacturer"), en.pairing(t.truth), t.taxonomy, class_vectors(t), at.expected_labels(long), cut_lineage(vocabulary),

@@ -79,16 +79,31 @@ def _(t):
     return en.ordered(en.exact_vocabulary(observed(t), ["kind"])).withColumn("aliases", F.array_join("aliases", "|"))
 
 
-FRAGMENTS["rk"] = f"SELECT value, n, key, row_number() OVER (ORDER BY -n, {d_fold('value')}, value) AS r FROM sp WHERE key <> ''"
-FRAGMENTS["kr"] = "SELECT key, min(r) AS kr FROM rk GROUP BY key"
-FRAGMENTS["near"] = f"""SELECT a, b, {d_indel('a', 'b')} AS score FROM (SELECT x.key AS a, y.key AS b FROM kr x JOIN kr y
+
+
+def clusters(tag: str) -> None:
+    """Leader clusters of the counted spellings `{tag}sp`: ranked spellings, near keys, leaders, and each spelling's leader."""
+    FRAGMENTS[f"{tag}rk"] = f"SELECT value, n, key, row_number() OVER (ORDER BY -n, {d_fold('value')}, value) AS r FROM {tag}sp WHERE key <> ''"
+    FRAGMENTS[f"{tag}kr"] = f"SELECT key, min(r) AS kr FROM {tag}rk GROUP BY key"
+    FRAGMENTS[f"{tag}near"] = f"""SELECT a, b, {d_indel('a', 'b')} AS score FROM (SELECT x.key AS a, y.key AS b FROM {tag}kr x JOIN {tag}kr y
   ON x.key <> y.key AND abs(length(x.key) - length(y.key)) <= 3 AND levenshtein(x.key, y.key) <= 4) p WHERE {d_indel('a', 'b')} >= 96"""
-FRAGMENTS["ord"] = "SELECT list(key ORDER BY kr) AS ks, (SELECT coalesce(list(a || '|' || b), []) FROM near) AS nl FROM kr"
-FRAGMENTS["lead"] = """SELECT unnest(list_reduce(ks, lambda l, k: CASE WHEN list_has_any(list_transform(l, lambda x: x || '|' || k), nl) THEN l ELSE list_append(l, k) END, []::VARCHAR[])) AS leader FROM ord"""
-FRAGMENTS["assigned"] = """SELECT value, n, arg_min(leader, ROW(-score, lr)) AS leader FROM (
-  SELECT rk.value, rk.n, leader, 100.0 AS score, kr AS lr FROM rk JOIN lead ON rk.key = leader JOIN kr ON kr.key = leader
-  UNION ALL SELECT rk.value, rk.n, leader, near.score, kr.kr FROM rk JOIN near ON near.a = rk.key JOIN lead ON leader = near.b JOIN kr ON kr.key = leader
-    WHERE kr.kr < rk.r AND rk.key NOT IN (SELECT leader FROM lead)) o GROUP BY value, n"""
+    FRAGMENTS[f"{tag}ord"] = f"SELECT list(key ORDER BY kr) AS ks, (SELECT coalesce(list(a || '|' || b), []) FROM {tag}near) AS nl FROM {tag}kr"
+    FRAGMENTS[f"{tag}lead"] = f"""SELECT unnest(list_reduce(ks, lambda l, k: CASE WHEN list_has_any(list_transform(l, lambda x: x || '|' || k), nl) THEN l ELSE list_append(l, k) END, []::VARCHAR[])) AS leader FROM {tag}ord"""
+    FRAGMENTS[f"{tag}assigned"] = f"""SELECT value, n, arg_min(leader, ROW(-score, lr)) AS leader FROM (
+  SELECT k.value, k.n, leader, 100.0 AS score, kr AS lr FROM {tag}rk k JOIN {tag}lead ON k.key = leader JOIN {tag}kr q ON q.key = leader
+  UNION ALL SELECT k.value, k.n, leader, m.score, q.kr FROM {tag}rk k JOIN {tag}near m ON m.a = k.key JOIN {tag}lead ON leader = m.b JOIN {tag}kr q ON q.key = leader
+    WHERE q.kr < k.r AND k.key NOT IN (SELECT leader FROM {tag}lead)) o GROUP BY value, n"""
+
+
+clusters("")
+for _kind in ("brand", "manufacturer"):
+    FRAGMENTS[f"{_kind}_sp"] = f"SELECT value, count(*) AS n, {d_key('value')} AS key FROM obs WHERE kind = '{_kind}' GROUP BY value"
+    clusters(f"{_kind}_")
+    FRAGMENTS[f"{_kind}_vocab"] = CANON.format(by="", src=f"(SELECT value, n, leader AS key FROM {_kind}_assigned) z")
+    # a key that leads no cluster is nearest to one that does, at the ratio of both: token scores end at 95
+    FRAGMENTS[f"{_kind}_found"] = f"""SELECT key, arg_min(canonical_name, ROW(-score, {d_fold('canonical_name')}, canonical_name)) AS canonical_name, max(score) / 100 AS score FROM (
+  SELECT key, canonical_name, 100.0::DOUBLE AS score FROM {_kind}_vocab UNION ALL SELECT n.a, v.canonical_name, n.score FROM {_kind}_near n JOIN {_kind}_vocab v ON v.key = n.b
+  WHERE n.a NOT IN (SELECT key FROM {_kind}_vocab)) f GROUP BY key"""
 
 
 @query("ent_cluster", "SELECT value, n, leader FROM assigned")
@@ -171,11 +186,7 @@ def _(t):
 # ---- ranking and resolution ----------------------------------------------------------
 
 def brand_vocabulary(t):
-    return en.exact_vocabulary(observed(t).where(F.col("kind") == "brand"))
-
-
-def manufacturer_vocabulary(t):
-    return en.exact_vocabulary(observed(t).where(F.col("kind") == "manufacturer"))
+    return en.build_vocabulary(observed(t).where(F.col("kind") == "brand"))
 
 
 @query("join_fuzzy_top3")
@@ -195,37 +206,43 @@ def _(t):
     return en.top_candidates(scored, "item")
 
 
-FRAGMENTS["brand_vocab"] = CANON.format(by="", src=f"(SELECT value, count(*) AS n, {d_key('value')} AS key FROM obs WHERE kind = 'brand' GROUP BY value) z WHERE key <> ''")
-FRAGMENTS["manuf_vocab"] = CANON.format(by="", src=f"(SELECT value, count(*) AS n, {d_key('value')} AS key FROM obs WHERE kind = 'manufacturer' GROUP BY value) z WHERE key <> ''")
-FRAGMENTS["brand_res"] = f"""SELECT row_no, CASE WHEN count(DISTINCT canonical_name) = 1 THEN min(canonical_name) END AS brand, count(DISTINCT canonical_name) > 1 AS conflict
- FROM (SELECT row_no, unnest([e1_brand, unilog_brand, dib_brand]) AS v FROM cleaned) e JOIN brand_vocab ON key = {d_key('v')} GROUP BY row_no"""
-FRAGMENTS["resolved"] = f"""SELECT c.row_no, brand, CASE WHEN brand IS NULL THEN 0.0 ELSE 1.0 END AS brand_confidence, coalesce(conflict, false) AS conflict,
+FRAGMENTS["brand_res"] = f"""SELECT row_no, CASE WHEN count(DISTINCT canonical_name) = 1 THEN min(canonical_name) END AS brand, max(score) AS score, count(DISTINCT canonical_name) > 1 AS conflict
+ FROM (SELECT row_no, unnest([e1_brand, unilog_brand, dib_brand]) AS v FROM cleaned) e JOIN brand_found ON key = {d_key('v')} GROUP BY row_no"""
+FRAGMENTS["resolved"] = f"""SELECT c.row_no, brand, CASE WHEN brand IS NULL THEN 0.0 ELSE b.score END AS brand_confidence, coalesce(conflict, false) AS conflict,
  coalesce(p.manufacturer, lc.manufacturer, v.canonical_name) AS manufacturer,
  CASE WHEN p.manufacturer IS NOT NULL THEN 0.98 WHEN lc.manufacturer IS NOT NULL THEN lc.confidence WHEN v.canonical_name IS NOT NULL THEN 0.65 ELSE 0.0 END AS manufacturer_confidence,
  CASE WHEN p.manufacturer IS NOT NULL THEN 'brand_manufacturer_pair' WHEN lc.manufacturer IS NOT NULL THEN 'mpn_web_lookup' WHEN v.canonical_name IS NOT NULL THEN 'part_manuf_fallback' END AS source
 FROM cleaned c LEFT JOIN brand_res b USING (row_no) LEFT JOIN pairs_ok p ON p.brand_key = {d_key('b.brand')}
 LEFT JOIN lookup_cache lc ON lc.part_key = regexp_replace({d_fold('c.mfg_part_num')}, '[^a-z0-9]+', '', 'g') AND p.manufacturer IS NULL AND coalesce(e1_brand, unilog_brand, dib_brand) IS NULL
-LEFT JOIN manuf_vocab v ON v.key = {d_key('c.part_manuf')}"""
+LEFT JOIN manufacturer_found v ON v.key = {d_key('c.part_manuf')}"""
 
 
 def resolved(t):
-    """Cleaned rows and counted spellings are written once; everything else reads them."""
+    """Cleaned rows and counted spellings are written once; everything else reads them.  Names resolve to clusters of spellings."""
     cleaned = cut_lineage(cleaning.clean_catalog(t.catalog))
     counted = cut_lineage(en.count_spellings(en.observations(cleaned, t.truth, cleaned=True)))
-    of = lambda kind: en.canonical_entries(counted.where(F.col("kind") == kind), [], "key")
+    of = lambda kind: en.canonical_entries(en.assign_leaders(counted.where(F.col("kind") == kind).drop("kind")))
     return en.resolve_catalog(cleaned, of("brand"), of("manufacturer"), en.pairing(t.truth), t.lookup_cache)
 
 
-@query("ent_resolve_brand", "SELECT row_no, brand, conflict FROM brand_res")
+@query("ent_resolve_brand", """SELECT row_no, brand, CASE WHEN brand IS NULL THEN 0.0 ELSE round(score, 6) END AS confidence, conflict, i.value AS brand_id
+FROM brand_res LEFT JOIN master_ids i ON i.kind = 'brand_id' AND i.key = """ + d_key("brand"))
 def _(t):
     c = cleaning.clean_catalog(t.catalog).select("row_no", F.explode(F.array(*en.BRAND_FIELDS)).alias("value"))
-    return en.resolve_names(c, brand_vocabulary(t), 0.86).select("row_no", F.col("canonical_name").alias("brand"), "conflict")
+    found = en.resolve_names(c, brand_vocabulary(t), 0.86).select("row_no", F.col("canonical_name").alias("brand"), F.round("confidence", 6).alias("confidence"), "conflict")
+    return en.attach_ids(found, "brand", ids_of(t, "brand_id"), "brand_id")
+
+
+def ids_of(t, kind):
+    return ref.entity_master(t.master).where(F.col("kind") == kind).select("key", F.col("value").alias("id"))
 
 
-@query("ent_resolve_mfr", "SELECT row_no, brand, brand_confidence, manufacturer, manufacturer_confidence, source FROM resolved")
+@query("ent_resolve_mfr", f"""SELECT row_no, brand, round(brand_confidence, 6) AS brand_confidence, manufacturer, manufacturer_confidence, source, i.value AS manufacturer_id, j.value AS brand_id FROM resolved
+ LEFT JOIN master_ids i ON i.kind = 'manufacturer_id' AND i.key = {d_key('manufacturer')} LEFT JOIN master_ids j ON j.kind = 'brand_id' AND j.key = {d_key('brand')}""")
 def _(t):
-    return resolved(t).select("row_no", "brand", "brand_confidence", "manufacturer", "manufacturer_confidence",
-                              F.col("manufacturer_source").alias("source"))
+    r = resolved(t).select("row_no", "brand", F.round("brand_confidence", 6).alias("brand_confidence"), "manufacturer", "manufacturer_confidence",
+                           F.col("manufacturer_source").alias("source"))
+    return en.attach_ids(en.attach_ids(r, "manufacturer", ids_of(t, "manufacturer_id"), "manufacturer_id"), "brand", ids_of(t, "brand_id"), "brand_id")
 
 
 @query("ent_flags", """SELECT row_no, 'manufacturer_unresolved' AS code, 'manufacturer' AS field FROM resolved WHERE manufacturer IS NULL OR manufacturer_confidence < 0.86
@@ -274,24 +291,49 @@ def _(t):
 VIEWS["snippets"] = """
 SELECT doc_id, '<div class="result__snippet x">' || text || '</div>' AS html FROM {documents}
 """
+# of four manufacturers, one is misspelt in one letter and one in three
 VIEWS["quoted_names"] = """
-SELECT item_id, substr(text, 3, 26) AS brand, substr(text, 12, 22) AS manufacturer FROM {benchmark}
+SELECT item_id, substr(text, 3, 26) AS brand, CASE item_id % 4 WHEN 1 THEN substr(text, 12, 9) || '9' || substr(text, 22, 12)
+  WHEN 2 THEN substr(text, 12, 4) || '9' || substr(text, 17, 6) || '9' || substr(text, 24, 6) || '9' || substr(text, 31, 3) ELSE substr(text, 12, 22) END AS manufacturer FROM {benchmark}
 """
 
 
-@query("join_evidence", f"""WITH e AS (SELECT doc_id, {d_key(d_collapse('text'))} AS ek FROM documents),
-b AS (SELECT {d_key('brand')} AS key, min(trim(brand)) AS name FROM quoted_names GROUP BY 1), m AS (SELECT {d_key('manufacturer')} AS key, min(trim(manufacturer)) AS name FROM quoted_names GROUP BY 1),
+# the partial ratio by definition: inside a text, over the windows that have enough of the name's letter pairs within the displacement that
+# the ratio leaves; at its two ends, and in texts no longer than the name, over every window of which enough letter pairs are in the name
+FRAGMENTS["evidence_keys"] = f"SELECT doc_id, {d_key(d_collapse('text'))} AS ek FROM documents"
+FRAGMENTS["maker_keys"] = f"""SELECT key, name, length(key) AS m, CAST(floor(0.14 * length(key) + 1e-9) AS BIGINT) AS d, length(key) - 1 - 2 * CAST(floor(0.28 * length(key) + 1e-9) AS BIGINT) AS needed
+ FROM (SELECT {d_key('manufacturer')} AS key, min(trim(manufacturer)) AS name FROM quoted_names GROUP BY 1) x WHERE key <> ''"""
+FRAGMENTS["maker_grams"] = "SELECT key, substr(key, i, 2) AS g, i AS o, m, d, needed FROM (SELECT *, unnest(range(1, m)) AS i FROM maker_keys) y"
+FRAGMENTS["maker_windows"] = """SELECT DISTINCT doc_id, key, m, unnest(range(y - d, x + d + 1)) AS i FROM (
+  SELECT doc_id, key, m, d, x, lead(x, needed - 1) OVER (PARTITION BY doc_id, key ORDER BY x) AS y FROM (
+   SELECT doc_id, b.key, m, d, needed, p - o AS x FROM (SELECT doc_id, substr(ek, i, 2) AS g, i AS p FROM (SELECT doc_id, ek, unnest(range(1, length(ek))) AS i FROM evidence_keys) a) a
+    JOIN maker_grams b USING (g)) h) r WHERE y - d <= x + d"""
+FRAGMENTS["maker_ends"] = """SELECT doc_id, ek, key, m, i FROM (SELECT doc_id, ek, key, m, unnest(list_concat(range(shortest - m, 0), range(length(ek) - m + 1, length(ek) - shortest + 1))) AS i FROM (SELECT *, CAST(ceil(0.86 * m / 1.14 - 1e-9) AS BIGINT) AS shortest FROM (
+   SELECT e.doc_id, any_value(ek) AS ek, b.key, any_value(b.m) AS m FROM evidence_keys e JOIN maker_grams b ON length(ek) > b.m AND (contains(left(ek, b.m), g) OR contains(right(ek, b.m), g))
+    GROUP BY e.doc_id, b.key HAVING greatest(count(*) FILTER (contains(left(ek, b.m), g)), count(*) FILTER (contains(right(ek, b.m), g))) >= any_value(b.needed)) x) z) y"""
+# of two strings at the ratio, the edit distance is at most 0.14 of both lengths
+FRAGMENTS["maker_pairs"] = """SELECT * FROM (SELECT DISTINCT doc_id, ek, key AS a, substr(ek, greatest(i, 0) + 1, least(i + m, length(ek)) - greatest(i, 0)) AS b, key FROM (
+   SELECT doc_id, ek, key, m, i FROM maker_windows JOIN evidence_keys USING (doc_id) WHERE i >= 0 AND i + m <= length(ek) UNION ALL SELECT * FROM maker_ends) w
+ UNION SELECT DISTINCT doc_id, ek, ek, substr(key, greatest(i, 0) + 1, least(i + n, m) - greatest(i, 0)), key
+  FROM (SELECT doc_id, ek, key, m, length(ek) AS n, unnest(range(1 - length(ek), m)) AS i FROM evidence_keys JOIN maker_keys ON length(ek) BETWEEN 1 AND m) s) p
+ WHERE levenshtein(a, b) <= 0.14 * (length(a) + length(b)) + 1e-9"""
+FRAGMENTS["maker_scores"] = f"SELECT doc_id, key, CASE WHEN contains(any_value(ek), key) THEN 0.93 ELSE max({d_indel('a', 'b')}) / 100 END AS score FROM maker_pairs GROUP BY doc_id, key"
+
+
+@query("join_evidence", f"""WITH b AS (SELECT {d_key('brand')} AS key, min(trim(brand)) AS name FROM quoted_names GROUP BY 1),
 p AS (SELECT {d_key('brand')} AS key, arg_max(trim(manufacturer), item_id) AS owner FROM quoted_names WHERE item_id % 3 = 0 GROUP BY 1),
-vb AS (SELECT doc_id, arg_min(owner, ROW(lower(name), name)) AS owner FROM e JOIN b ON b.key <> '' AND contains(ek, b.key) JOIN p USING (key) GROUP BY doc_id),
-vm AS (SELECT doc_id, max(name) AS name FROM e JOIN m ON m.key <> '' AND contains(ek, m.key) GROUP BY doc_id)
-SELECT doc_id, coalesce(owner, name) AS manufacturer, CASE WHEN owner IS NOT NULL THEN 0.95 WHEN name IS NOT NULL THEN 0.93 END AS confidence FROM e LEFT JOIN vb USING (doc_id) LEFT JOIN vm USING (doc_id)""")
+vb AS (SELECT doc_id, arg_min(owner, ROW(lower(name), name)) AS owner FROM evidence_keys JOIN b ON b.key <> '' AND contains(ek, b.key) JOIN p USING (key) GROUP BY doc_id),
+vm AS (SELECT doc_id, max(ROW(score, name)) AS best FROM maker_scores JOIN maker_keys USING (key) WHERE score >= 0.86 - 1e-11 GROUP BY doc_id)
+SELECT doc_id, coalesce(owner, best[2]) AS manufacturer, round(CASE WHEN owner IS NOT NULL THEN 0.95 ELSE least(best[1], 0.93) END, 6) AS confidence
+FROM evidence_keys LEFT JOIN vb USING (doc_id) LEFT JOIN vm USING (doc_id)""")
 def _(t):
     e = t.snippets.select("doc_id", tx.entity_key(web.mentions(F.col("html"))).alias("evidence_key"))
     q = t.quoted_names
     vocab = lambda c: q.groupBy(tx.entity_key(F.col(c)).alias("key")).agg(F.min(F.trim(c)).alias("canonical_name"))
     pairs = q.where(F.col("item_id") % 3 == 0).groupBy(tx.entity_key(F.col("brand")).alias("brand_key")).agg(
         F.max_by(F.trim("manufacturer"), "item_id").alias("manufacturer"))
-    return ev.mentioned_manufacturer(e, vocab("brand"), vocab("manufacturer"), pairs, "doc_id")
+    found = ev.mentioned_manufacturer(e, vocab("brand"), vocab("manufacturer"), pairs, "doc_id")
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 # ---- flagship ------------------------------------------------------------------------------

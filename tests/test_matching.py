@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,8 +10,11 @@ from attestry.functions import similarity as sim
 from attestry.functions import text as tx
 from attestry.operators import attributes as at
 from attestry.operators import entities as en
+from attestry.operators import evidence as ev
 from attestry.operators import taxonomy as tax
-from attestry.operators.matching import block_topk, contains_join
+from attestry.operators.matching import contains_join
+from attestry.operators.namesearch import NameIndex, PathIndex
+from attestry.operators.scanning import near_mentions
 
 
 def words(rng, n, alphabet="abc", lo=1, hi=9):
@@ -43,12 +47,51 @@ def test_partial_windows():
         assert sim.partial(a, b) == pytest.approx(brute(a, b))
 
 
-def test_contains_join(spark):
+@pytest.mark.parametrize("chunk, sent", [(20_000, 8), (10, 8), (10, 2)])
+def test_contains_join(spark, chunk, sent):
+    """One chunk of keys, several sent with the tasks, and several in groups of their own."""
     rng = random.Random(3)
     texts, keys = words(rng, 80, "abcd", 1, 40), list(set(words(rng, 60, "abcd", 1, 7)))
     got = contains_join(spark.createDataFrame([(x,) for x in texts], "t string"), "t",
-                        spark.createDataFrame([(k,) for k in keys], "k string"), "k").collect()
+                        spark.createDataFrame([(k,) for k in [*keys, "", None]], "k string"), "k", chunk, sent).collect()
     assert sorted((r["t"], r["k"]) for r in got) == sorted({(x, k) for x in texts for k in keys if k in x})
+    none = spark.createDataFrame([], "k string")
+    assert contains_join(spark.createDataFrame([("ab",), (None,)], "t string"), "t", none, "k").collect() == []
+
+
+def named_texts(rng):
+    """Names, and texts that hold them with none to many misspellings, cut at either end, or nothing of them."""
+    name = lambda: " ".join(words(rng, rng.randint(1, 4), "abcdefgh", 2, 8))
+    keys = sorted({name() for _ in range(40)} | {"ab", "a", "x" * 70})
+    texts = []
+    for _ in range(150):
+        k = rng.choice(keys)
+        texts.append(" ".join([*words(rng, rng.randint(0, 25), "abcdefgh", 2, 8), mutate(rng, k, rng.randint(0, 1 + len(k) // 6)), *words(rng, rng.randint(0, 25), "abcdefgh", 2, 8)]))
+    texts += [t[:rng.randint(1, len(t))] for t in texts[:40]] + [k[1:] for k in keys] + keys
+    return keys, texts
+
+
+@pytest.mark.parametrize("chunk, sent", [(20_000, 8), (9, 8), (9, 2)])
+@pytest.mark.parametrize("least", [86.0, 92.0])
+def test_near_mentions_against_every_window(spark, least, chunk, sent):
+    keys, texts = named_texts(random.Random(int(least)))
+    rows = [(i, t) for i, t in enumerate([*texts, "", None])]
+    got = near_mentions(spark.createDataFrame(rows, "id int, t string").repartition(3), ["id"], "t", spark.createDataFrame([(k,) for k in keys], "k string"), "k", least, chunk, sent)
+    want = {(i, k): s for i, t in rows if t for k in keys if (s := sim.partial(k, t)) >= least - 1e-9}
+    got = {(r["id"], r["key"]): r["score"] for r in got.collect()}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    assert sum(s < 100 for s in want.values()) > 25
+
+
+def test_mentioned_manufacturer(spark):
+    """A paired brand first, then the best score, contained names at 0.93, near ones up to 0.93, none below 0.86."""
+    vocab = lambda *names: spark.createDataFrame([(n.lower(), n) for n in names], "key string, canonical_name string")
+    texts = ["all about acme tools today", "northern lights kompany of the north", "northern lights company and zeta motors", "xxorthern lixxts comxxny", None, "northern lights comp"]
+    e = spark.createDataFrame(list(enumerate(texts)), "id int, evidence_key string")
+    out = ev.mentioned_manufacturer(e, vocab("Acme Tools", "Unpaired"), vocab("Northern Lights Company", "Zeta Motors"),
+                                    spark.createDataFrame([("acme tools", "Acme Holding")], "brand_key string, manufacturer string"), "id")
+    got = {r["id"]: (r["manufacturer"], r["confidence"] and round(r["confidence"], 4)) for r in out.collect()}
+    assert got == {0: ("Acme Holding", 0.95), 1: ("Northern Lights Company", 0.93), 2: ("Zeta Motors", 0.93), 3: (None, None), 4: (None, None), 5: ("Northern Lights Company", 0.93)}
 
 
 def test_near_keys_finds_every_pair(spark):
@@ -79,19 +122,45 @@ def test_clusters_equal_the_sequential_rule(spark):
     assert got == want and len(set(want.values())) < len(want)
 
 
-def test_block_topk_is_exact_for_any_split(spark):
+def company_names(rng, n):
+    first = words(rng, 400, "abcdefghijklmnoprstuvwyz", 3, 10)
+    return sorted({" ".join(rng.choice(first) for _ in range(rng.choice((1, 2, 2, 3, 4)))) + rng.choice(("", " tools", " brand 7", " tools tools")) for _ in range(n)})
+
+
+def test_name_bounds_hold():
+    rng = random.Random(11)
+    names = company_names(rng, 300) + sorted(set(words(rng, 100, "abc ", 1, 30)) - {""})
+    names = sorted({" ".join(x.split()) for x in names} - {""})
+    index = NameIndex(names)
+    for q in [*rng.sample(names, 60), *[mutate(rng, x, 2) for x in rng.sample(names, 60)]]:
+        q = " ".join(q.split()) or "q"
+        bound = index.bounds(q)
+        sharp = index.bounds(q, np.arange(len(names)))
+        assert all(sim.composite(q, k) <= min(b, s) + 1e-9 for k, b, s in zip(names, bound, sharp))
+
+
+@pytest.mark.parametrize("chunk, sent", [(20_000, 8), (40, 8), (40, 2)])
+def test_rank_names_equals_all_pairs(spark, chunk, sent):
+    """One chunk of entries, several sent with the tasks, several in groups of their own."""
     rng = random.Random(6)
-    q = [(w,) for w in sorted(set(words(rng, 30, hi=6)))]
-    e = [(w, w.upper()) for w in sorted(set(words(rng, 40, hi=6)))]
-    qs = spark.createDataFrame(q, "key string")
-    es = spark.createDataFrame(e, "entry_key string, canonical_name string")
-    order = [F.desc("score"), F.lower("canonical_name"), F.col("canonical_name")]
-    schema = "key string, canonical_name string, entry_key string, score double"
-    runs = [sorted(map(tuple, block_topk(qs, es, 3, en._rank_pairs(3), "key", schema, order, rows=r, block=b).collect())) for r, b in ((1000, 1000), (5, 7))]
-    assert runs[0] == runs[1]
-    for (key,) in q[:5]:
-        top = sorted(((-sim.composite(key, k) / 100, n) for k, n in e))[:3]
-        assert [(s, n) for _, n, _, s, _ in sorted([r for r in runs[0] if r[0] == key], key=lambda r: r[4])] == [(-s, n) for s, n in top]
+    names = company_names(rng, 150)
+    asked = sorted({" ".join(mutate(rng, rng.choice(names), rng.randint(0, 3)).split()) for _ in range(80)} - {""})
+    e = spark.createDataFrame([(k, k.title()) for k in names], "key string, canonical_name string")
+    got = en.rank_names(spark.createDataFrame([(a,) for a in asked], "key string"), e, 3, chunk, sent).collect()
+    for q in asked:
+        top = sorted((-sim.composite(q, k) / 100, k.title().casefold(), k.title()) for k in names)[:3]
+        assert [(-r["score"], r["canonical_name"]) for r in sorted(got, key=lambda r: r["rank"]) if r["key"] == q] == [(s, n) for s, _, n in top]
+
+
+def test_few_names_are_scored():
+    """Near names of a large vocabulary are found by scoring a small share of it."""
+    rng = random.Random(12)
+    names = company_names(rng, 5000)
+    index = NameIndex(names)
+    asked = [" ".join(mutate(rng, x, 1).split()) for x in rng.sample(names, 100)]
+    for q in asked:
+        index.top(q, 3)
+    assert index.scored < 0.02 * len(names) * len(asked)
 
 
 def test_constrain_against_brute_force(spark):
@@ -120,6 +189,37 @@ def test_nearest_path_prefers_exact(spark):
     assert got == {"A>B>Drill": "A>B>Drill", "X>Hand saws": "A>B>Hand saw"}
 
 
+@pytest.mark.parametrize("chunk, sent", [(20_000, 8), (20, 8), (20, 2)])
+def test_nearest_path_equals_all_pairs(spark, chunk, sent):
+    """The cutoff of 55 and ties in path order included."""
+    rng = random.Random(13)
+    part = lambda: " ".join(words(rng, rng.randint(1, 3), "abcdefghij", 2, 8))
+    tops = [part() for _ in range(6)]
+    have = sorted({">".join([rng.choice(tops), rng.choice(tops), part()]) for _ in range(120)} | {"single", "a>b", "x>" + "y" * 70})
+    asked = sorted({rng.choice((h, mutate(rng, h, 2), h.rsplit(">", 1)[-1], "zz>" + mutate(rng, h.rsplit(">", 1)[-1], 1), part(), "9>88>777")) for h in have})
+    got = {r["classpath"]: (r["path"], r["score"]) for r in tax.nearest_path(
+        spark.createDataFrame([(a,) for a in asked], "classpath string"), spark.createDataFrame([(h,) for h in have], "path string"), 55, chunk, sent).collect()}
+    want = {}
+    for a in asked:
+        score, path = min((-sim.category(a, h), h) for h in have) if a not in have else (-100.0, a)
+        if score <= -55:
+            want[a] = (path, -score)
+    assert got == want and 20 < len(want) < len(asked)
+
+
+def test_few_paths_are_scored():
+    rng = random.Random(14)
+    part = lambda: " ".join(words(rng, rng.randint(1, 3), "abcdefghijklmnop", 3, 9))
+    tops, leaves = [part() for _ in range(30)], [part() for _ in range(600)]
+    have = sorted({">".join([rng.choice(tops), rng.choice(tops), rng.choice(leaves)]) for _ in range(4000)})
+    index = PathIndex(have)
+    for n, path in enumerate(rng.sample(have, 40)):
+        query = "other>" + mutate(rng, path.rsplit(">", 1)[-1], 1)
+        (at, score), = index.top(query, 1)
+        assert n > 2 or (-score, have[at]) == min((-sim.category(query, h), h) for h in have)
+    assert index.scored < 0.02 * 40 * len(have)
+
+
 def test_constrain_returns_every_match(spark):
     """Against the scorer over all pairs of a bucket and unit, near matches included."""
     rng = random.Random(9)
