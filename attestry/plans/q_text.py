@@ -198,10 +198,13 @@ def _(t):
     return t.pages.select("page_id", web.is_official(F.col("url"), owner).alias("official"))
 
 
-@query("web_strip_html", rf"""SELECT page_id, left(w, {DEFAULTS.page_text_limit}) AS text, length(w) AS n_chars, length(w) > {DEFAULTS.page_text_limit} AS truncated
+@query("web_strip_html", rf"""SELECT page_id, w AS text, left(w, {DEFAULTS.page_text_limit}) AS shown, length(w) AS n_chars, length(w) > {DEFAULTS.page_text_limit} AS truncated
 FROM (SELECT page_id, {d_collapse(d_unescape("regexp_replace(html, '<[^>]+>', ' ', 'g')"))} AS w FROM pages) x""")
 def _(t):
-    return t.pages.select("page_id", web.page_text(F.col("html")).alias("p")).select("page_id", "p.*")
+    """Whole texts; what a job with the usual limit shows of them is a column of its own."""
+    pages = t.pages.select("page_id", web.page_text(F.col("html"), None).alias("p"))
+    return pages.select("page_id", "p.text", F.left("p.text", F.lit(DEFAULTS.page_text_limit)).alias("shown"), "p.n_chars",
+                        (F.col("p.n_chars") > DEFAULTS.page_text_limit).alias("truncated"))
 
 
 FRAGMENTS["page_links"] = rf"""SELECT page_id, pos, CASE WHEN contains(href, 'uddg=')

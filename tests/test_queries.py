@@ -11,7 +11,8 @@ from attestry.plans.adapters import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["cln_stage", "ent_key", "uom_split", "json_payload", "ent_resolve_brand", "join_coverage", "cls_decide", "agg_vocab", "ext_gates",
-          "ver_merge", "adj_conflict", "dsc_build", "out_slots", "agg_accuracy_row", "agg_tiers", "B03_resume"]
+          "ver_merge", "adj_conflict", "dsc_build", "out_slots", "agg_accuracy_row", "agg_tiers", "B03_resume",
+          "src_delivery_csv", "out_gated", "snk_delivery", "ent_resolve_mfr", "join_evidence", "syn_lookup", "web_strip_html"]
 
 
 def rows(cols, data):

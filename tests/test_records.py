@@ -1,11 +1,16 @@
 """Worked examples for resolution, descriptions, audit and job state."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.operators import auditing as au
 from attestry.operators import description as ds
 from attestry.operators import entities as en
 from attestry.operators import evaluation as evl
+from attestry.operators.sampling import diverse_sample
 from attestry.streaming import firstseen
 
 
@@ -66,3 +71,37 @@ def test_first_seen_grows_across_batches(spark, tmp_path):
     firstseen.grow(spark, src, ["b"], ["v"], ["o"], str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {r["b"]: r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["y"] == "2" and got["x"] in ("0", "9") and len(got) == 2
+
+
+@pytest.mark.parametrize("pool", [1000, 25, 3])
+def test_diverse_sample_equals_rescoring_everything(spark, pool):
+    """Greedy picks of the whole table after every pick, whatever the pool that a round holds."""
+    rng = random.Random(21)
+    stock = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(stock) for _ in range(rng.randint(2, 25))), rng.choice((None, "m1", "m2", "m3"))) for i in range(150)]
+    words = {i: set(t.split()) for i, t, _ in rows if len(t.strip()) >= 22}
+    df = {w: sum(w in own for own in words.values()) for w in stock}
+    weight = {w: math.log((len(words) + 1) / (n + 1)) + 1 for w, n in df.items()}
+    norm = {i: math.sqrt(sum(weight[w] ** 2 for w in own)) for i, own in words.items()}
+    picks, used = [], set()
+    for _ in range(12):
+        score = {}
+        for i, text, maker in rows:
+            if i in words and i not in picks:
+                sim = max((sum(weight[w] ** 2 for w in words[i] & words[p]) / norm[i] / norm[p] for p in picks), default=0.0)
+                score[i] = round(1 - sim + 0.25 * min(len(text) / 100, 1) + (0.2 if (maker or "") not in used else 0), 9)
+        best = min(score, key=lambda i: (-score[i], i))
+        picks.append(best)
+        used.add(rows[best][2] or "")
+    got = diverse_sample(spark.createDataFrame(rows, "item_id bigint, text string, maker string"), 12, pool=pool).orderBy("pick").collect()
+    assert [r["item_id"] for r in got] == picks
+
+
+def test_diverse_sample_takes_few_rounds(spark):
+    """Thirty picks of a thousand documents in a handful of jobs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id as item_id", "text", "source as maker")
+    group = "diverse-sample"
+    spark.sparkContext.setJobGroup(group, group)
+    assert diverse_sample(docs, 30, pool=2000).count() == 30
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 40
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
