@@ -301,13 +301,16 @@ SELECT item_id, substr(text, 3, 26) AS brand, CASE item_id % 4 WHEN 1 THEN subst
 # the partial ratio by definition: inside a text, over the windows that have enough of the name's letter pairs within the displacement that
 # the ratio leaves; at its two ends, and in texts no longer than the name, over every window of which enough letter pairs are in the name
 FRAGMENTS["evidence_keys"] = f"SELECT doc_id, {d_key(d_collapse('text'))} AS ek FROM documents"
-FRAGMENTS["maker_keys"] = f"""SELECT key, name, length(key) AS m, CAST(floor(0.14 * length(key) + 1e-9) AS BIGINT) AS d, length(key) - 1 - 2 * CAST(floor(0.28 * length(key) + 1e-9) AS BIGINT) AS needed
+FRAGMENTS["maker_keys"] = f"""SELECT key, name, length(key) AS m, CAST(floor(0.14 * length(key) + 1e-9) AS BIGINT) AS d, length(key) - 1 - 2 * CAST(floor(0.28 * length(key) + 1e-9) AS BIGINT) AS enough
  FROM (SELECT {d_key('manufacturer')} AS key, min(trim(manufacturer)) AS name FROM quoted_names GROUP BY 1) x WHERE key <> ''"""
-FRAGMENTS["maker_grams"] = "SELECT key, substr(key, i, 2) AS g, i AS o, m, d, needed FROM (SELECT *, unnest(range(1, m)) AS i FROM maker_keys) y"
-FRAGMENTS["maker_windows"] = """SELECT DISTINCT doc_id, key, m, unnest(range(y - d, x + d + 1)) AS i FROM (
-  SELECT doc_id, key, m, d, x, lead(x, needed - 1) OVER (PARTITION BY doc_id, key ORDER BY x) AS y FROM (
-   SELECT doc_id, b.key, m, d, needed, p - o AS x FROM (SELECT doc_id, substr(ek, i, 2) AS g, i AS p FROM (SELECT doc_id, ek, unnest(range(1, length(ek))) AS i FROM evidence_keys) a) a
-    JOIN maker_grams b USING (g)) h) r WHERE y - d <= x + d"""
+FRAGMENTS["evidence_grams"] = "SELECT doc_id, substr(ek, i, 2) AS g, i AS p FROM (SELECT doc_id, ek, unnest(range(1, length(ek))) AS i FROM evidence_keys) a"
+# the four commonest pairs of a name are left out where enough others remain: an edit spoils at most two pairs of any choice
+FRAGMENTS["maker_grams"] = """SELECT key, g, o, m, d, enough - least(4, greatest(enough - 1, 0)) AS needed FROM (SELECT key, substr(key, i, 2) AS g, i AS o, m, d, enough
+  FROM (SELECT *, unnest(range(1, m)) AS i FROM maker_keys) y) z LEFT JOIN (SELECT g, count(*) AS f FROM evidence_grams GROUP BY g) c USING (g)
+ QUALIFY row_number() OVER (PARTITION BY key ORDER BY coalesce(f, 0) DESC, o) > least(4, greatest(enough - 1, 0))"""
+FRAGMENTS["maker_windows"] = """SELECT DISTINCT doc_id, key, m, unnest(range(l[j + needed - 1] - d, l[j] + d + 1)) AS i FROM (
+  SELECT doc_id, key, m, d, needed, l, unnest(list_filter(range(1, len(l) - needed + 2), lambda j: l[j + needed - 1] - l[j] <= 2 * d)) AS j FROM (
+   SELECT doc_id, key, m, d, needed, list_sort(list(CAST(p - o AS INT))) AS l FROM evidence_grams JOIN maker_grams USING (g) GROUP BY ALL HAVING count(*) >= needed) h) r"""
 FRAGMENTS["maker_ends"] = """SELECT doc_id, ek, key, m, i FROM (SELECT doc_id, ek, key, m, unnest(list_concat(range(shortest - m, 0), range(length(ek) - m + 1, length(ek) - shortest + 1))) AS i FROM (SELECT *, CAST(ceil(0.86 * m / 1.14 - 1e-9) AS BIGINT) AS shortest FROM (
    SELECT e.doc_id, any_value(ek) AS ek, b.key, any_value(b.m) AS m FROM evidence_keys e JOIN maker_grams b ON length(ek) > b.m AND (contains(left(ek, b.m), g) OR contains(right(ek, b.m), g))
     GROUP BY e.doc_id, b.key HAVING greatest(count(*) FILTER (contains(left(ek, b.m), g)), count(*) FILTER (contains(right(ek, b.m), g))) >= any_value(b.needed)) x) z) y"""
@@ -324,7 +327,7 @@ FRAGMENTS["maker_scores"] = f"SELECT doc_id, key, CASE WHEN contains(any_value(e
 p AS (SELECT {d_key('brand')} AS key, arg_max(trim(manufacturer), item_id) AS owner FROM quoted_names WHERE item_id % 3 = 0 GROUP BY 1),
 vb AS (SELECT doc_id, arg_min(owner, ROW(lower(name), name)) AS owner FROM evidence_keys JOIN b ON b.key <> '' AND contains(ek, b.key) JOIN p USING (key) GROUP BY doc_id),
 vm AS (SELECT doc_id, max(ROW(score, name)) AS best FROM maker_scores JOIN maker_keys USING (key) WHERE score >= 0.86 - 1e-11 GROUP BY doc_id)
-SELECT doc_id, coalesce(owner, best[2]) AS manufacturer, round(CASE WHEN owner IS NOT NULL THEN 0.95 ELSE least(best[1], 0.93) END, 6) AS confidence
+SELECT doc_id, coalesce(owner, best[2]) AS manufacturer, round(CASE WHEN owner IS NOT NULL THEN 0.95 WHEN best IS NOT NULL THEN least(best[1], 0.93) END, 6) AS confidence
 FROM evidence_keys LEFT JOIN vb USING (doc_id) LEFT JOIN vm USING (doc_id)""")
 def _(t):
     e = t.snippets.select("doc_id", tx.entity_key(web.mentions(F.col("html"))).alias("evidence_key"))
