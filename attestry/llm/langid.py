@@ -106,11 +106,11 @@ def train(docs: DataFrame, p: LangParams = LangParams()) -> LangModel:
     df, n = _frequencies(rows, p.bins)
     idf = np.log((1 + n) / (1 + df)) + 1.0
     # rows whose keyed hash is low enough for a few times the sample; only those are ranked
-    sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}     # one row per language
     draw = F.xxhash64(F.lit("lang"), "doc_id")
-    low = F.shiftrightunsigned("draw", 11) / float(2 ** 53) < 4.0 * p.sample / F.col("rows")
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, 4.0 * p.sample / n)])[F.col("lang")] if sizes else F.lit(1.0)
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    picked = rows.select("doc_id", "lang", draw.alias("draw")).join(sizes, F.col("lang") == F.col("of")).where(low)
+    picked = rows.select("doc_id", "lang", draw.alias("draw")).where(F.shiftrightunsigned(draw, 11) / float(2 ** 53) < share)    # in the scan, before any shuffle
     picked = picked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= p.sample)
     picked = picked.select("doc_id", "lang").distinct()      # at most `sample` short rows per language
     sample = rows.join(F.broadcast(picked), ["doc_id", "lang"])

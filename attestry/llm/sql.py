@@ -42,8 +42,8 @@ def _pii() -> str:
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({' UNION ALL '.join(parts)}),
 told AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS[:4])},
-  {lists} FILTER (WHERE kind <> 'iban') AS base, {lists} AS spans FROM found GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  {lists} FILTER (WHERE kind <> 'iban') AS base, {lists} AS spans, count(*) AS n_spans FROM found GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
 FROM docs d LEFT JOIN told f ON f.doc_id = d.doc_id"""
 
 
