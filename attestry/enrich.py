@@ -90,8 +90,7 @@ def enrich(catalog: DataFrame, refs: References, given: Answers, p: Params = DEF
     flags = flags.unionByName(gated.where("reason is not null").select("item_id", F.col("reason").alias("code"), F.col("label").alias("field")))
     extracted = cut_lineage(gated.where("reason is null").select("item_id", "label", F.lit(0).alias("idx"), "value", "uom", "source_type"))
 
-    paths = items.join(near, "classpath", "left").select("item_id", F.coalesce("path", "classpath").alias("classpath"))
-    normalized = cut_lineage(at.normalize_stage(extracted, paths, refs.allowed, refs.closed, p.attribute_match))
+    normalized = cut_lineage(at.normalize_stage(extracted, items.select("item_id", "classpath"), refs.allowed, refs.closed, p.attribute_match, p.category_cutoff))
     flags = flags.unionByName(normalized.where("reason is not null").select("item_id", F.col("reason").alias("code"), F.col("label").alias("field")))
 
     failed = items.select("item_id").limit(0)

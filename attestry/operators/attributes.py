@@ -8,6 +8,7 @@ from attestry import fixed_values as fv
 from attestry.functions import similarity as sim
 from attestry.functions import text as tx
 from attestry.functions import units as un
+from attestry.operators.buckets import with_bucket
 from attestry.operators.matching import grams
 from attestry.params import DEFAULTS
 from attestry.session import cut_lineage
@@ -176,13 +177,24 @@ def normalize_extracted(extracted: DataFrame, item_paths: DataFrame) -> DataFram
     ).select("item_id", "label", "idx", "classpath", "raw_value", "raw_uom", "m.*")
 
 
+def bucketed(values: DataFrame, vocabulary: DataFrame, closed: DataFrame, order: list[str], cutoff: float = DEFAULTS.category_cutoff) -> DataFrame:
+    """Add `bucket`: the path whose values a row is held to, which for a path without own values is a similar one."""
+    known = vocabulary.select(*_BUCKET).unionByName(closed.select(*_BUCKET))
+    return cut_lineage(with_bucket(values, known, order, F.col("valid") & (F.col("value") != ""), cutoff))
+
+
+def in_bucket(values: DataFrame) -> DataFrame:
+    """Bucketed rows under the path of their bucket."""
+    return values.withColumn("classpath", F.col("bucket")).drop("bucket")
+
+
 def normalize_stage(extracted: DataFrame, item_paths: DataFrame, vocabulary: DataFrame, closed: DataFrame,
-                    threshold: float = DEFAULTS.attribute_match) -> DataFrame:
+                    threshold: float = DEFAULTS.attribute_match, cutoff: float = DEFAULTS.category_cutoff) -> DataFrame:
     """Canonical value and unit per extracted row, or NULL with the reason."""
-    n = normalize_extracted(extracted, item_paths)
-    hit = constrain(n, vocabulary, closed, ["item_id", "idx"], threshold)
+    n = bucketed(normalize_extracted(extracted, item_paths), vocabulary, closed, ["item_id", "idx", "label"], cutoff)
+    hit = constrain(in_bucket(n), vocabulary, closed, ["item_id", "idx", "label"], threshold)
     keyed = lambda df: df.withColumn("__u", F.coalesce("uom", F.lit("")))
-    joined = keyed(n).join(keyed(hit).drop("uom", "score"), [*_BUCKET, "value", "__u"], "left")
+    joined = keyed(n).join(keyed(hit.withColumnRenamed("classpath", "bucket")).drop("uom", "score"), ["bucket", "label", "value", "__u"], "left")
     matched = F.col("match_value").isNotNull() & F.col("valid")
     reason = F.when(~matched, F.when(~F.col("valid"), "unit_not_controlled").otherwise("value_not_in_vocabulary"))
     return joined.select("item_id", "label", "idx", "classpath", F.when(matched, F.col("match_value")).alias("value"),

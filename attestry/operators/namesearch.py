@@ -86,6 +86,8 @@ class NameIndex:
     @staticmethod
     def _common(query: str, names: np.ndarray) -> np.ndarray:
         """Lengths of longest common subsequences with the columns of `names`: rows of the table as bits, carries passed between words."""
+        if not query:
+            return np.zeros(names.shape[1], np.int64)
         n = max(1, -(-len(query) // 64))
         letters, place = np.unique(np.fromiter(map(ord, query), np.int32, len(query)), return_inverse=True)
         masks = np.zeros((n, len(letters) + 1), np.uint64)
@@ -143,7 +145,7 @@ class NameIndex:
         """Uses what `bounds(query)` left: what true common subsequences do not replace, that is words shared or repeated."""
         short, near, scale, tokens, token = (x[at] for x in self._parts)
         by_word = " ".join(sorted(query.split()))
-        total, ordered_total = self.length[at] + len(query), np.maximum(self.sorted_length[at] + len(by_word), 1)
+        total, ordered_total = np.maximum(self.length[at] + len(query), 1), np.maximum(self.sorted_length[at] + len(by_word), 1)
         whole, ordered = self._common(query, self.plain[:, at]), self._common(by_word, self.ordered[:, at]) if by_word else np.zeros(len(at), np.int64)
         self.whole = window(whole, short)
         close = 0.95 * np.minimum(np.maximum(token, 200.0 * ordered / ordered_total), 100.0)
@@ -169,8 +171,8 @@ class PathIndex:
         self.leaf_of = np.array([number[x] for x in ends], np.int64)
         self.whole, self.leaf = NameIndex(paths), NameIndex(self.leaves)
 
-    def top(self, query: str, k: int) -> list[tuple[int, float]]:
-        """(path number, similarity) of the k best under `similarity.category`, ties in path order."""
+    def _search(self, query: str):
+        """Bound of each path, the function that sharpens it for some, and the score of one."""
         end = query.rsplit(">", 1)[-1]
         low = self.leaf.bounds(end)
         everything = np.arange(len(self.leaves))
@@ -185,10 +187,36 @@ class PathIndex:
                 seen[leaf] = max(sim.composite(end, other), sim.partial(end, other))
             return max(seen[leaf], sim.composite(query, self.paths[i]))
 
-        best, scored = bounded_top(np.maximum(whole, low[self.leaf_of]), lambda at: np.maximum(self.whole.bounds(query, at), low[self.leaf_of[at]]), score, k)
+        return np.maximum(whole, low[self.leaf_of]), lambda at: np.maximum(self.whole.bounds(query, at), low[self.leaf_of[at]]), score
+
+    def top(self, query: str, k: int) -> list[tuple[int, float]]:
+        """(path number, similarity) of the k best under `similarity.category`, ties in path order."""
+        best, scored = bounded_top(*self._search(query), k)
         self.scored += scored
         return best
 
+    def improving(self, query: str, least: float) -> list[tuple[int, float]]:
+        """(path number, similarity) of each path from `least` on that beats all paths before it; equal ones if their text sorts first."""
+        bound, sharper, score = self._search(query)
+        at = np.nonzero(bound >= least - 1e-9)[0]
+        out: list[tuple[int, float]] = []
+        for i, sharp in zip(at.tolist(), np.minimum(sharper(at), bound[at]).tolist()):
+            if sharp < (out[-1][1] if out else least) - 1e-9:
+                continue
+            self.scored += 1
+            s = score(i)
+            if s >= least and (not out or (-s, self.paths[i]) < (-out[-1][1], self.paths[out[-1][0]])):
+                out.append((i, s))
+        return out
+
+    def reaches(self, query: str, among: list[int], least: float) -> bool:
+        """Whether one of the numbered paths is as similar as `least`."""
+        if not among:
+            return False
+        bound, sharper, score = self._search(query)
+        at = np.array(among)[bound[among] >= least - 1e-9]
+        return len(at) > 0 and any(score(i) >= least for i in at[sharper(at) >= least - 1e-9].tolist())
+
 
 def nearest_paths(k: int):
     """A finder for `scan` over paths."""

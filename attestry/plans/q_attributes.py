@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import attributes as at
 from attestry.operators import taxonomy as tax
+from attestry.operators.buckets import with_bucket
 from attestry.plans.adapters import VIEWS
 from attestry.plans.q_units import d_unit, split_views
 from attestry.plans.registry import FRAGMENTS, query
@@ -130,8 +131,8 @@ def _(t):
 
 @query("nrm_constrain")     # near matches need the weighted scorer: held against all pairs in tests/test_matching.py
 def _(t):
-    n = at.normalize_extracted(t.extracted, t.item_paths)
-    return at.constrain(n, t.allowed, t.closed, ["item_id", "idx"]).select("classpath", "label", "value", "uom", "match_value", "match_uom", "score")
+    n = at.bucketed(at.normalize_extracted(t.extracted, t.item_paths), t.allowed, t.closed, ["item_id", "idx", "label"])
+    return at.constrain(at.in_bucket(n), t.allowed, t.closed, ["item_id", "idx", "label"]).select("classpath", "label", "value", "uom", "match_value", "match_uom", "score")
 
 
 @query("nrm_stage")
@@ -139,6 +140,20 @@ def _(t):
     return at.normalize_stage(t.extracted, t.item_paths, t.allowed, t.closed)
 
 
+VIEWS["part_paths"] = """
+SELECT p_partkey AS item_id, concat('Parts>', p_type, '>', p_name) AS classpath, p_brand AS label FROM {part}
+"""
+VIEWS["bucket_paths"] = """
+SELECT DISTINCT concat('Parts>', p_type, '>', p_name) AS classpath, p_brand AS label FROM {part} WHERE p_size = 1
+"""
+
+
+@query("nrm_buckets")       # needs the weighted scorer: held against the row-by-row rule in tests/test_buckets.py
+def _(t):
+    served = with_bucket(t.part_paths, t.bucket_paths, ["item_id"], F.lit(True))
+    return served.groupBy("classpath", "label", "bucket").agg(F.count("*").alias("items"), F.min("item_id").alias("first_item"))
+
+
 VIEWS["spelled_values"] = """
 SELECT 'Orders>' || CAST(partkey % 3 AS STRING) AS classpath, label, value AS observed_value, uom AS observed_uom,
   (item_id * 8 + line) * 1048576 + partkey AS seq, CASE WHEN suppkey % 2 = 0 THEN 'trace' ELSE 'truth' END AS source,
