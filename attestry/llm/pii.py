@@ -139,6 +139,11 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores(spans: Column) -> Column:
+    """Score of each span in thousandths, comma-joined, in the order of `digest`."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 1000).cast("int").cast("string")), ",")
+
+
 def redacted(text: Column, spans: Column, p: PiiParams = PiiParams()) -> Column:
     """The text with each span that scores enough replaced by its kind in brackets; spans inside an earlier one go with it."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -32,7 +32,8 @@ def op1_pii(spark, folder):
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(spans).alias("spans"),
+                        F.size(spans).cast("long").alias("n_spans"), pii.scores(spans).alias("scores_milli"))
 
 
 @query

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from attestry.llm.mixing import BITS, BUCKETS, MixParams
-from attestry.llm.pii import KINDS, PATTERNS
+from attestry.llm.pii import AGAINST, KINDS, NEAR, PATTERNS, SCORES, PiiParams
 
 # the same patterns without look-behinds and possessive quantifiers, which only save retries
 _PLAIN = {
@@ -23,6 +23,17 @@ _VALID = {
 }
 
 
+def _score(kind: str) -> str:
+    """Thousandths, from the lower-cased text before a match."""
+    p, milli = PiiParams(), lambda x: round(1000 * x)
+    before = f"lower(substr(t, greatest(1, a + 1 - {p.window}), least({p.window}, a)))"
+    # without look-ahead: "order to" is taken out first
+    free = f"regexp_replace({before}, '\\borders?[\\s\\x0B]+to\\b', ' ', 'g')"
+    against = AGAINST[kind].replace(r"(?!\s+to\b)", "")
+    down = "0" if AGAINST[kind] == "(?!)" else f"CASE WHEN regexp_matches({free}, '{against}') THEN {milli(p.lowered)} ELSE 0 END"
+    return f"greatest(0, least(1000, {milli(SCORES[kind])} + CASE WHEN regexp_matches({before}, '{NEAR[kind]}') THEN {milli(p.raised)} ELSE 0 END - {down}))"
+
+
 def _pii() -> str:
     letters = "replace(v, ' ', '')"
     number = f"substr({letters}, 5) || left({letters}, 4)"
@@ -31,7 +42,7 @@ def _pii() -> str:
     parts = []
     for rank, kind in enumerate(KINDS):
         parts.append(f"""
-  SELECT doc_id, {rank} AS r, '{kind}' AS kind, a, a + length(v) AS b FROM (
+  SELECT doc_id, {rank} AS r, '{kind}' AS kind, a, a + length(v) AS b, {_score(kind)} AS s FROM (
     SELECT doc_id, t, v, a, regexp_replace(v, '[^0-9]', '', 'g') AS d, {number if kind == 'iban' else "''"} AS n FROM (
       SELECT doc_id, t, m[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
       FROM (SELECT doc_id, t, regexp_extract_all(t, '{_PLAIN[kind]}') AS m, string_split_regex(t, '{_PLAIN[kind]}') AS g,
@@ -42,8 +53,9 @@ def _pii() -> str:
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({' UNION ALL '.join(parts)}),
 told AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS[:4])},
-  {lists} FILTER (WHERE kind <> 'iban') AS base, {lists} AS spans, count(*) AS n_spans FROM found GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
+  {lists} FILTER (WHERE kind <> 'iban') AS base, {lists} AS spans, count(*) AS n_spans,
+  string_agg(s, ',' ORDER BY a, r) AS scores FROM found GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans, coalesce(scores, '') AS scores_milli
 FROM docs d LEFT JOIN told f ON f.doc_id = d.doc_id"""
 
 

@@ -1,6 +1,8 @@
 import re
 
-from attestry.llm.pii import BASE, find, redact
+from pyspark.sql import functions as F
+
+from attestry.llm.pii import BASE, find, redact, scores
 
 from oddrows import rows
 
@@ -55,3 +57,12 @@ def test_account_numbers_context_and_redaction(spark):
     assert ("iban", 5, 32) in spans[0] and not [s for s in spans[1] + spans[2] if s[0] == "iban"] and spans[3][0] == ("iban", 0, 22)
     clean = {r.doc_id: r.text for r in redact(df).collect()}
     assert clean[4] == "version 1.2.3.4" and clean[5] == "host [IP]" and clean[6] == "[EMAIL], [PHONE] é" and clean[7] is None
+
+
+def test_context_words_move_the_score(spark):
+    """Raised by a word of the kind, lowered by one of the opposite sense, both within the window before the span only."""
+    texts = ["1.2.3.4", "host 1.2.3.4", "version 1.2.3.4", "server version 1.2.3.4", "version" + " " * 40 + "1.2.3.4", "1.2.3.4 version",
+             "call +1 555 123 4567 or mail a@b.cd", "VERSION\n1.2.3.4", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r[0]: r[1] for r in find(df).select("doc_id", scores(F.col("spans"))).collect()}
+    assert got == {0: "600", 1: "800", 2: "300", 3: "500", 4: "600", 5: "600", 6: "800,1000", 7: "300", 8: "", 9: ""}
