@@ -101,7 +101,7 @@ def enrich(catalog: DataFrame, refs: References, given: Answers, p: Params = DEF
     options = cut_lineage(adj.candidates(extracted, sourced))
     state = cut_lineage(adj.conflicts(options, checked))
     settled = cut_lineage(adj.settle(options, state, given.decisions))
-    final = cut_lineage(adj.final_attributes(adj.passthrough(options, state), settled).select("item_id", "label", "value", "uom", "source_type"))
+    final = cut_lineage(adj.final_attributes(options, state, settled).select("item_id", "label", "value", "uom", "source_type"))
     flags = flags.unionByName(settled.where("needs_review").select("item_id", F.lit("adjudication_needs_review").alias("code"), F.col("label").alias("field")))
 
     named = items.join(near, "classpath", "left").join(refs.product_names.select(F.col("classpath").alias("path"), "product_name"), "path", "left")

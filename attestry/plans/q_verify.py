@@ -8,7 +8,7 @@ from attestry.plans.adapters import VIEWS
 from attestry.plans.q_text import d_cmp_key
 from attestry.plans.q_units import d_unit, split_views
 from attestry.plans.registry import FRAGMENTS, query
-from attestry.session import cut_lineage
+from attestry.session import stored
 
 FRAGMENTS["comply"] = f"""SELECT e.item_id, e.label, e.idx, n.value IS NOT NULL AS vocabulary_compliant,
  s.valid AND (e.uom IS NULL OR {d_unit('e.uom')} IS NOT NULL) AND (n.uom IS NULL OR s.uom IS NOT DISTINCT FROM n.uom) AS uom_compliant
@@ -71,19 +71,17 @@ FROM (SELECT k.item_id, k.label, count(DISTINCT k.sk) AS n_ext, count(DISTINCT C
 LEFT JOIN first_verdict v ON v.item_id = a.item_id AND v.label = a.label"""
 
 
-def state(t, cands=None):
-    return adj.conflicts(cands or adj.candidates(t.extracted, t.normalized), merged(t))
-
-
 def written(t):
     """Candidates and conflict state, written once for the steps that read them often."""
-    c = cut_lineage(adj.candidates(t.extracted, t.normalized))
-    return c, cut_lineage(state(t, c))
+    c = stored(adj.candidates(t.extracted, t.normalized), "candidates")
+    return c, stored(adj.conflicts(c, ver.first_verdicts(t.verdicts, t.failed_items), "ambiguous"), "conflicts")
 
 
 @query("adj_conflict", "SELECT * FROM state")
 def _(t):
-    return state(t)
+    c = stored(adj.candidates(t.extracted, t.normalized), "candidates")
+    out = adj.conflicts(c, ver.first_verdicts(t.verdicts, t.failed_items), "ambiguous")
+    return out.select("item_id", "label", "entailment", "conflict", "top_conflict")
 
 
 FRAGMENTS["passed"] = """SELECT item_id, label, candidate_id, value, uom, source_type, priority FROM cands JOIN (SELECT item_id, label FROM state WHERE NOT conflict) s USING (item_id, label)
@@ -105,12 +103,13 @@ FRAGMENTS["decisions"] = """SELECT d.item_id, d.label, selected_candidate_id, ne
 FROM decision_rows d JOIN state s ON s.item_id = d.item_id AND s.label = d.label AND s.conflict WHERE NOT (d.item_id % 10 = 3 AND d.label = 'Size')"""
 
 
-def decisions(t, st):
-    d = t.decision_rows.join(st.where("conflict").select("item_id", "label"), ["item_id", "label"], "left_semi")
+def decisions(t, c, st):
+    """Decisions on the written candidates, written once."""
+    d = t.spark.sql(VIEWS["decision_rows"], cands=c).join(st.where("conflict").select("item_id", "label"), ["item_id", "label"], "left_semi")
     d = d.where(~((F.col("item_id") % 10 == 3) & (F.col("label") == "Size")))
     rej = F.filter(F.split("ids", ","), lambda i: ~i.eqNullSafe(F.col("selected_candidate_id"))
                    & ~((F.col("item_id") % 8 == 1) & (i == "normalized:0")))
-    return d.withColumn("rejected_candidate_ids", rej).drop("ids")
+    return stored(d.withColumn("rejected_candidate_ids", rej).drop("ids"), "decisions")
 
 
 FRAGMENTS["part_ok"] = """SELECT d.*, (d.selected_candidate_id IS NULL OR list_contains(c.ids, d.selected_candidate_id)) AND d.rej = list_filter(c.ids, lambda i: i IS DISTINCT FROM d.selected_candidate_id) AS ids_ok
@@ -121,13 +120,13 @@ FRAGMENTS["match_ok"] = """SELECT s.item_id, bool_and(d.label IS NOT NULL) AS la
 @query("set_partition", "SELECT item_id, label, ids_ok FROM part_ok")
 def _(t):
     c, st = written(t)
-    return adj.ids_partition(c, decisions(t, st)).select("item_id", "label", "ids_ok")
+    return adj.ids_partition(c, decisions(t, c, st)).select("item_id", "label", "ids_ok")
 
 
 @query("set_label_match", "SELECT item_id, labels_match FROM match_ok")
 def _(t):
-    _, st = written(t)
-    return adj.decision_sets_match(st, decisions(t, st))
+    c, st = written(t)
+    return adj.decision_sets_match(st, decisions(t, c, st))
 
 
 FRAGMENTS["settled0"] = """SELECT s.item_id, s.label, s.entailment, s.top_conflict, p.label IS NOT NULL AS given, coalesce(p.ids_ok, false) AS ok, p.needs_human_review AS nhr, p.reasoning,
@@ -146,12 +145,12 @@ FROM (SELECT *, given AND ok AND pid IS NOT NULL AND coalesce(entailment IN ('su
 
 def settled(t):
     c, st = written(t)
-    return c, st, adj.settle(c, st, decisions(t, st))
+    return c, st, adj.settle(c, st, decisions(t, c, st))
 
 
 @query("adj_apply", "SELECT item_id, label, chosen_id, needs_review, reason FROM settled")
 def _(t):
-    return settled(t)[2].select("item_id", "label", F.col("chosen.candidate_id").alias("chosen_id"), "needs_review", "reason")
+    return settled(t)[2].select("item_id", "label", "chosen_id", "needs_review", "reason")
 
 
 @query("adj_rejected", "SELECT c.item_id, c.label, c.candidate_id, coalesce(c.value, '') AS value, s.reason, c.source_type FROM cands c JOIN settled s ON s.item_id = c.item_id AND s.label = c.label WHERE c.candidate_id IS DISTINCT FROM s.chosen_id")
@@ -164,4 +163,4 @@ def _(t):
 SELECT c.item_id, c.label, c.candidate_id, c.value, c.uom, c.source_type, c.priority FROM cands c JOIN settled s ON s.item_id = c.item_id AND s.label = c.label AND c.candidate_id = s.chosen_id""")
 def _(t):
     c, st, s = settled(t)
-    return adj.final_attributes(adj.passthrough(c, st), s)
+    return adj.final_attributes(c, st, s)
