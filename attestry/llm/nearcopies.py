@@ -27,12 +27,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm.common import by_runs, stored
 from attestry.llm.components import components
-from attestry.llm.simhash import _LOWER
+from attestry.llm.simhash import _LOWER, SimHashParams, fingerprint
+from attestry.llm.simhash import links as simhash_links
 from attestry.llm.tokens import parts
 
 
@@ -90,8 +91,9 @@ def _min_hashes(own: np.ndarray, mixers: np.ndarray) -> np.ndarray:
     return low
 
 
-def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
-    """(doc_id, text_key, node, size, keys, sketch): the set's name (128 bits) and size, its bucket keys, and a byte of each min-hash."""
+def signatures(docs: DataFrame, p: NearParams, bits: SimHashParams | None = None) -> DataFrame:
+    """(doc_id, text_key, node, size, keys, sketch, fp): the set's name (128 bits) and size, its bucket keys, a byte of each min-hash,
+    and, if `bits` are given, the text's SimHash."""
 
     def run(batches):
         from xxhash import xxh64_intdigest as h
@@ -99,19 +101,21 @@ def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
         mixers = _mixers(p)
         with np.errstate(over="ignore"):
             for batch in parts(batches):
-                nodes, sizes, keys, sketches = [], [], [], []
+                nodes, sizes, keys, sketches, fps = [], [], [], [], []
                 for t in batch.column(1):
                     own = shingles(t.as_py(), p)
                     low = _min_hashes(own, mixers)
                     nodes.append(_name(own))
                     sizes.append(len(own))
                     keys.append(np.array([h(band.tobytes(), i) for i, band in enumerate(low.reshape(p.bands, p.rows))], np.uint64).view(np.int64))
+                    fps.append(fingerprint(t.as_py(), bits) if bits else None)
                     sketches.append((low & np.uint64(255)).astype(np.uint8).tobytes())     # the high bits of a minimum say little
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                                                  pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                                                 ["doc_id", "text_key", "node", "size", "keys", "sketch"])
+                                                  pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+                                                  pa.array(fps, pa.uint64()).view(pa.int64())],
+                                                 ["doc_id", "text_key", "node", "size", "keys", "sketch", "fp"])
 
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, node binary, size long, keys array<long>, sketch binary"
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, node binary, size long, keys array<long>, sketch binary, fp long"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, kind)
 
 
@@ -226,10 +230,20 @@ def _asked(rows: DataFrame, p: NearParams) -> DataFrame:
     return by_runs(rows, ["key", "t1", "t2"], answer, "key long, t1 int, t2 int, node binary, group binary, band int, mine int, keys array<long>, sketch binary")
 
 
-def near_copies(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """(doc_id, text_key, node, component, component_id): component_id is the smallest id reachable over verified links, the row's own included."""
+def _alike(marked: DataFrame, bits: SimHashParams) -> DataFrame:
+    """Links (a, b: node) that connect what SimHash within its radius connects: each node with the first of its group."""
+    pairs = marked.select("node", "fp").distinct()
+    groups = components(simhash_links(stored(pairs.select("fp").distinct(), "near-bits"), bits)).withColumnRenamed("node", "fp")
+    named = pairs.join(groups, "fp", "left").select("node", F.coalesce("component", "fp").alias("of"))
+    lowest = named.groupBy("of").agg(F.min("node").alias("a"))
+    return named.join(lowest, "of").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, p: NearParams = NearParams(), bits: SimHashParams | None = None) -> DataFrame:
+    """(doc_id, text_key, node, component, component_id): component_id is the smallest id reachable over verified links and, if `bits`
+    are given, over those of SimHash; the row's own included."""
     p = for_rows(p, docs.count())
-    marked = stored(signatures(docs, p), "near-signatures")
+    marked = stored(signatures(docs, p, bits), "near-signatures")
     nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("size").alias("size"),
                                               F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "near-nodes")
     # buckets are found by half of a node's name; the few members of shared ones then get the whole name
@@ -248,6 +262,8 @@ def near_copies(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
         F.when(F.col("b.tiles") > 1, F.sequence(F.lit(1), F.lit(p.deals))).otherwise(F.array(F.lit(1)))).alias("t2"))
     early = early.withColumn("t1", F.pmod(F.xxhash64("node", "t2"), F.col("tiles")).cast("int"))
     links = stored(_linked(early.select("key", "t1", "t2", "node", "group").join(sets, "node"), p, False), "near-links")
+    if bits:
+        links = links.union(stored(_alike(marked, bits), "near-alike"))
 
     named = members.drop("group").join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     named = stored(named, "near-named")
@@ -263,16 +279,17 @@ def near_copies(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     return marked.select("doc_id", "text_key", "node").join(found, "node")
 
 
-def one_of_each(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
+def one_of_each(docs: DataFrame, p: NearParams = NearParams(), bits: SimHashParams | None = None) -> DataFrame:
     """The documents without near copies: of each group the row with the smallest id stays (of rows with that id, one of those
-    whose text has the smallest key); rows without an id stay, as no group can name them."""
+    whose text has the smallest key); rows without an id stay, as no group can name them.  Whole texts are shuffled once here."""
     names = docs.columns
-    rows = near_copies(docs, p).where("doc_id is not null").groupBy("doc_id", "text_key", "component", "component_id").agg(F.count("*").alias("n"))
+    rows = near_copies(docs, p, bits).where("doc_id is not null").groupBy("doc_id", "text_key", "component", "component_id").agg(F.count("*").alias("n"))
     first = rows.where("doc_id = component_id").groupBy("component").agg(F.min("text_key").alias("kept"))
     rows = rows.join(first, "component")
-    rows = stored(rows.select("doc_id", "text_key", "n", ((F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("kept"))).alias("stays")), "near-rows")
-    of = lambda some: some.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    once = docs.join(of(rows.where("not stays or n > 1")), same, "left_anti")
-    repeated = docs.join(of(rows.where("stays and n > 1")), same).dropDuplicates(["__id"]).select(*names)
-    return once.select(*names).union(repeated)
+    marks = stored(rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("n").alias("__n"), (
+        (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("kept"))).alias("__stays")).where("not __stays or __n > 1"), "near-rows")
+    met = docs.withColumn("__text_key", F.xxhash64("text")).join(marks, (F.col("doc_id") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
+    met = met.where("__n is null or __stays")
+    # the join has dealt and sorted the rows as this window needs them; a row that nothing marks is counted by itself
+    own = Window.partitionBy("doc_id", "__text_key").orderBy("__n")
+    return met.withColumn("__place", F.row_number().over(own)).where("__n is null or __place = 1").select(*names)

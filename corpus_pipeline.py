@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import mixing, nearcopies, packing, pii, toxicity
+from attestry.llm import mixing, nearcopies, packing, pii, simhash, toxicity
 from attestry.llm.common import DOCUMENT, small_batches, table
 from attestry.session import safe_unions, scratch_path, ship_package
 
@@ -24,11 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id (of rows that repeat it, one).
 
-    The groups are those of five-word shingles at Jaccard 0.8 or more: banded min-hashes find candidates and whole sets decide, as
-    the three bits of 64 that SimHash compares do not reach that similarity.  Texts without words are copies of each other; rows
-    without an id stay."""
+    SimHash, as in op4, links fingerprints within three bits of 64.  That does not reach five-word Jaccard 0.8, so banded min-hashes find
+    further candidates, whose whole sets decide; a group is what both kinds of links connect.  Texts without words are copies of each
+    other; rows without an id stay."""
     small_batches(spark)
-    return nearcopies.one_of_each(docs.select(*DOCUMENT))
+    return nearcopies.one_of_each(docs.select(*DOCUMENT), bits=simhash.SimHashParams())
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
