@@ -37,9 +37,14 @@ def first_seen(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def expected_labels(long: DataFrame) -> DataFrame:
-    """(classpath, label, seen): distinct labels per path in first-seen order."""
+    """(classpath, label, seen): distinct labels per path in first-seen order.  Row and slot are compared as one number, which
+    needs no sort of all rows."""
     ok = long.where((F.col("classpath") != "") & (F.col("label") != ""))
-    return first_seen(ok, ["classpath", "label"], ["row_no", "slot"])
+    types = {c: long.schema[c].dataType for c in ("row_no", "slot")}
+    at = F.col("row_no").cast("long") * 65536 + F.col("slot")
+    first = ok.groupBy("classpath", "label").agg(F.min(at).alias("at"))
+    return first.select("classpath", "label", F.struct(F.shiftright("at", 16).cast(types["row_no"]).alias("row_no"),
+                                                       F.col("at").bitwiseAND(F.lit(65535)).cast(types["slot"]).alias("slot")).alias("seen"))
 
 
 def value_vocabulary(long: DataFrame) -> DataFrame:
