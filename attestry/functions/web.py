@@ -75,7 +75,12 @@ def unwrap_redirect(href: Column, param: str = fv.REDIRECT_PARAM) -> Column:
     return F.when(query != "", twice).otherwise(plain)
 
 
+def found_text(html: Column) -> Column:
+    """Search-result titles and snippets as they stand in the page, tags left out."""
+    parts = F.regexp_extract_all(html, F.lit("(?is)" + fv.RESULT_TEXT), F.lit(1))
+    return F.array_join(F.transform(parts, strip_tags), " ")
+
+
 def mentions(html: Column) -> Column:
     """Search-result titles and snippets joined into one evidence text."""
-    parts = F.regexp_extract_all(html, F.lit("(?is)" + fv.RESULT_TEXT), F.lit(1))
-    return collapse(unescape(F.array_join(F.transform(parts, strip_tags), " ")))
+    return collapse(unescape(found_text(html)))

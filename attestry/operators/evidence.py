@@ -7,6 +7,7 @@ from attestry.functions import text as tx
 from attestry.functions import web
 from attestry.operators import scanning
 from attestry.params import DEFAULTS, Params
+from attestry.session import stored
 
 
 def link_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -56,6 +57,14 @@ def official_links(results: DataFrame, key: str, owner: str = "owner", k: int =
     return urls.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
 
 
+def evidence_keys(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, evidence_key): the search results of a page as one name key.  A column a step: each is named several times by the next
+    one, and Spark evaluates a named column once."""
+    text = pages.select(key, web.found_text(F.col(html)).alias("t")).select(key, web.unescape(F.col("t")).alias("t"))
+    text = text.select(key, tx.collapse(F.col("t")).alias("t")).select(key, tx.display_name(F.col("t")).alias("t"))
+    return text.select(key, tx.display_key(F.col("t")).alias("evidence_key"))
+
+
 def mentioned_manufacturer(evidence: DataFrame, brands: DataFrame, manufacturers: DataFrame, pairs: DataFrame,
                            key: str, p: Params = DEFAULTS) -> DataFrame:
     """Manufacturer named in an evidence text; one row (key, evidence_key) per key.
@@ -68,6 +77,7 @@ def mentioned_manufacturer(evidence: DataFrame, brands: DataFrame, manufacturers
     owned = brands.join(pairs.withColumnRenamed("brand_key", "key"), "key").select(
         F.col("key").alias("k"), F.col("canonical_name").alias("bname"), F.col("manufacturer").alias("owner"))
     named = manufacturers.select(F.col("key").alias("k"), F.col("canonical_name").alias("mname"))
+    evidence = stored(evidence.select(key, "evidence_key"), "evidence")       # read by four steps
     texts = evidence.select(key, "evidence_key", F.length("evidence_key").alias("__n"))
     by_brand = scanning.scan(texts, [key], "evidence_key", owned, "k", scanning.contained).join(owned, F.col("key") == F.col("k"))
     by_brand = by_brand.groupBy(key).agg(F.min_by("owner", F.struct(tx.casefold(F.col("bname")), "bname")).alias("owner"))

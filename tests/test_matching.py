@@ -240,3 +240,20 @@ def test_constrain_returns_every_match(spark):
             want[path, value] = (best[2], round(-best[0], 9))
     assert {(r.classpath, r.value): (r.match_value, round(r.score, 9)) for r in got} == want
     assert sum(score < 1 for _, score in want.values()) > 5
+
+
+def test_near_mentions_compare_few_windows(monkeypatch):
+    """Names and texts of the same syllables share most letter pairs: under 3,000 windows a text are compared (29,063 before)."""
+    from attestry.operators import scanning
+
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice(("th", "he", "in", "er", "an", "re", "on", "nd")) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    keys, texts, seen, compare = [text(9)[:22] for _ in range(100)], [text(400) for _ in range(20)], [], scanning.NearFinder._compare
+
+    def count(self, *args):
+        seen.append(len(args[-3]))
+        return compare(self, *args)
+
+    monkeypatch.setattr(scanning.NearFinder, "_compare", count)
+    list(scanning.near(86.0)(keys)(texts))
+    assert 0 < sum(seen) / len(texts) < 3000
