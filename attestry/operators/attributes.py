@@ -79,8 +79,8 @@ def length_limits(truth: DataFrame) -> DataFrame:
 
 def truth_attributes(long: DataFrame, key: str = "row_no") -> DataFrame:
     """(key, label, value, uom): stated values with canonical units; a repeated label's
-    last slot wins."""
-    ok = long.where((F.col("label") != "") & (F.col("value") != ""))
+    last slot wins.  Rows are dealt by key and label first: grouped where they are read, all of a large split would be sorted."""
+    ok = long.where((F.col("label") != "") & (F.col("value") != "")).repartition(key, "label")
     return ok.groupBy(key, "label").agg(F.max_by(F.struct("value", un.canonical_unit(F.col("uom")).alias("uom")), "slot").alias("__x")
                                         ).select(key, "label", "__x.*")
 

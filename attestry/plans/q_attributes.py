@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from attestry.operators import attributes as at
 from attestry.operators import taxonomy as tax
 from attestry.operators.buckets import with_bucket
-from attestry.plans.adapters import VIEWS
+from attestry.plans.adapters import VIEWS, spread
 from attestry.plans.q_units import d_unit, split_views
 from attestry.plans.registry import FRAGMENTS, query
 from attestry.session import scratch_path
@@ -19,7 +19,7 @@ split_views("triples_in", "row_no, slot, classpath", tag="tr")
 
 
 def triples(t):
-    return at.unpivot_triples(t.truth.withColumn("classpath", F.trim("classpath")), ["row_no", "classpath"], 6)
+    return at.unpivot_triples(spread(t.truth).withColumn("classpath", F.trim("classpath")), ["row_no", "classpath"], 6)
 
 
 # the six triples of a row, dealt over all fifty slots of the delivery table
