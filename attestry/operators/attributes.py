@@ -10,8 +10,9 @@ from attestry.functions import text as tx
 from attestry.functions import units as un
 from attestry.operators.buckets import with_bucket
 from attestry.operators.matching import grams
+from attestry.operators.measures import with_parsed
 from attestry.params import DEFAULTS
-from attestry.session import cut_lineage
+from attestry.session import cut_lineage, stored
 
 TRIPLE = ("attribute_label_{n}", "attribute_value_{n}", "attribute_uom_{n}")
 
@@ -36,25 +37,33 @@ def first_seen(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.min(F.struct(*order)).alias("seen"))
 
 
+def _place() -> Column:
+    """Row and slot as one number: its minimum needs no sort of all rows."""
+    return F.col("row_no").cast("long") * 65536 + F.col("slot")
+
+
+def _seen(long: DataFrame) -> Column:
+    """STRUCT(row_no, slot) of the place `at`."""
+    types = {c: long.schema[c].dataType for c in ("row_no", "slot")}
+    return F.struct(F.shiftright("at", 16).cast(types["row_no"]).alias("row_no"),
+                    F.col("at").bitwiseAND(F.lit(65535)).cast(types["slot"]).alias("slot")).alias("seen")
+
+
 def expected_labels(long: DataFrame) -> DataFrame:
-    """(classpath, label, seen): distinct labels per path in first-seen order.  Row and slot are compared as one number, which
-    needs no sort of all rows."""
+    """(classpath, label, seen): distinct labels per path in first-seen order."""
     ok = long.where((F.col("classpath") != "") & (F.col("label") != ""))
-    types = {c: long.schema[c].dataType for c in ("row_no", "slot")}
-    at = F.col("row_no").cast("long") * 65536 + F.col("slot")
-    first = ok.groupBy("classpath", "label").agg(F.min(at).alias("at"))
-    return first.select("classpath", "label", F.struct(F.shiftright("at", 16).cast(types["row_no"]).alias("row_no"),
-                                                       F.col("at").bitwiseAND(F.lit(65535)).cast(types["slot"]).alias("slot")).alias("seen"))
+    return ok.groupBy("classpath", "label").agg(F.min(_place()).alias("at")).select("classpath", "label", _seen(long))
 
 
 def value_vocabulary(long: DataFrame) -> DataFrame:
     """(classpath, label, value, uom, seen): distinct normalized values in first-seen
     order; a label without any usable value keeps one NULL row."""
     ok = long.where((F.col("classpath") != "") & (F.col("label") != ""))
+    stated = stored(ok.groupBy("classpath", "label", "value", "uom").agg(F.min(_place()).alias("at")), "stated-values")
     m = un.normalize_measure(F.col("label"), F.nullif(F.col("value"), F.lit("")), F.nullif(F.col("uom"), F.lit("")))
-    n = ok.withColumn("m", F.when(F.col("value") != "", m)).withColumn("v", F.when(F.col("m.valid"), F.col("m")))
-    rows = n.groupBy("classpath", "label", F.col("v.value").alias("value"), F.col("v.uom").alias("uom")).agg(
-        F.min(F.struct("row_no", "slot")).alias("seen"))
+    n = with_parsed(stated, ["label", "value", "uom"], F.when(F.col("value") != "", m)).withColumn("v", F.when(F.col("m.valid"), F.col("m")))
+    rows = n.groupBy("classpath", "label", F.col("v.value").alias("value"), F.col("v.uom").alias("uom")).agg(F.min("at").alias("at"))
+    rows = stored(rows.select("classpath", "label", "value", "uom", _seen(long)), "value-vocabulary")
     filled = rows.where(F.col("value").isNotNull())
     bare = rows.where(F.col("value").isNull()).join(filled.select("classpath", "label").distinct(), ["classpath", "label"], "left_anti")
     return filled.unionByName(bare)
@@ -177,9 +186,9 @@ def constrain(values: DataFrame, vocabulary: DataFrame, closed: DataFrame, order
 def normalize_extracted(extracted: DataFrame, item_paths: DataFrame) -> DataFrame:
     """Extracted rows with their path and parsed measure (value, uom, valid)."""
     m = un.normalize_measure(F.col("label"), F.col("value"), F.col("uom"))
-    return extracted.join(item_paths, "item_id", "left").select(
-        "item_id", "label", "idx", "classpath", F.col("value").alias("raw_value"), F.col("uom").alias("raw_uom"), m.alias("m")
-    ).select("item_id", "label", "idx", "classpath", "raw_value", "raw_uom", "m.*")
+    parsed = with_parsed(extracted.select("item_id", "label", "idx", "value", "uom"), ["label", "value", "uom"], m)
+    return parsed.join(item_paths, "item_id", "left").select(
+        "item_id", "label", "idx", "classpath", F.col("value").alias("raw_value"), F.col("uom").alias("raw_uom"), "m").select("item_id", "label", "idx", "classpath", "raw_value", "raw_uom", "m.*")
 
 
 def bucketed(values: DataFrame, vocabulary: DataFrame, closed: DataFrame, order: list[str], cutoff: float = DEFAULTS.category_cutoff) -> DataFrame:
