@@ -15,7 +15,12 @@ that large groups of copies are connected at a cost in proportion to their size.
 Second round: all bands and all pairs of tiles, but
 only buckets whose nodes are not all connected yet, in the first bucket that a
 pair shares, and only pairs whose sketches (a byte of every min-hash) are not far
-(six standard deviations) below `least`; only nodes with such pairs send sets.
+(six standard deviations) below `least`.
+
+In both rounds only nodes with a pair that the sketches allow send sets, and
+the first bytes of the sketches (hints) already tell most unrelated nodes of a
+bucket apart: as tables grow, chance meetings grow faster than they do, and must
+cost few bytes.
 
 Cases: a null text is empty; texts without words have the empty set and are
 copies of each other; texts of less than five words are one shingle; rows
@@ -47,6 +52,7 @@ class NearParams:
     deals: int = 2              # times that a large bucket is dealt into tiles in the first round
     tile: int = 512             # nodes of a bucket that are compared in one group
     load: int = 1_000_000       # shingles of a bucket that are compared in one group
+    hint: int = 32              # bytes of a sketch that meet first
 
 
 def for_rows(p: NearParams, n: int) -> NearParams:
@@ -147,15 +153,23 @@ def _tiles(members: DataFrame, p: NearParams) -> DataFrame:
     return sizes.where("n > 1 and g1 <> g2").select("key", "n", F.greatest(F.ceil(F.col("n") / p.tile), F.ceil(F.col("load") / p.load)).cast("int").alias("tiles"))
 
 
-def _allowed(sketches: np.ndarray, keys: np.ndarray, band: int, p: NearParams) -> np.ndarray:
-    """Pairs whose sketches allow `least` and that share no earlier bucket."""
+def _alike_bytes(sketches: np.ndarray, p: NearParams) -> np.ndarray:
+    """Pairs whose sketches, or parts of them, allow `least`."""
     size = sketches.shape[1]
     floor = size * p.least - 6.5 * np.sqrt(size * p.least * (1 - p.least))
     out = np.zeros((len(sketches), len(sketches)), bool)
     step = max(1, 4_000_000 // (len(sketches) * size))
     for at in range(0, len(sketches), step):
-        alike = (sketches[at:at + step, None] == sketches[None]).sum(axis=2, dtype=np.int32) >= floor
-        out[at:at + step] = alike & ~(keys[at:at + step, None, :band] == keys[None, :, :band]).any(axis=2)
+        out[at:at + step] = (sketches[at:at + step, None] == sketches[None]).sum(axis=2, dtype=np.int32) >= floor
+    return out
+
+
+def _allowed(sketches: np.ndarray, keys: np.ndarray, band: int, p: NearParams) -> np.ndarray:
+    """Pairs whose sketches allow `least` and that share no earlier bucket."""
+    out = _alike_bytes(sketches, p)
+    step = max(1, 4_000_000 // (len(sketches) * max(band, 1)))
+    for at in range(0, len(sketches), step):
+        out[at:at + step] &= ~(keys[at:at + step, None, :band] == keys[None, :, :band]).any(axis=2)
     return out
 
 
@@ -211,7 +225,7 @@ def _linked(rows: DataFrame, p: NearParams, sketched: bool) -> DataFrame:
 
 def _pairs(t, p: NearParams) -> np.ndarray:
     """What the second round compares in a group of rows: pairs of different groups, between the two tiles."""
-    sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    sketches = _bytes(t, "sketch")
     keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
     mine, group = t.column("mine").to_numpy(), _numbers(t.column("group"))
     ok = _allowed(sketches, keys, t.column("band")[0].as_py(), p) & (group[:, None] != group[None])
@@ -220,6 +234,29 @@ def _pairs(t, p: NearParams) -> np.ndarray:
     return ok
 
 
+def _bytes(t, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+
+
+def _hinted(rows: DataFrame, p: NearParams) -> DataFrame:
+    """The rows that have a pair which hints allow in their group: of different groups of nodes and, where `mine` is given, between two tiles."""
+
+    def answer(t):
+        if t.num_rows < 2:
+            return None
+        group, mine = _numbers(t.column("group")), t.column("mine")
+        if (group == group[0]).all():
+            return None
+        ok = _alike_bytes(_bytes(t, "hint"), p) & (group[:, None] != group[None])
+        if mine.null_count == 0 and t.column("t1")[0] != t.column("t2")[0]:
+            ok &= mine.to_numpy()[:, None] != mine.to_numpy()[None]
+        some = ok.any(axis=1)
+        return t.drop_columns(["hint"]).filter(pa.array(some)) if some.any() else None
+
+    return by_runs(rows.select("key", "t1", "t2", "node", "group", "band", "mine", "hint"), ["key", "t1", "t2"], answer,
+                   "key long, t1 int, t2 int, node binary, group binary, band int, mine int")
+
+
 def _asked(rows: DataFrame, p: NearParams) -> DataFrame:
     """The rows that have a pair to verify in their group."""
 
@@ -251,16 +288,22 @@ def near_copies(docs: DataFrame, p: NearParams = NearParams(), bits: SimHashPara
     spread = nodes.select(half.alias("half"), F.posexplode("keys").alias("band", "key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = stored(spread.join(shared, "key"), "near-met")
-    names = nodes.select(half.alias("half"), "node", "size", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("text_key"))
-    needed = stored(met.select("half").distinct().join(names, "half"), "near-needed")
-    members = met.join(needed.select("half", "node", "size"), "half").select("node", "size", F.col("node").alias("group"), "band", "key")
+    names = nodes.select(half.alias("half"), "node", "size", F.substring("sketch", 1, p.hint).alias("hint"))
+    needed = met.select("half").distinct().join(names, "half")
+    members = met.join(needed, "half").select("node", "size", "hint", F.col("node").alias("group"), "band", "key")
     members = stored(members, "near-members")
-    sets = stored(_sets(docs, needed, p), "near-sets")
 
-    early = members.join(_tiles(members, p), "key").groupBy("node").agg(F.max(F.struct("n", "key", "tiles")).alias("b"))
-    early = early.select("node", F.col("node").alias("group"), "b.key", "b.tiles", F.explode(
+    def sets_of(rows):
+        wanted = rows.select("node").distinct().join(nodes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("text_key")), "node")
+        return stored(_sets(docs, stored(wanted, "near-needed"), p), "near-sets")
+
+    early = members.join(_tiles(members, p), "key").groupBy("node").agg(F.max(F.struct("n", "key", "tiles", "hint")).alias("b"))
+    early = early.select("node", F.col("node").alias("group"), "b.key", "b.tiles", "b.hint", F.explode(
         F.when(F.col("b.tiles") > 1, F.sequence(F.lit(1), F.lit(p.deals))).otherwise(F.array(F.lit(1)))).alias("t2"))
     early = early.withColumn("t1", F.pmod(F.xxhash64("node", "t2"), F.col("tiles")).cast("int"))
+    early = early.withColumn("band", F.lit(0)).withColumn("mine", F.lit(None).cast("int"))
+    early = stored(_hinted(early, p), "near-early")
+    sets = sets_of(early)
     links = stored(_linked(early.select("key", "t1", "t2", "node", "group").join(sets, "node"), p, False), "near-links")
     if bits:
         links = links.union(stored(_alike(marked, bits), "near-alike"))
@@ -269,8 +312,10 @@ def near_copies(docs: DataFrame, p: NearParams = NearParams(), bits: SimHashPara
     named = stored(named, "near-named")
     late = named.join(_tiles(named, p), "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("mine")).alias("t1"), F.greatest(t, F.col("mine")).alias("t2")))
-    late = late.join(nodes.select("node", "keys", "sketch"), "node").withColumn("t", F.explode(both))
-    asked = stored(_asked(late.select("key", "t.t1", "t.t2", "node", "group", "band", "mine", "keys", "sketch"), p), "near-asked")
+    late = late.withColumn("t", F.explode(both)).select("key", "t.t1", "t.t2", "node", "group", "band", "mine", "hint")
+    late = stored(_hinted(late, p), "near-late").join(nodes.select("node", "keys", "sketch"), "node")
+    asked = stored(_asked(late.select("key", "t1", "t2", "node", "group", "band", "mine", "keys", "sketch"), p), "near-asked")
+    sets = sets.union(sets_of(asked.join(sets.select("node"), "node", "left_anti")))
     links = links.union(stored(_linked(asked.join(sets, "node"), p, True), "near-more"))
 
     found = nodes.select("node", "first_id").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
