@@ -53,6 +53,7 @@ class NearParams:
     tile: int = 512             # nodes of a bucket that are compared in one group
     load: int = 1_000_000       # shingles of a bucket that are compared in one group
     hint: int = 32              # bytes of a sketch that meet first
+    sieve: int = 2 ** 26        # bits of the map that tells which texts may be wanted
 
 
 def for_rows(p: NearParams, n: int) -> NearParams:
@@ -131,9 +132,31 @@ def _name(own: np.ndarray) -> bytes:
     return xxh128_digest(own.tobytes())
 
 
+def _sieved(docs: DataFrame, key: str, wanted: DataFrame, p: NearParams) -> DataFrame:
+    """`docs` with the column `__maybe`: false only where the hash `key` is surely not among the hashes `wanted`.
+
+    Whole texts are the largest column and few of them are wanted: the others need not be shuffled to find that out.  The wanted
+    hashes become a bitmap of at most `sieve` bits, in pieces of 4 KB that go to all tasks; a fuller bitmap lets more rows pass,
+    and an exact join follows."""
+    width = 2 ** 15
+    least = min(16 * wanted.count(), p.sieve)
+    while width < least:
+        width *= 2
+    at = F.pmod(wanted.columns[0], F.lit(width))
+    bits = wanted.select(F.shiftright(at, 15).alias("__piece"), at.bitwiseAND(F.lit(32767)).alias("at")).groupBy("__piece").agg(
+        F.bitmap_construct_agg("at").alias("__bits"))
+    at = F.pmod(key, F.lit(width))
+    place = at.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substr("__bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumn("__piece", F.shiftright(at, 15)).join(F.broadcast(bits), "__piece", "left")
+    power = F.pow(F.lit(2), place.bitwiseAND(F.lit(7))).cast("int")
+    return marked.withColumn("__maybe", F.coalesce(byte.bitwiseAND(power) > 0, F.lit(False))).drop("__piece", "__bits")
+
+
 def _sets(docs: DataFrame, needed: DataFrame, p: NearParams) -> DataFrame:
     """(node, hashes): the whole shingle sets of `needed` (node, rep_id, text_key), each read from the one row that stands for it."""
     texts = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("key"))
+    texts = _sieved(texts, "key", needed.select("text_key"), p).where("__maybe").drop("__maybe")
     met = texts.join(needed, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("text_key")))
     met = met.groupBy("node").agg(F.first("text").alias("text"))        # rows may repeat
 
@@ -326,15 +349,17 @@ def near_copies(docs: DataFrame, p: NearParams = NearParams(), bits: SimHashPara
 
 def one_of_each(docs: DataFrame, p: NearParams = NearParams(), bits: SimHashParams | None = None) -> DataFrame:
     """The documents without near copies: of each group the row with the smallest id stays (of rows with that id, one of those
-    whose text has the smallest key); rows without an id stay, as no group can name them.  Whole texts are shuffled once here."""
+    whose text has the smallest key); rows without an id stay, as no group can name them.  Only texts that may go or repeat are shuffled."""
     names = docs.columns
     rows = near_copies(docs, p, bits).where("doc_id is not null").groupBy("doc_id", "text_key", "component", "component_id").agg(F.count("*").alias("n"))
     first = rows.where("doc_id = component_id").groupBy("component").agg(F.min("text_key").alias("kept"))
     rows = rows.join(first, "component")
     marks = stored(rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("n").alias("__n"), (
         (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("kept"))).alias("__stays")).where("not __stays or __n > 1"), "near-rows")
-    met = docs.withColumn("__text_key", F.xxhash64("text")).join(marks, (F.col("doc_id") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
+    sieved = _sieved(docs.withColumn("__text_key", F.xxhash64("text")), "__text_key", marks.select("__key"), p)
+    met = sieved.where("__maybe").join(marks, (F.col("doc_id") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
     met = met.where("__n is null or __stays")
     # the join has dealt and sorted the rows as this window needs them; a row that nothing marks is counted by itself
     own = Window.partitionBy("doc_id", "__text_key").orderBy("__n")
-    return met.withColumn("__place", F.row_number().over(own)).where("__n is null or __place = 1").select(*names)
+    met = met.withColumn("__place", F.row_number().over(own)).where("__n is null or __place = 1").select(*names)
+    return sieved.where("not __maybe").select(*names).union(met)

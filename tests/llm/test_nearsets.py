@@ -28,3 +28,31 @@ def test_chance_meetings_send_no_sets(spark):
         nearcopies.stored = kept
     assert got == {i: i % 1000 for i in texts}
     assert sum(sent) <= 16
+
+
+def test_only_wanted_texts_are_shuffled(spark):
+    """The hashes wanted pass the sieve, whatever its size, and few others do."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("key"))
+    wanted = docs.where("doc_id % 50 = 0").select("key")
+    for bits, most in ((2 ** 26, 2500), (2 ** 15, 2500), (1, 2500)):
+        got = nearcopies._sieved(docs, "key", wanted, NearParams(sieve=bits))
+        assert got.columns == ["doc_id", "key", "__maybe"] and got.count() == 20000
+        assert got.where("doc_id % 50 = 0 and not __maybe").count() == 0
+        assert got.where("__maybe").count() < most
+    none = nearcopies._sieved(docs, "key", wanted.limit(0), NearParams())
+    assert none.where("__maybe").count() == 0 and none.count() == 20000
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """No exchange lies between a row that nothing marks and the result."""
+    texts = [(i, f"document {i} says " + " ".join(str(i * k) for k in range(2, 40)), "en", "web", 9) for i in range(300)]
+    texts += [(1000 + i, texts[i][1] + " more", "en", "web", 9) for i in range(3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = nearcopies.one_of_each(df)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    plan = kept._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union"
+    branch = plan.children().head().toString()
+    assert "Join LeftOuter" in branch and branch.count("Join") == 1 and "Window" not in branch
