@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import scanning
 from attestry.params import DEFAULTS
+from attestry.session import stored
 
 
 def grams(text: Column, q: int) -> Column:
@@ -28,16 +29,18 @@ def contains_join(texts: DataFrame, text: str, keys: DataFrame, key: str, chunk:
 
 def pair_cosine(terms: DataFrame, pairs: DataFrame, doc: str = "doc_id", term: str = "term") -> DataFrame:
     """Cosine with binary term counts and smoothed idf for the given (left_id,
-    right_id) pairs.  Only terms the two sides share are ever joined."""
-    terms = terms.select(doc, term).distinct()
+    right_id) pairs.  Only terms the two sides share are ever joined.  Terms are
+    found and weighed once and written; the joins below read numbers for them."""
+    terms = stored(terms.select(doc, term).distinct(), "cosine-terms")
     n_docs = terms.select(doc).distinct().count()
-    df = terms.groupBy(term).agg(F.count("*").alias("__df"))
-    weighted = terms.join(df, term).select(
-        doc, term, (F.log((F.lit(float(n_docs + 1))) / (F.col("__df") + 1)) + 1).alias("w"))
+    df = terms.where(F.col(term).isNotNull()).groupBy(term).agg(F.count("*").alias("__df"))
+    df = stored(df.withColumn("__term", F.monotonically_increasing_id()), "cosine-vocabulary")
+    weighted = stored(terms.join(df, term).select(
+        doc, "__term", (F.log((F.lit(float(n_docs + 1))) / (F.col("__df") + 1)) + 1).alias("w")), "cosine-weights")
     norms = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     left = weighted.withColumnRenamed(doc, "left_id")
-    right = weighted.select(F.col(doc).alias("right_id"), term)
-    dots = (pairs.join(left, "left_id").join(right, ["right_id", term])
+    right = weighted.select(F.col(doc).alias("right_id"), "__term")
+    dots = (pairs.join(left, "left_id").join(right, ["right_id", "__term"])
             .groupBy("left_id", "right_id").agg(F.sum(F.col("w") * F.col("w")).alias("dot")))
     ln = norms.select(F.col(doc).alias("left_id"), F.col("norm").alias("ln"))
     rn = norms.select(F.col(doc).alias("right_id"), F.col("norm").alias("rn"))
