@@ -151,9 +151,9 @@ UNION ALL SELECT x.item_id, 'attribute:' || x.label, coalesce(f.value IS NOT NUL
 UNION ALL SELECT item_id, 'description:' || field, value IS NOT NULL AND compliant FROM desc_long"""
 
 
-def audit_status(t, fields=None):
-    return au.status_rows(t.audit_base, t.item_labels.select("item_id", "label"), t.finals, t.checked,
-                          fields or ds.field_rows(described(t)))
+def audit_status(t, fields=None, labels=None):
+    labels = t.item_labels.select("item_id", "label") if labels is None else labels
+    return au.status_rows(t.audit_base, labels, t.finals, t.checked, fields or ds.field_rows(described(t)))
 
 
 @query("aud_status", "SELECT item_id, field, okay FROM status")
@@ -216,9 +216,10 @@ FROM audit_base b JOIN class_codes k ON k.item_id = b.item_id JOIN described d O
 
 
 def gated(t):
-    """The gated columns; descriptions are built once, for their own gate and for the row."""
+    """The gated columns; descriptions are built once, for their own gate and for the row.  No column waits for an attribute's status."""
     d = cut_lineage(described(t))
-    st = audit_status(t, ds.field_rows(d)).where(F.col("field").isin(*[g for g in _GATED.values() if g])).groupBy("item_id").agg(
+    none = t.item_labels.select("item_id", "label").where(F.lit(False))
+    st = audit_status(t, ds.field_rows(d), none).where(F.col("field").isin(*[g for g in _GATED.values() if g])).groupBy("item_id").agg(
         F.map_from_entries(F.collect_list(F.struct("field", "okay"))).alias("status"))      # at most eight fields of an item
     rows = t.audit_base.join(t.class_codes, "item_id").join(d.select("item_id", "product_name", *_PARTS), "item_id").join(st, "item_id")
     return dl.gated_columns(rows, F.col("status"), _GATED)
@@ -234,7 +235,10 @@ FROM item_labels x LEFT JOIN finals f ON f.item_id = x.item_id AND f.label = x.l
 
 
 def slots(t):
-    """Slots ask for the status of attributes only, so no description is built for them."""
+    """Slots ask for the status of attributes only, so no description is built for them.  Labels, values and verdicts, each read for
+    the status and for the slots, come from attributes that are numbered and written once."""
+    t = t.hold(extracted=["item_id", "label", "idx", "value", "uom", "source_type"])
+    t = t.hold(item_labels=["item_id", "label", "slot"])
     none = t.spark.createDataFrame([], "item_id bigint, field string, value string, compliant boolean")
     return dl.slot_rows(t.item_labels, t.finals, audit_status(t, none), t.checked)
 
