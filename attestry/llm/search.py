@@ -1,7 +1,8 @@
 """Exact top-k by inner product of integer vectors: tiled matrix products, partial selection, merging by tree.
 
-Rows are packed into blocks where they lie; query blocks go to every lane of
-candidate blocks.  A tile is one matrix product; of it each query keeps its k
+Rows are packed into blocks where they lie, in the narrowest integers that hold
+them; query blocks go to every lane of candidate blocks, by a shuffle: the
+copies are many times the table that Spark's size check sees.  A tile is one matrix product; of it each query keeps its k
 best, running over the candidate blocks of a lane.  Lists of different lanes
 are merged `fan_in` at a time, so no task sees more than that many lists.
 Products are exact: in single or double floating point where no sum can leave
@@ -30,7 +31,8 @@ class TopKParams:
     scale: float = 64.0
     block: int = 4096           # candidates in a block
     queries: int = 1024         # queries in a block
-    lane: int = 4               # candidate blocks in a lane
+    lane: int = 4               # candidate blocks in a lane; more where `lanes` lanes would not hold all
+    lanes: int = 128            # so often is a query sent at most
     fan_in: int = 16
 
 
@@ -46,12 +48,23 @@ def _quantised(values, scale: float) -> np.ndarray | None:
     return np.clip(v, -_LIMIT, _LIMIT).astype(np.int64) if np.isfinite(v).all() else None
 
 
+def _narrow(points: np.ndarray) -> bytes:
+    top = max(-int(points.min(initial=0)) - 1, int(points.max(initial=0)))
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(t).max)
+    return np.ascontiguousarray(points, kind).tobytes()
+
+
+def _wide(data: bytes, rows: int, dim: int) -> np.ndarray:
+    """The vectors that `_narrow` packed, as 64-bit integers."""
+    return np.frombuffer(data, f"i{len(data) // (rows * dim)}").reshape(rows, dim).astype(np.int64)
+
+
 def _packed(rows: list) -> pa.RecordBatch:
     """One block of (id, is query, vector) with vectors of one length."""
     ids = np.array([r[0] for r in rows], np.int64)
     points = np.stack([r[2] for r in rows])
     return pa.RecordBatch.from_arrays([pa.array([points.shape[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()),
-                                       pa.array([points.tobytes()], pa.binary()), pa.array([np.array([r[1] for r in rows], bool).tobytes()], pa.binary())],
+                                       pa.array([_narrow(points)], pa.binary()), pa.array([np.array([r[1] for r in rows], bool).tobytes()], pa.binary())],
                                       ["dim", "ids", "points", "is_query"])
 
 
@@ -81,14 +94,15 @@ def _query_blocks(blocks: DataFrame, p: TopKParams) -> DataFrame:
 
         def made(dim):
             own = held.pop(dim)
-            cols = [np.concatenate([x[c] for x in own]) for c in range(4)]
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cols]],
+            ids, points, home, place = (np.concatenate([x[c] for x in own]) for c in range(4))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *[pa.array([c], pa.binary()) for c in (ids.tobytes(), _narrow(points), home.tobytes(), place.tobytes())]],
                                               ["dim", "ids", "points", "home", "place"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                at = np.nonzero(np.frombuffer(r["is_query"], bool))[0]
-                points = np.frombuffer(r["points"], np.int64).reshape(-1, r["dim"])
+                asked = np.frombuffer(r["is_query"], bool)
+                at = np.nonzero(asked)[0]
+                points = _wide(r["points"], len(asked), r["dim"])
                 for a in range(0, len(at), p.queries):
                     part = at[a:a + p.queries]
                     own = held.setdefault(r["dim"], [])
@@ -145,13 +159,14 @@ def _tiles(queries: DataFrame, blocks: DataFrame, lanes: int, p: TopKParams) ->
                         yield _list(*key, *held)
                     key, held = (r["query_block"], r["lane"]), None
                     ids = np.frombuffer(r["ids"], np.int64)
-                    q = np.frombuffer(r["points"], np.int64).reshape(len(ids), -1)
+                    q = _wide(r["points"], len(ids), r["dim"])
                     home, place = np.frombuffer(r["home"], np.int64), np.frombuffer(r["place"], np.int64)
-                c = np.frombuffer(r["c_points"], np.int64).reshape(-1, r["dim"])
+                c_ids = np.frombuffer(r["c_ids"], np.int64)
+                c = _wide(r["c_points"], len(c_ids), r["dim"])
                 scores = products(q, c)
                 own = np.nonzero(home == r["block"])[0]
                 scores[own, place[own]] = _NONE
-                best, found = best_of(scores, np.frombuffer(r["c_ids"], np.int64), p.k)
+                best, found = best_of(scores, c_ids, p.k)
                 if held is not None:
                     best, found = best_of(np.concatenate([held[2], best], axis=1), np.concatenate([held[1], found], axis=1), p.k)
                 held = (ids, found, best)
@@ -160,7 +175,8 @@ def _tiles(queries: DataFrame, blocks: DataFrame, lanes: int, p: TopKParams) ->
 
     spread = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     dealt = blocks.select(F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane"), "dim", "block", F.col("ids").alias("c_ids"), F.col("points").alias("c_points"))
-    return spread.join(dealt, ["lane", "dim"]).select("query_block", "lane", "dim", "ids", "points", "home", "place", "block", "c_ids", "c_points").mapInArrow(run, _LIST)
+    # never by broadcast: the copies of the queries would pass through the driver
+    return spread.hint("merge").join(dealt, ["lane", "dim"]).select("query_block", "lane", "dim", "ids", "points", "home", "place", "block", "c_ids", "c_points").mapInArrow(run, _LIST)
 
 
 def _merged(lists: DataFrame, p: TopKParams) -> DataFrame:
@@ -180,7 +196,7 @@ def top_k(vectors: DataFrame, is_query: Column, p: TopKParams = TopKParams()) ->
     """(query_id, rank, vec_id, score) of each query row's k best other rows; `is_query` is a condition on the rows."""
     blocks = _blocks(vectors, is_query, p)
     queries = _query_blocks(blocks, p)
-    lanes = max(1, -(-blocks.count() // p.lane))
+    lanes = max(1, min(-(-blocks.count() // p.lane), p.lanes))
     lists = _tiles(queries, blocks, lanes, p)
     while True:                                  # at least once: a query block's lists of a lane may come in parts
         lists = stored(_merged(lists, p), "search-lists")

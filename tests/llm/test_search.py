@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attestry.llm import search
 from attestry.llm.search import TopKParams, best_of, products, top_k
 
 
@@ -38,3 +39,20 @@ def test_best_of_breaks_ties_by_id():
     scores, ids = np.array([[1, 5, 5, 5, 0]]), np.array([9, 8, 3, 7, 1])
     best, found = best_of(scores, ids, 2)
     assert best.tolist() == [[5, 5]] and found.tolist() == [[3, 7]]
+
+
+def test_copies_of_queries_do_not_pass_through_the_driver(spark):
+    p = TopKParams(k=3, block=16, queries=4, lane=1, lanes=2)
+    rows = [(i, [float(i % 7), 1.0 - i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    blocks = search._blocks(df, F.col("vec_id") % 20 == 0, p)
+    tiles = search._tiles(search._query_blocks(blocks, p), blocks, 13, p)
+    assert "Broadcast" not in tiles._jdf.queryExecution().executedPlan().toString()     # their copies are not in the size check
+    assert len(blocks.first()["points"]) <= 2 * 2 * 16                                  # two bytes a component, not eight
+    assert sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, p).collect()) == model(rows, 3)
+
+
+def test_narrow_integers_keep_their_values():
+    for top in (127, 128, 2 ** 15, 2 ** 31, 2 ** 62):
+        a = np.array([[-top, top - 1], [0, 1]])
+        assert (search._wide(search._narrow(a), 2, 2) == a).all()
