@@ -31,17 +31,27 @@ def pair_by_position(extracted: DataFrame, normalized: DataFrame) -> DataFrame:
     return extracted.join(n, ["item_id", "label", "idx"], "left")
 
 
+FORM = ["value", "uom", "source_type"]
+
+
+def _form(kind: str, at) -> list[Column]:
+    return [F.concat(F.lit(kind + ":"), F.col("idx").cast("string")).alias("candidate_id"), F.lit(kind).alias("kind"), F.col("idx").alias("lineage"),
+            *[at(c).alias(c) for c in FORM], source_priority(at("source_type")).alias("priority")]
+
+
 def candidates(extracted: DataFrame, normalized: DataFrame) -> DataFrame:
     """Extracted values and their non-NULL normalized forms, with lineage and priority; one join, no union.  An extracted
     position has at most one normalized form."""
-    columns = ["value", "uom", "source_type"]
-    n = normalized.where(F.col("value").isNotNull()).select(*LABEL, "idx", F.struct(*columns).alias("n"))
-    form = lambda kind, at: F.struct(
-        F.concat(F.lit(kind + ":"), F.col("idx").cast("string")).alias("candidate_id"), F.lit(kind).alias("kind"), F.col("idx").alias("lineage"),
-        *[at(c).alias(c) for c in columns], source_priority(at("source_type")).alias("priority"))
-    own, other = form("extracted", F.col), form("normalized", lambda c: F.col("n")[c])
+    n = normalized.where(F.col("value").isNotNull()).select(*LABEL, "idx", F.struct(*FORM).alias("n"))
+    own, other = (F.struct(*_form(kind, at)) for kind, at in (("extracted", F.col), ("normalized", lambda c: F.col("n")[c])))
     both = F.when(F.col("n").isNull(), F.array(own)).otherwise(F.array(own, other))
-    return extracted.select(*LABEL, "idx", *columns).join(n, [*LABEL, "idx"], "left").select(*LABEL, F.inline(both))
+    return extracted.select(*LABEL, "idx", *FORM).join(n, [*LABEL, "idx"], "left").select(*LABEL, F.inline(both))
+
+
+def listed(extracted: DataFrame, normalized: DataFrame) -> DataFrame:
+    """The rows of `candidates` without its join, for values that are written and read at no cost twice."""
+    rows = lambda df, kind: df.select(*LABEL, *_form(kind, F.col))
+    return rows(extracted, "extracted").unionByName(rows(normalized.where(F.col("value").isNotNull()), "normalized"))
 
 
 def measure_ids(cands: DataFrame) -> DataFrame:
@@ -53,9 +63,9 @@ def measure_ids(cands: DataFrame) -> DataFrame:
     return stored(measures.join(numbers, same).select("label", "value", "uom", "sk"), "measure-ids")
 
 
-def place() -> Column:
+def place(own: Column | None = None) -> Column:
     """The order of a label's candidates as one number: source priority, then normalized, then position."""
-    return (F.col("kind") != "normalized").cast("long") * F.lit(1 << 40) - F.col("priority").cast("long") * F.lit(1 << 42) + F.col("lineage")
+    return (F.col("kind") != "normalized" if own is None else own).cast("long") * F.lit(1 << 40) - F.col("priority").cast("long") * F.lit(1 << 42) + F.col("lineage")
 
 
 def conflicts(cands: DataFrame, verdicts: DataFrame, missing: str | None = None) -> DataFrame:
@@ -63,11 +73,12 @@ def conflicts(cands: DataFrame, verdicts: DataFrame, missing: str | None = None)
     priority, and the `place` of the preferred candidate.  Reads `cands` twice; only numbers are shuffled."""
     m = measure_ids(cands).select(F.col("label").alias("__l"), F.col("value").alias("__v"), F.col("uom").alias("__u"), "sk")
     on = F.col("label").eqNullSafe(F.col("__l")) & F.col("value").eqNullSafe(F.col("__v")) & F.col("uom").eqNullSafe(F.col("__u"))
-    keyed = cands.select(*LABEL, "kind", "lineage", "priority", "value", "uom", F.when(F.col("value").isNotNull(), place()).alias("place")).join(
-        m, on).select(*LABEL, "kind", "lineage", "priority", "place", "sk")
-    own = lambda c: F.when(F.col("kind") == "extracted", F.col(c))
+    keyed = cands.select(*LABEL, (F.col("kind") != "normalized").alias("own"), "lineage", "priority", "value", "uom").join(
+        m, on).select(*LABEL, "own", "lineage", "priority", F.col("value").isNotNull().alias("filled"), "sk")
+    own = lambda c: F.when(F.col("own"), F.col(c))
     # one shuffle: all three groupings lie inside a label
-    lineage = keyed.repartition(*LABEL).groupBy(*LABEL, "lineage").agg(
+    dealt = keyed.repartition(*LABEL).withColumn("place", F.when(F.col("filled"), place(F.col("own"))))
+    lineage = dealt.groupBy(*LABEL, "lineage").agg(
         F.min("sk").alias("lo"), F.max("sk").alias("hi"), F.min(own("sk")).alias("elo"), F.max(own("sk")).alias("ehi"),
         F.max(own("priority")).alias("prio"), F.min("place").alias("place"), F.max("priority").alias("top"))
     level = lineage.groupBy(*LABEL, "prio").agg(

@@ -71,16 +71,22 @@ FROM (SELECT k.item_id, k.label, count(DISTINCT k.sk) AS n_ext, count(DISTINCT C
 LEFT JOIN first_verdict v ON v.item_id = a.item_id AND v.label = a.label"""
 
 
+def listed(t):
+    """Candidates over extracted values that are numbered and written once; both forms of a value are read from there, so nothing is joined."""
+    own = t.by_order().hold(extracted=["item_id", "label", "idx", "value", "uom", "source_type"]).extracted
+    forms = t.given(extracted=own.withColumn("excerpt", F.lit(None).cast("string")))
+    return adj.listed(forms.extracted, forms.normalized)
+
+
 def written(t):
     """Candidates and conflict state, written once for the steps that read them often."""
-    c = stored(adj.candidates(t.extracted, t.normalized), "candidates")
+    c = listed(t)
     return c, stored(adj.conflicts(c, ver.first_verdicts(t.verdicts, t.failed_items), "ambiguous"), "conflicts")
 
 
 @query("adj_conflict", "SELECT * FROM state")
 def _(t):
-    c = stored(adj.candidates(t.extracted, t.normalized), "candidates")
-    out = adj.conflicts(c, ver.first_verdicts(t.verdicts, t.failed_items), "ambiguous")
+    out = adj.conflicts(listed(t), ver.first_verdicts(t.verdicts, t.failed_items), "ambiguous")
     return out.select("item_id", "label", "entailment", "conflict", "top_conflict")
 
 
@@ -163,4 +169,4 @@ def _(t):
 SELECT c.item_id, c.label, c.candidate_id, c.value, c.uom, c.source_type, c.priority FROM cands c JOIN settled s ON s.item_id = c.item_id AND s.label = c.label AND c.candidate_id = s.chosen_id""")
 def _(t):
     c, st, s = settled(t)
-    return adj.final_attributes(c, st, s)
+    return adj.final_attributes(c, st, stored(s, "settled"))

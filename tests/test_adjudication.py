@@ -1,7 +1,13 @@
 """Candidates, conflicts and settlement on a few rows: what is read and shuffled, and what comes out."""
 
+import re
+import time
+
+from attestry import session
 from attestry.operators import adjudication as adj
 from attestry.operators import verification as ver
+from attestry.plans import q_verify
+from attestry.plans.adapters import Tables
 
 EXTRACTED = [(1, "Size", 0, "5 in", None, "description"), (1, "Size", 1, "5", "in", "manufacturer_site"), (1, "Color", 0, "Red", None, None),
              (2, "Size", 0, "5 in", None, "description"), (2, "Size", 1, "6 in", None, "manufacturer_site")]
@@ -23,3 +29,34 @@ def test_a_measure_is_parsed_once_and_candidates_are_shuffled_once(spark):
     assert rows == {(1, "Size"): (False, "supported", False), (1, "Color"): (False, "supported", False), (2, "Size"): (True, "ambiguous", False)}
     passed = {(r.item_id, r.label): r.candidate_id for r in adj.passthrough(c, state).collect()}
     assert passed == {(1, "Size"): "extracted:1", (1, "Color"): "normalized:0"}
+
+
+def test_listed_candidates_are_those_of_the_join_and_shuffle_nothing(spark):
+    e, n = spark.createDataFrame(EXTRACTED, KIND), spark.createDataFrame(NORMALIZED, KIND)
+    rows = lambda df: sorted(map(str, df.collect()))
+    out = adj.listed(e, n)
+    assert rows(out) == rows(adj.candidates(e, n)) and out.columns == adj.candidates(e, n).columns
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_are_numbered_once_and_only_raw_lines_are_shuffled(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(q_verify.listed(t)) and "Join" not in plan(q_verify.listed(t))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(q_verify.listed(t)) == rows(adj.candidates(t.extracted, t.normalized))
+    shuffle = next(x for x in t.by_order().extracted._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+    assert "hashpartitioning(l_orderkey" in shuffle
+
+
+def test_shuffles_go_with_the_write_that_made_them(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllBlocks().mkString(" ")))
+    before = held()
+    kept = session.stored(spark.range(1000).repartition(3), "range")
+    for _ in range(50):         # files are removed in the background
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and kept.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"     # for later queries as it was
