@@ -12,22 +12,34 @@ def percent(part: Column, whole: Column) -> Column:
     return F.bround(100.0 * part / F.nullif(whole, F.lit(0)), 2)
 
 
-def status_rows(base: DataFrame, expected: DataFrame, final: DataFrame, verdicts: DataFrame,
-                descriptions: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Long (item_id, field, okay) status of names, path, attributes, descriptions."""
+def entity_status(p: Params = DEFAULTS) -> Column:
+    """ARRAY<STRUCT(field, okay)> of a row's names and path."""
     good = lambda v, c, bar: F.coalesce(F.col(v).isNotNull() & (F.col(c) >= bar), F.lit(False))
-    entity = base.select("item_id", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), ok.alias("okay")) for n, ok in (
+    return F.array(*[F.struct(F.lit(n).alias("field"), ok.alias("okay")) for n, ok in (
         ("manufacturer", good("manufacturer", "manufacturer_confidence", p.manufacturer_match)),
         ("brand", good("brand", "brand_confidence", p.brand_match)),
-        ("classpath", good("classpath", "class_confidence", p.classify_accept)))])))
-    v = verdicts.withColumn("__v", (F.col("entailment") == "supported") & (F.col("confidence") >= p.verification_confidence)
-                            & F.col("vocabulary_compliant") & F.col("uom_compliant")).select("item_id", "label", "__v")
+        ("classpath", good("classpath", "class_confidence", p.classify_accept)))])
+
+
+def description_status(field: Column, value: Column, compliant: Column) -> Column:
+    """STRUCT(field, okay) of one description."""
+    return F.struct(F.concat(F.lit("description:"), field).alias("field"), ((F.length(F.coalesce(value, F.lit(""))) > 0) & compliant).alias("okay"))
+
+
+def verdict_good(p: Params = DEFAULTS) -> Column:
+    return (F.col("entailment") == "supported") & (F.col("confidence") >= p.verification_confidence) & F.col("vocabulary_compliant") & F.col("uom_compliant")
+
+
+def status_rows(base: DataFrame, expected: DataFrame, final: DataFrame, verdicts: DataFrame,
+                descriptions: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Long (item_id, field, okay) status of names, path, attributes, descriptions."""
+    entity = base.select("item_id", F.inline(entity_status(p)))
+    v = verdicts.withColumn("__v", verdict_good(p)).select("item_id", "label", "__v")
     f = final.where(F.col("value").isNotNull()).select("item_id", "label", F.lit(True).alias("__f")).distinct()
     attrs = (expected.join(f, ["item_id", "label"], "left").join(v, ["item_id", "label"], "left")
              .select("item_id", F.concat(F.lit("attribute:"), "label").alias("field"),
                      F.coalesce(F.col("__f") & F.col("__v"), F.lit(False)).alias("okay")))
-    desc = descriptions.select("item_id", F.concat(F.lit("description:"), "field").alias("field"),
-                               ((F.length(F.coalesce("value", F.lit(""))) > 0) & F.col("compliant")).alias("okay"))
+    desc = descriptions.select("item_id", description_status(F.col("field"), F.col("value"), F.col("compliant")).alias("s")).select("item_id", "s.*")
     return entity.unionByName(attrs).unionByName(desc)
 
 

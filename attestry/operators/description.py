@@ -89,8 +89,13 @@ def build(items: DataFrame, limits: dict[str, int] = DEFAULT_LIMITS, target: int
                        flags.alias("desc_flags"))
 
 
+def fields() -> Column:
+    """ARRAY<STRUCT(field, value, compliant)> of a described row."""
+    return F.array(*[F.struct(
+        F.lit(f).alias("field"), F.col(f).alias("value"), F.coalesce(F.try_element_at("compliance", F.lit(f)), F.lit(False)).alias("compliant"))
+        for f in fv.DESCRIPTION_FIELDS])
+
+
 def field_rows(described: DataFrame) -> DataFrame:
     """Long (item_id, field, value, compliant) rows for the audit."""
-    return described.select("item_id", F.inline(F.array(*[F.struct(
-        F.lit(f).alias("field"), F.col(f).alias("value"), F.coalesce(F.try_element_at("compliance", F.lit(f)), F.lit(False)).alias("compliant"))
-        for f in fv.DESCRIPTION_FIELDS])))
+    return described.select("item_id", F.inline(fields()))

@@ -120,7 +120,12 @@ def read_batch_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
     return rows
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    (df.write.mode("errorifexists").option("header", True).option("quoteAll", quote_all)
+#: rows of a compressed file at most, as one task reads it whole
+FILE_ROWS = 200_000
+
+
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, compression: str | None = None) -> None:
+    out = df.write if compression is None else df.write.option("compression", compression).option("maxRecordsPerFile", FILE_ROWS)
+    (out.mode("errorifexists").option("header", True).option("quoteAll", quote_all)
      .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))

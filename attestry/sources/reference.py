@@ -129,10 +129,11 @@ def read_delivery_csv(spark: SparkSession, path: str, sha256: str | None = None,
     return _open_csv(spark, path, multi_line=multi_line).schema(schema).option("mode", "FAILFAST").csv(path).na.fill("")
 
 
-def write_delivery_csv(rows: DataFrame, path: str, sha256: str | None = None) -> None:
-    """Write delivery rows whose columns meet the contract; Spark's commit lets readers see all files or none."""
+def write_delivery_csv(rows: DataFrame, path: str, sha256: str | None = None, compression: str | None = None) -> None:
+    """Write delivery rows whose columns meet the contract; Spark's commit lets readers see all files or none.  `read_delivery_csv`
+    reads compressed files as they are."""
     check_delivery_header(rows.columns, sha256)
-    write_csv(rows, path, quote_all=True)
+    write_csv(rows, path, quote_all=True, compression=compression)
 
 
 def delivery_rows(rows: DataFrame, names: dict[str, str]) -> DataFrame:
