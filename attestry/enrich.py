@@ -71,13 +71,13 @@ def _named_paths(decided: DataFrame, labels: DataFrame) -> tuple[DataFrame, Data
 
 def enrich(catalog: DataFrame, refs: References, given: Answers, p: Params = DEFAULTS) -> Enriched:
     """`catalog`: row_no and the six distributor columns."""
-    cleaned = cleaning.clean_catalog(catalog)
+    cleaned = cut_lineage(cleaning.clean_catalog(catalog))
     resolved = cut_lineage(en.resolve_catalog(cleaned, refs.brands, refs.manufacturers, refs.pairs, refs.lookups, p)).withColumnRenamed("row_no", "item_id")
     flags = en.resolution_flags(resolved, p, "item_id").select("item_id", "code", "field")
 
     asked = resolved.select(F.col("item_id").alias("query_id"), tx.classification_query(F.col("part_desc"), F.col("mfg_part_num")).alias("query"))
     queries = cut_lineage(asked.join(given.vectors.select(F.col("item_id").alias("query_id"), "vector"), "query_id", "left"))
-    decided = cut_lineage(tax.decide(tax.search(queries, refs.taxonomy, refs.classes, p), queries, p)).withColumnRenamed("query_id", "item_id")
+    decided = cut_lineage(tax.classify(queries, refs.taxonomy, refs.classes, p)).withColumnRenamed("query_id", "item_id")
     flags = flags.unionByName(decided.select("item_id", F.explode("flags").alias("code"), F.lit("classpath").alias("field")))
     near, expected = _named_paths(decided, refs.labels)
 

@@ -227,6 +227,20 @@ def decide(ranked: DataFrame, queries: DataFrame, p: Params = DEFAULTS) -> DataF
                     outcome.alias("outcome"), flags.alias("flags"))
 
 
+def classify(queries: DataFrame, taxonomy: DataFrame, classes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """`decide` over `search` for (query_id, query, vector) of which many are alike.  An answer follows from text and vector alone, so of
+    the queries without a vector one speaks for all of its text; a query with a vector speaks for itself."""
+    bare = F.col("vector").isNull()
+    voices = cut_lineage(queries.where(bare).groupBy("query").agg(F.min("query_id").alias("voice")))
+    asked = cut_lineage(voices.select(F.col("voice").alias("query_id"), "query", F.lit(None).cast(queries.schema["vector"].dataType).alias("vector"))
+                        .unionByName(queries.where(~bare).select("query_id", "query", "vector")))
+    answers = cut_lineage(decide(search(asked, taxonomy, classes, p), asked, p)).withColumnRenamed("query_id", "voice")
+    same = voices.withColumnRenamed("query", "__text")
+    heard = queries.where(bare).join(same, F.col("query").eqNullSafe(F.col("__text"))).select("query_id", "voice").unionByName(
+        queries.where(~bare).select("query_id", F.col("query_id").alias("voice")))
+    return heard.join(answers, "voice").drop("voice")
+
+
 # ---- paths ---------------------------------------------------------------------------------
 
 def nearest_path(paths: DataFrame, catalog_paths: DataFrame, cutoff: float = DEFAULTS.category_cutoff, chunk: int = scanning.CHUNK,

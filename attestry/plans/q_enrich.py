@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 from attestry.enrich import Answers, References, enrich
 from attestry.functions.vectors import l2_normalize
 from attestry.operators import attributes as at
-from attestry.operators import cleaning
 from attestry.operators import entities as en
-from attestry.plans.adapters import VIEWS
+from attestry.plans.adapters import VIEWS, spread
 from attestry.plans.q_attributes import triples
 from attestry.plans.q_taxonomy import class_vectors
 from attestry.plans.registry import query
@@ -28,8 +27,7 @@ SELECT item_id, pos, label, CASE WHEN item_id % 7 = 0 THEN 'ambiguous' ELSE 'sup
 
 
 def references(t) -> References:
-    cleaned = cleaning.clean_catalog(t.catalog)
-    counted = cut_lineage(en.count_spellings(en.observations(cleaned, t.truth, cleaned=True)))
+    counted = cut_lineage(en.count_spellings(en.cleaned_spellings(en.written_observations(t.catalog, t.truth), ["kind"])))
     of = lambda kind: en.canonical_entries(en.assign_leaders(counted.where(F.col("kind") == kind).drop("kind")))
     long = triples(t)
     vocabulary = at.value_vocabulary(long).withColumn("seq", F.col("seen.row_no") * 100 + F.col("seen.slot")).select("classpath", "label", "value", "uom", "seq")
@@ -38,6 +36,8 @@ def references(t) -> References:
 
 
 def enriched(t):
+    t = t.given(part=spread(t.part))      # millions of parts are one split of a file
+    t = t.given(catalog=spread(t.hold(catalog=t.catalog.columns).catalog))     # read by the references, the job and its delivery
     vectors = t.embeddings.select((F.col("vec_id") + 1).alias("item_id"), l2_normalize(F.col("embedding")).alias("vector"))
     decisions = t.spark.createDataFrame([], "item_id bigint, label string, selected_candidate_id string, needs_human_review boolean, reasoning string, rejected_candidate_ids array<string>")
     return enrich(t.catalog, references(t), Answers(vectors, t.catalog_candidates, t.catalog_verdicts, decisions))
